@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.scalars import DEADLINE_SLACK_SEC, failure_class, ratio
+from tallyfield.functions.scalars import DEADLINE_SLACK_SEC, failure_class
 from tallyfield.operators.ordered import RANGE, attach, into_ranges, quantiles, running
 
 MILESTONES = (10, 25, 50, 75, 90, 95, 100)
 
 
-def _share(hits: Column, total: Column) -> Column:
-    return ratio(hits * 100.0, total)
-
-
-def coverage(pairs: DataFrame, keys: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
+def coverage(pairs: DataFrame, keys: Sequence[str], extra: dict[str, str] | None = None) -> DataFrame:
     """Per task: targets, targets reached, coverage and complete-delivery flags.
 
     ``pairs`` holds one row per (task, node): ``eligible``, ``node_failed``, ``recv_sec`` (NULL if
@@ -26,36 +22,31 @@ def coverage(pairs: DataFrame, keys: Sequence[str], extra: dict[str, Column] | N
     aggregates to the same pass. All of them combine partially, so a task with very many nodes
     needs no single task of its own.
     """
-    target = F.col("eligible")
-    alive = F.col("eligible") & ~F.col("node_failed")
-    timely = F.coalesce(F.col("recv_sec") <= F.col("deadline_sec") + DEADLINE_SLACK_SEC, F.lit(False))
-    ever = F.col("recv_sec").isNotNull()
+    slack = DEADLINE_SLACK_SEC
     out = pairs.groupBy(*keys).agg(
-        *[F.min(c).alias(c) for c in ("created_sec", "deadline_sec")],
-        *[agg.alias(name) for name, agg in (extra or {}).items()],
-        F.count_if(target).alias("original_target_count"),
-        F.count_if(alive).alias("surviving_target_count"),
-        F.count_if(target & timely).alias("reached_original_by_deadline"),
-        F.count_if(target & ever).alias("reached_original_by_end"),
-        F.count_if(alive & timely).alias("reached_surviving_by_deadline"),
-        F.count_if(alive & ever).alias("reached_surviving_by_end"),
-        F.max(F.when(alive, F.col("recv_sec"))).alias("_last_alive"),
+        *[F.expr(f"min({c}) as {c}") for c in ("created_sec", "deadline_sec")],
+        *[F.expr(f"{agg} as {name}") for name, agg in (extra or {}).items()],
+        F.expr("count_if(eligible) as original_target_count"),
+        F.expr("count_if(eligible and not node_failed) as surviving_target_count"),
+        F.expr(f"count_if(eligible and recv_sec <= deadline_sec + {slack}) as reached_original_by_deadline"),
+        F.expr("count_if(eligible and recv_sec is not null) as reached_original_by_end"),
+        F.expr(
+            f"count_if(eligible and not node_failed and recv_sec <= deadline_sec + {slack}) as reached_surviving_by_deadline"
+        ),
+        F.expr("count_if(eligible and not node_failed and recv_sec is not null) as reached_surviving_by_end"),
+        F.expr("max(recv_sec) filter (where eligible and not node_failed) as _last_alive"),
     )
-    adds: dict[str, Column] = {}
+    adds = []
     for group in ("original", "surviving"):
-        n = F.col(f"{group}_target_count")
+        n = f"{group}_target_count"
         for moment in ("deadline", "end"):
-            hit = F.col(f"reached_{group}_by_{moment}")
-            adds[f"{group}_coverage_{moment}_percent"] = _share(hit, n)
-            adds[f"s100_{group}_by_{moment}"] = (n > 0) & (hit == n)
-    out = out.withColumns(adds)
-    return out.withColumns(
-        {
-            "t100_surviving_min": F.when(
-                F.col("s100_surviving_by_end"), (F.col("_last_alive") - F.col("created_sec")) / 60.0
-            ),
-            "t100_surviving_censored": ~F.col("s100_surviving_by_end"),
-        }
+            hit = f"reached_{group}_by_{moment}"
+            adds.append(f"if({n} > 0, 100D * {hit} / {n}, null) as {group}_coverage_{moment}_percent")
+            adds.append(f"{n} > 0 and {hit} = {n} as s100_{group}_by_{moment}")
+    return out.selectExpr("*", *adds).selectExpr(
+        "*",
+        "if(s100_surviving_by_end, (_last_alive - created_sec) / 60, null) as t100_surviving_min",
+        "not s100_surviving_by_end as t100_surviving_censored",
     ).drop("_last_alive")
 
 
@@ -131,25 +122,25 @@ def with_failure_class(tasks: DataFrame) -> DataFrame:
 
 def case_rollup(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Task outcomes to case rows: shares in percent, mean coverage, failure counts, completion counts."""
-    pct = lambda flag: F.avg(F.col(flag).cast("double")) * 100.0
-    is_class = lambda c: F.count_if(F.col("failure_class") == c)
-    return tasks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_tasks"),
-        F.avg("original_coverage_deadline_percent").alias("mean_original_coverage_deadline_percent"),
-        F.avg("surviving_coverage_deadline_percent").alias("mean_surviving_coverage_deadline_percent"),
-        pct("s100_original_by_deadline").alias("s100_original_by_deadline_percent"),
-        pct("s100_surviving_by_deadline").alias("s100_surviving_by_deadline_percent"),
-        pct("observed_before_deadline").alias("observation_success_percent"),
-        is_class("geometry_failure_no_eligible_receiver").alias("geometry_failure_count"),
-        is_class("communication_failure_no_target_reached").alias("communication_failure_count"),
-        is_class("routing_or_timing_failure").alias("routing_or_timing_failure_count"),
-        F.count("t100_surviving_min").alias("t100_completed_count"),
-        F.count_if("t100_surviving_censored").alias("t100_censored_count"),
-        F.max("t100_surviving_min").alias("p100_t100_surviving_min"),
-        F.sum("transferred_mbits").alias("transferred_mbits"),
-        F.sum("n_transfers").alias("n_transfer_events"),
-        F.max("max_hops").alias("max_hops_seen"),
-    )
+    pct = lambda flag: f"avg(cast({flag} as double)) * 100"
+    aggregates = {
+        "n_tasks": "count(*)",
+        "mean_original_coverage_deadline_percent": "avg(original_coverage_deadline_percent)",
+        "mean_surviving_coverage_deadline_percent": "avg(surviving_coverage_deadline_percent)",
+        "s100_original_by_deadline_percent": pct("s100_original_by_deadline"),
+        "s100_surviving_by_deadline_percent": pct("s100_surviving_by_deadline"),
+        "observation_success_percent": pct("observed_before_deadline"),
+        "geometry_failure_count": "count_if(failure_class = 'geometry_failure_no_eligible_receiver')",
+        "communication_failure_count": "count_if(failure_class = 'communication_failure_no_target_reached')",
+        "routing_or_timing_failure_count": "count_if(failure_class = 'routing_or_timing_failure')",
+        "t100_completed_count": "count(t100_surviving_min)",
+        "t100_censored_count": "count_if(t100_surviving_censored)",
+        "p100_t100_surviving_min": "max(t100_surviving_min)",
+        "transferred_mbits": "sum(transferred_mbits)",
+        "n_transfer_events": "sum(n_transfers)",
+        "max_hops_seen": "max(max_hops)",
+    }
+    return tasks.groupBy(*keys).agg(*[F.expr(f"{agg} as {name}") for name, agg in aggregates.items()])
 
 
 def rollup_with_quantiles(tasks: DataFrame, keys: Sequence[str], column: str, probs: dict[str, float]) -> DataFrame:

@@ -12,14 +12,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.functions.ids import base_id, format_case_id, number_slug
-from tallyfield.functions.scalars import failure_class, mapped
-from tallyfield.operators.outcomes import case_rollup, coverage
+from tallyfield.functions.ids import base_id
+from tallyfield.operators.outcomes import case_rollup, coverage, with_failure_class
 
 DAY = 86400.0
 # Response time per priority, in days: the driver's dates are day-grained and span years.
 RESPONSE_DAYS = {"Critical": 180, "High": 360, "Medium": 1080, "Low": 2160}
-PRIORITY_OF = {"1-URGENT": "Critical", "2-HIGH": "High", "3-MEDIUM": "Medium"}
 STRESS_FAMILIES = ("random_satellite_failure", "targeted_cn_failure", "link_window_outage", "combined_stress")
 STRESS_LEVELS = (5.0, 10.0, 20.0, 30.0)
 SIZE_MULTIPLIERS = (0.5, 1.0, 2.0, 4.0)
@@ -35,131 +33,117 @@ METRICS = [
 ]
 
 
+# Column types of the driver's tables. Stating them saves a job per read that looks into the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.floor(F.col("c_custkey") / 5).cast("long")
-    planes = 3 + base % 4
-    satellites = planes * (10 + base % 7)
-    level = (F.col("c_custkey") % 5 * 25).cast("long")
-    altitude = 500 + 50 * (base % 5)
-    tenths = 530 + 10 * (base % 3)
-    case = format_case_id(satellites, planes, altitude, tenths / 10.0, level, base + 1)
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey",
-        case.alias("case_id"),
-        base_id(case).alias("base_id"),
-        satellites.cast("long").alias("n_satellites"),
-        planes.cast("long").alias("n_planes"),
-        altitude.cast("double").alias("altitude_km"),
-        (tenths / 10.0).alias("inclination_deg"),
-        level.cast("double").alias("cn_fraction_percent"),
-        F.floor(satellites * level / 100).cast("long").alias("n_central_nodes"),
-    )
+def _one_of(values, index: str) -> str:
+    """SQL: the value at ``index`` of a short fixed list."""
+    items = ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}D" for v in values)
+    return f"element_at(array({items}), cast({index} as int) + 1)"
 
 
-def _scenario_columns() -> dict:
-    task = F.col("o_orderkey")
-    stressed = F.col("o_orderstatus") == "P"
-    pick = lambda values, index: F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-    family = pick(STRESS_FAMILIES, F.floor(task / 4) % 4)
-    level = pick(STRESS_LEVELS, task % 4)
-    size = pick(SIZE_MULTIPLIERS, F.floor(task / 16) % 4)
-    policy = pick(POLICIES, F.floor(task / 2) % 3)
-    nominal = F.when(task % 2 == 0, F.lit("nominal_original")).otherwise(policy)
-    name = (
-        F.when(F.col("o_orderstatus") == "F", nominal)
-        .when(F.col("o_orderstatus") == "O", "unlimited_useful_deadline")
-        .when(
-            family == "combined_stress",
-            F.format_string("combined_size_x%s_satfail_p%02d_r%02d", number_slug(size), level.cast("long"), task % 5),
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five levels per base design; the code of the case holds the design."""
+    return (
+        table(spark, sf_dir, "customer")
+        .selectExpr("c_custkey", "c_custkey div 5 as b")
+        .selectExpr(
+            "c_custkey", "b", "3 + b % 4 as n_planes", "(3 + b % 4) * (10 + b % 7) as n_satellites",
+            "cast(500 + 50 * (b % 5) as double) as altitude_km", "530 + 10 * (b % 3) as tenths",
+            "cast(c_custkey % 5 * 25 as double) as cn_fraction_percent",
+        )
+        .selectExpr(
+            "*", "tenths / 10D as inclination_deg",
+            "(n_satellites * cast(cn_fraction_percent as long)) div 100 as n_central_nodes",
+            "format_string('T%03d_P%02d_H%04d_I%04d_CN%03d_F%d', n_satellites, n_planes, cast(altitude_km as long), tenths, "
+            "cast(cn_fraction_percent as long), b + 1) as case_id",
         )
-        .otherwise(F.format_string("%s_p%02d_r%02d", family, level.cast("long"), task % 5))
+        .withColumn("base_id", base_id("case_id"))
+        .select("c_custkey", "case_id", "base_id", *DESIGN)
     )
-    return {
-        "scenario_id": name,
-        "family": F.when(stressed, family)
-        .when(F.col("o_orderstatus") == "O", "unlimited")
-        .when(task % 2 == 0, "nominal")
-        .otherwise("policy_ablation"),
-        "failure_level_percent": F.when(stressed, level).otherwise(F.lit(0.0)),
-        "replicate": F.when(stressed, task % 5).otherwise(F.lit(0)).cast("long"),
-        "task_size_multiplier": F.when(
-            stressed & (family == "combined_stress"), size
-        ).otherwise(F.lit(1.0)),
-        "stressed": stressed,
-    }
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with its case, scenario, priority and times in seconds."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey is not null")
-    created = F.unix_timestamp("o_orderdate").cast("double")
-    out = orders.withColumns(_scenario_columns()).withColumns(
-        {
-            "priority_class": mapped(F.col("o_orderpriority"), PRIORITY_OF, "Low"),
-            "created_sec": created,
-        }
-    )
-    out = out.withColumn(
-        "deadline_sec", F.col("created_sec") + mapped(F.col("priority_class"), RESPONSE_DAYS, 0).cast("double") * DAY
-    ).withColumn(
-        "topology",
-        mapped(F.col("scenario_id"), {"policy_peer": "peer_only", "policy_hybrid": "hybrid"}, "central_only"),
-    ).withColumn(
-        "routing_policy",
-        mapped(F.col("scenario_id"), {"policy_peer": "peer", "policy_hybrid": "hybrid"}, "targeted_central"),
+    shaped = (
+        table(spark, sf_dir, "orders")
+        .selectExpr(
+            "*", "o_orderstatus = 'P' as stressed",
+            f"{_one_of(STRESS_FAMILIES, 'o_orderkey div 4 % 4')} as fam",
+            f"{_one_of(STRESS_LEVELS, 'o_orderkey % 4')} as lvl",
+            f"{_one_of(POLICIES, 'o_orderkey div 2 % 3')} as pol",
+            f"{_one_of(SIZE_MULTIPLIERS, 'o_orderkey div 16 % 4')} as siz",
+            "case o_orderpriority when '1-URGENT' then 'Critical' when '2-HIGH' then 'High' when '3-MEDIUM' then 'Medium' "
+            "else 'Low' end as priority_class",
+            "cast(unix_timestamp(o_orderdate) as double) as created_sec",
+        )
+        .selectExpr(
+            "*",
+            "case when o_orderstatus = 'F' then if(o_orderkey % 2 = 0, 'nominal_original', pol) "
+            "when o_orderstatus = 'O' then 'unlimited_useful_deadline' "
+            "when fam = 'combined_stress' then format_string('combined_size_x%s_satfail_p%02d_r%02d', "
+            "translate(cast(siz as string), '.', 'p'), cast(lvl as long), o_orderkey % 5) "
+            "else format_string('%s_p%02d_r%02d', fam, cast(lvl as long), o_orderkey % 5) end as scenario_id",
+            "case when stressed then fam when o_orderstatus = 'O' then 'unlimited' "
+            "when o_orderkey % 2 = 0 then 'nominal' else 'policy_ablation' end as family",
+        )
+        .join(cases(spark, sf_dir), F.expr("o_custkey = c_custkey"))
     )
-    out = out.join(cases(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    status = F.when(
-        (F.col("family") == "targeted_cn_failure") & (F.col("cn_fraction_percent") == 0), "NOT_APPLICABLE"
-    ).otherwise("COMPLETED")
-    return out.withColumn("status", status).select(
-        F.col("o_orderkey").alias("task_id"),
-        "case_id", "base_id", *DESIGN, "scenario_id", *SCENARIO, "stressed",
-        "priority_class", "created_sec", "deadline_sec", F.col("o_totalprice").alias("price"),
+    return shaped.selectExpr(
+        "o_orderkey as task_id", "case_id", "base_id", *DESIGN, "scenario_id", "family",
+        "case scenario_id when 'policy_peer' then 'peer_only' when 'policy_hybrid' then 'hybrid' else 'central_only' end as topology",
+        "case scenario_id when 'policy_peer' then 'peer' when 'policy_hybrid' then 'hybrid' else 'targeted_central' end as routing_policy",
+        "if(stressed, lvl, 0D) as failure_level_percent",
+        "if(stressed, o_orderkey % 5, 0L) as replicate",
+        "if(stressed and fam = 'combined_stress', siz, 1D) as task_size_multiplier",
+        "if(family = 'targeted_cn_failure' and cn_fraction_percent = 0, 'NOT_APPLICABLE', 'COMPLETED') as status",
+        "stressed", "priority_class", "created_sec",
+        f"created_sec + {DAY} * case priority_class "
+        + " ".join(f"when '{name}' then {days}" for name, days in RESPONSE_DAYS.items())
+        + " end as deadline_sec",
+        "o_totalprice as price",
     )
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(regions, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("node_id"),
-            F.col("r_name").alias("region"),
-            (F.col("s_suppkey") % 10 < 3).alias("is_central"),
-            (F.col("s_acctbal") < 0).alias("weak"),
-            F.col("s_nationkey").cast("long").alias("plane_id"),
-        )
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    return table(spark, sf_dir, "supplier").join(places, F.expr("s_nationkey = n_nationkey")).selectExpr(
+        "s_suppkey as node_id", "r_name as region", "s_suppkey % 10 < 3 as is_central", "s_acctbal < 0 as weak",
+        "cast(s_nationkey as long) as plane_id",
     )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers in order of cause: shipped on or after the day of the order."""
-    moved = table(spark, sf_dir, "lineitem").join(
-        tasks(spark, sf_dir), F.col("l_orderkey") == F.col("task_id")
-    ).join(nodes(spark, sf_dir), F.col("l_suppkey") == F.col("node_id"))
-    end = F.unix_timestamp("l_shipdate").cast("double")
-    return moved.select(
-        "region", "task_id", "node_id", "is_central", "plane_id", "case_id", "base_id", *DESIGN,
-        "scenario_id", *SCENARIO, "priority_class", "created_sec", "deadline_sec",
-        (F.col("stressed") & F.col("weak")).alias("node_failed"),
-        end.alias("end_sec"),
-        (end + (F.col("l_linenumber") - 3) * 10 * DAY).alias("opportunity_sec"),
-        F.col("l_returnflag").isin("N", "R").alias("is_opportunity"),
-        F.col("l_linenumber").cast("long").alias("hop"),
-        F.col("l_partkey").alias("from_node"),
-        F.col("l_quantity").alias("mbit"),
+    """Order lines as transfers and as observation opportunities, with their task and node."""
+    moved = table(spark, sf_dir, "lineitem").join(tasks(spark, sf_dir), F.expr("l_orderkey = task_id"))
+    return moved.join(nodes(spark, sf_dir), F.expr("l_suppkey = node_id")).selectExpr(
+        "region", "task_id", "node_id", "is_central", "plane_id", "case_id", "base_id", *DESIGN, "scenario_id", *SCENARIO,
+        "priority_class", "created_sec", "deadline_sec", "stressed and weak as node_failed",
+        "cast(unix_timestamp(l_shipdate) as double) as end_sec",
+        f"cast(unix_timestamp(l_shipdate) as double) + (l_linenumber - 3) * {10 * DAY} as opportunity_sec",
+        "l_returnflag in ('N', 'R') as is_opportunity", "cast(l_linenumber as long) as hop", "l_partkey as from_node",
+        "l_quantity as mbit",
     )
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in order of cause: shipped on or after the day of the order."""
     return lines(spark, sf_dir).filter("end_sec >= created_sec")
 
 
@@ -169,19 +153,18 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Keys other than (region, task, node) depend on them. Lines joined on the task key are already
     partitioned by it, so this and the next aggregation add no shuffle of their own.
     """
-    arrived = F.col("end_sec") >= F.col("created_sec")
-    usable = F.col("is_opportunity") & (F.col("opportunity_sec") >= F.col("created_sec"))
-    timely = usable & (F.col("opportunity_sec") <= F.col("deadline_sec"))
     keys = ["region", "task_id", "node_id", "is_central", "node_failed", "created_sec", "deadline_sec"]
-    return lines(spark, sf_dir).groupBy(*keys).agg(
-        F.bool_or(timely).alias("eligible"),
-        F.min(F.when(arrived, F.col("end_sec"))).alias("recv_sec"),
-        F.min(F.when(arrived & timely & (F.col("opportunity_sec") >= F.col("end_sec")), F.col("opportunity_sec"))).alias(
-            "seen_sec"
-        ),
-        F.sum(F.when(arrived, F.col("mbit")).otherwise(0.0)).alias("pair_mbits"),
-        F.count_if(arrived).alias("pair_transfers"),
-        F.max(F.when(arrived, F.col("hop"))).alias("pair_hops"),
+    flagged = lines(spark, sf_dir).selectExpr(
+        *keys, "end_sec", "opportunity_sec", "mbit", "hop", "end_sec >= created_sec as arrived",
+        "is_opportunity and opportunity_sec between created_sec and deadline_sec as usable",
+    )
+    return flagged.groupBy(*keys).agg(
+        F.expr("bool_or(usable) as eligible"),
+        F.expr("min(end_sec) filter (where arrived) as recv_sec"),
+        F.expr("min(opportunity_sec) filter (where arrived and usable and opportunity_sec >= end_sec) as seen_sec"),
+        F.expr("coalesce(sum(mbit) filter (where arrived), 0D) as pair_mbits"),
+        F.expr("count_if(arrived) as pair_transfers"),
+        F.expr("max(hop) filter (where arrived) as pair_hops"),
     )
 
 
@@ -190,26 +173,22 @@ TASK_FIELDS = ["priority_class", "case_id", "base_id", "scenario_id", *DESIGN, *
 
 def task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(region, task) outcomes; the task's own fields join on after the narrow aggregations."""
-    seen = F.when(F.col("eligible") & ~F.col("node_failed"), F.col("seen_sec"))
     out = coverage(
         pairs(spark, sf_dir),
         ["region", "task_id"],
         {
-            "seen_sec": F.min(seen),
-            "transferred_mbits": F.sum("pair_mbits"),
-            "n_transfers": F.sum("pair_transfers"),
-            "max_hops": F.max("pair_hops"),
+            "seen_sec": "min(seen_sec) filter (where eligible and not node_failed)",
+            "transferred_mbits": "sum(pair_mbits)",
+            "n_transfers": "sum(pair_transfers)",
+            "max_hops": "max(pair_hops)",
         },
     ).join(tasks(spark, sf_dir).select("task_id", *TASK_FIELDS), "task_id")
-    return out.withColumns(
-        {
-            "observed_before_deadline": F.col("seen_sec").isNotNull(),
-            "observation_latency_min": (F.col("seen_sec") - F.col("created_sec")) / 60.0,
-            "failure_class": failure_class(
-                F.col("original_target_count"), F.col("reached_surviving_by_deadline"), F.col("seen_sec").isNotNull()
-            ),
-        }
-    ).drop("seen_sec")
+    return with_failure_class(
+        out.selectExpr(
+            "*", "seen_sec is not null as observed_before_deadline",
+            "(seen_sec - created_sec) / 60 as observation_latency_min",
+        ).drop("seen_sec")
+    )
 
 
 CASE_KEYS = ["region", "case_id", "scenario_id"]
@@ -222,22 +201,14 @@ def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts between users: from each event, to the user ``k`` places on, open for ``value`` minutes."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    start = F.unix_micros("ts") / 1e6
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("window_id"),
-        F.col("user_id").alias("node_i"),
-        (F.col("user_id") + 1 + k % 7).alias("node_j"),
-        start.alias("start_sec"),
-        (start + F.col("value") * 60.0).alias("end_sec"),
-        (F.col("value") * 60.0).alias("duration_sec"),
-        (F.col("value") * (1 + k % 5)).alias("capacity_mbits"),
-        (F.col("user_id") % 10 < 3).alias("i_central"),
-        ((F.col("user_id") + 1 + k % 7) % 10 < 3).alias("j_central"),
-        (F.col("event_type") == "signup").alias("is_ground"),
-        k.alias("k"),
-        "event_type",
-        "value",
+    parsed = table(spark, sf_dir, "events").selectExpr(
+        "*", "cast(get_json_object(props, '$.k') as long) as k", "unix_micros(ts) / 1e6D as s"
+    )
+    return parsed.selectExpr(
+        "event_id as window_id", "user_id as node_i", "user_id + 1 + k % 7 as node_j", "s as start_sec",
+        "s + value * 60 as end_sec", "value * 60 as duration_sec", "value * (1 + k % 5) as capacity_mbits",
+        "user_id % 10 < 3 as i_central", "(user_id + 1 + k % 7) % 10 < 3 as j_central", "event_type = 'signup' as is_ground",
+        "k", "event_type", "value",
     )
 
 
