@@ -85,5 +85,5 @@ def digest_sum(digest: Column) -> Column:
     sorting all digests of a group would not.
     """
     parts = [F.conv(F.substring(digest, start, 13), 16, 10).cast("decimal(38,0)") for start in (1, 14, 27)]
-    sums = [F.format_string("%038d", F.sum(p)) for p in parts]
+    sums = [F.lpad(F.sum(p).cast("string"), 38, "0") for p in parts]
     return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)

@@ -150,31 +150,45 @@ def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
     return df.select(*keys, *clean).unpivot(list(keys), list(columns), "metric", "value")
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float]
-) -> DataFrame:
-    """Exact linear-interpolated quantiles: one row per (keys, metric), one column per entry of ``probs``."""
+def distribution(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """One row per (keys, metric): n, mean, std (n-1), min, max and exact linear-interpolated quantiles.
+
+    Works on counts of distinct values, so neither a big group nor a frequent value lands whole in
+    one task, and the input is evaluated once.
+    """
     group = [*keys, "metric"]
-    long = melt(df, keys, columns)
-    placed = value_counts(long, group, "value")
-    totals = placed.groupBy(*group).agg(F.sum("n_here").alias("_n"))
+    placed = value_counts(melt(df, keys, columns), group, "value")
+    totals = placed.groupBy(*group).agg(
+        F.expr("sum(n_here) as n"), F.expr("sum(value * n_here) / sum(n_here) as mean")
+    )
     placed = attach(placed, totals, group)
     picks = []
     for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            holds = (F.col("n_upto") > index) & (F.col("n_upto") - F.col("n_here") <= index)
-            picks.append(F.max(F.when(holds, F.col("value"))).alias(f"_{side}_{name}"))
-    found = placed.groupBy(*group).agg(F.max("_n").alias("_n"), *picks)
+        at = f"((n - 1) * {float(p)}D)"
+        for side, index in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
+            holds = f"n_upto > {index} and n_upto - n_here <= {index}"
+            picks.append(F.expr(f"max(value) filter (where {holds}) as _{side}_{name}"))
+    found = placed.groupBy(*group).agg(
+        F.expr("max(n) as n"),
+        F.expr("max(mean) as mean"),
+        F.expr("if(max(n) > 1, sqrt(sum(n_here * (value - mean) * (value - mean)) / (max(n) - 1)), null) as std"),
+        F.expr("min(value) as min"),
+        F.expr("max(value) as max"),
+        *picks,
+    )
     result = []
     for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        result.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*group, *result)
+        at = f"((n - 1) * {float(p)}D)"
+        result.append(f"_lo_{name} + (_hi_{name} - _lo_{name}) * ({at} - floor({at})) as {name}")
+    return found.selectExpr(*group, "n", "mean", "std", "min", "max", *result)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """(keys, metric) with one column per entry of ``probs``."""
+    return distribution(df, keys, columns, probs).select(*keys, "metric", *probs)
 
 
 def widen(long: DataFrame, keys: Sequence[str], columns: Sequence[str], stats: Sequence[str]) -> DataFrame:
     """(keys, metric, stat..) back to one row per key with ``<metric>_<stat>`` columns."""
-    picks = [F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in columns for s in stats]
+    picks = [F.expr(f"max(`{s}`) filter (where metric = '{m}') as `{m}_{s}`") for m in columns for s in stats]
     return long.groupBy(*keys).agg(*picks)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["views_q"]
+MODULES = ["q_outcomes", "q_scalars"]
 
 
 def registered():
