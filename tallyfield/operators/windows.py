@@ -84,13 +84,11 @@ def trend_class(df: DataFrame, keys: Sequence[str], level: str, metric: str, tol
 def saturation_level(df: DataFrame, keys: Sequence[str], level: str, metric: str, limit: float = 1.0) -> DataFrame:
     """First level from which every later step stays below ``limit``; NULL if the last step does not."""
     w = _steps(keys, level)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
     steps = df.filter(F.col(metric).isNotNull()).select(
         *keys, F.col(level).alias("x"), F.abs(F.lead(metric).over(w) - F.col(metric)).alias("d")
     )
-    w2 = Window.partitionBy(*keys).orderBy("x").rowsBetween(0, Window.unboundedFollowing)
-    calm = steps.select(*keys, "x", "d", F.bool_and(F.coalesce(F.col("d") < limit, F.lit(True))).over(w2).alias("calm"))
-    del onward
+    onward = _steps(keys, "x").rowsBetween(0, Window.unboundedFollowing)
+    calm = steps.select(*keys, "x", "d", F.bool_and(F.coalesce(F.col("d") < limit, F.lit(True))).over(onward).alias("calm"))
     return calm.groupBy(*keys).agg(F.expr("min(x) filter (where calm and d is not null) as saturation_level"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_outcomes", "q_scalars"]
+MODULES = ["q_outcomes", "q_scalars", "q_aggregates", "q_paired"]
 
 
 def registered():
