@@ -53,18 +53,29 @@ def model_comparison(
 
 
 def _cross_validate(shaped: DataFrame, keys: Sequence[str], name: str, p: int, log_target: bool) -> DataFrame:
-    cells = ", ".join(f"x[{i}] * x[{j}]" for i in range(p) for j in range(i, p))
-    exploded = shaped.selectExpr(*keys, "fold", "t", "x", f"array({cells}) as xx")
+    upper = np.triu_indices(p)
+    key_types = ", ".join(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys)
+
+    def products(batches):
+        """Per Arrow batch and (group, fold): upper triangle of X'X, then X't, as one flat array."""
+        for pdf in batches:
+            out = []
+            for cell, part in pdf.groupby([*keys, "fold"], dropna=False):
+                x = np.vstack(part["x"].to_numpy())
+                flat = np.concatenate([(x.T @ x)[upper], x.T @ part["t"].to_numpy(float)])
+                out.append([*cell, flat.tolist()])
+            yield pd.DataFrame(out, columns=[*keys, "fold", "v"])
+
+    # Batch results are added up per position, so only one array per fold is ever gathered.
+    partial = shaped.select(*keys, "fold", "t", "x").mapInPandas(products, f"{key_types}, fold int, v array<double>")
+    summed = partial.selectExpr(*keys, "fold", "posexplode(v) as (pos, val)").groupBy(*keys, "fold", "pos").agg(F.expr("sum(val) as val"))
     m = p * (p + 1) // 2
-    sums = exploded.groupBy(*keys, "fold").agg(
-        F.expr("count(*) as n"),
-        F.array(*[F.expr(f"sum(xx[{i}])") for i in range(m)]).alias("xx"),
-        F.array(*[F.expr(f"sum(x[{i}] * t)") for i in range(p)]).alias("xt"),
-    )
+    sums = summed.groupBy(*keys, "fold").agg(
+        F.expr("transform(array_sort(collect_list(struct(pos, val))), e -> e.val) as v")
+    ).selectExpr(*keys, "fold", f"slice(v, 1, {m}) as xx", f"slice(v, {m + 1}, {p}) as xt")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         """At most one row per fold comes in: fit each fold on the sums of the others."""
-        upper = np.triu_indices(p)
         total_xx = np.sum(np.vstack(pdf["xx"].to_numpy()), axis=0)
         total_xt = np.sum(np.vstack(pdf["xt"].to_numpy()), axis=0)
         out = []
@@ -76,7 +87,6 @@ def _cross_validate(shaped: DataFrame, keys: Sequence[str], name: str, p: int, l
             out.append([getattr(row, k) for k in keys] + [row.fold, beta.tolist()])
         return pd.DataFrame(out, columns=[*keys, "fold", "beta"])
 
-    key_types = ", ".join(f"`{k}` {shaped.schema[k].dataType.simpleString()}" for k in keys)
     fits = sums.groupBy(*keys).applyInPandas(solve, f"{key_types}, fold int, beta array<double>")
     guess = "aggregate(zip_with(x, beta, (a, b) -> a * b), 0D, (s, v) -> s + v)"
     if log_target:

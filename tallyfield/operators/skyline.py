@@ -55,7 +55,7 @@ def _local_filter(group: Sequence[str], names: Sequence[str], size: int):
         # Holds a bounded set of strong rows per group to compare with; it only saves work downstream.
         strong: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for key, part in batch.groupby(list(group), dropna=False) if group else [((), batch)]:
+            for key, part in batch.groupby(list(group), dropna=False):
                 points = part[list(names)].to_numpy(float)
                 held = strong.get(key)
                 mine = points[np.argsort(-np.nan_to_num(points, neginf=-1e300).sum(axis=1))[:size]]
@@ -78,6 +78,9 @@ def skyline(
     """
     if null_rule not in NULL_RULES:
         raise ValueError(f"unknown null rule {null_rule}")
+    if not keys:
+        one = df.withColumn("_all", F.lit(1))
+        return skyline(one, ["_all"], maximise, minimise, null_rule, name, block_rows).drop("_all")
     names = [f"_o{i}" for i in range(len(maximise) + len(minimise))]
     rows = _oriented(df, maximise, minimise, null_rule)
     complete = " and ".join(f"{n} is not null" for n in names)
@@ -96,7 +99,7 @@ def skyline(
     # is never in a later block.
     better = corners.select(*keys, F.col("_block").alias("_by"), *[f"hi{n}" for n in names])
     worse = corners.select(*keys, F.col("_block").alias("_of"), *[f"lo{n}" for n in names])
-    pairs = (better.join(worse, list(keys)) if keys else better.join(worse, F.lit(True))).filter(
+    pairs = better.join(worse, list(keys)).filter(
         " and ".join(["_by <= _of", *[f"hi{n} >= lo{n}" for n in names]])
     ).select(*keys, "_by", "_of")
     of = attach_block(blocks, pairs, keys, "_of")
