@@ -103,7 +103,9 @@ def skyline(
         " and ".join(["_by <= _of", *[f"hi{n} >= lo{n}" for n in names]])
     ).select(*keys, "_by", "_of")
     of = attach_block(blocks, pairs, keys, "_of")
+    # Both sides come from one table: fresh column identities keep the two apart.
     by = attach_block(blocks, pairs, keys, "_by")
+    by = by.toDF(*by.columns)
     cell = [*keys, "_by", "_of"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

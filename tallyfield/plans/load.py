@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_outcomes", "q_scalars", "q_aggregates", "q_paired"]
+MODULES = ["q_outcomes", "q_scalars", "q_aggregates", "q_paired", "q_decision", "q_quality", "q_spatial", "q_sources"]
 
 
 def registered():

@@ -300,7 +300,7 @@ def bootstrap_sql(source: str, keys: str, value: str, draws: int, seed: int, nam
 
 
 def _mix(state: str, number: str) -> str:
-    step = f"(({state} * 48271 + ({number} % 2147483647) * 69621 + 12345) % 2147483647)"
+    step = f"((({state})::BIGINT * 48271 + (({number})::BIGINT % 2147483647) * 69621 + 12345) % 2147483647)"
     return f"(({step} * {step} + 16807) % 2147483647)"
 
 
