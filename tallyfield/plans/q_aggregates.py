@@ -57,7 +57,7 @@ def case_rollup(spark, sf_dir):
     return rounded(out.selectExpr(
         *V.CASE_KEYS, "n_tasks", "geometry_failure_count", "communication_failure_count", "routing_or_timing_failure_count",
         "t100_completed_count", "t100_censored_count", "n_transfer_events", "max_hops_seen",
-        "round(transferred_mbits, 4) as transferred_mbits", OBS, S100, COV, T100, *probs,
+        "round(round(transferred_mbits, 8), 4) as transferred_mbits", OBS, S100, COV, T100, *probs,
     ))
 
 
@@ -156,7 +156,7 @@ def transfer_summary(spark, sf_dir):
         "if(from_node % 10 = 0, 'GS_', 'SAT_') || from_node as from_node",
     )
     out = agg.transfer_summary(log, ["scenario_id", "cn_fraction_percent"])
-    return rounded(out.withColumn("transferred_mbits", F.expr("round(transferred_mbits, 4)")))
+    return rounded(out.withColumn("transferred_mbits", F.expr("round(round(transferred_mbits, 8), 4)")))
 
 
 STRESS = "family IN ('random_satellite_failure', 'targeted_cn_failure', 'link_window_outage', 'combined_stress')"
@@ -232,8 +232,8 @@ SELECT region, count(*) AS n_nodes, round(max(load), 6) AS max_load, round(sum(l
        round(coalesce(sum(load) FILTER (is_central), 0) / sum(load), 6) AS central_share FROM r GROUP BY region""")
 def load_concentration(spark, sf_dir):
     out = network.load_concentration(_loads(spark, sf_dir), ["region"])
-    return out.selectExpr("region", "n_nodes", "round(max_load, 6) as max_load", "round(hhi, 9) as hhi",
-                          "round(top_share, 6) as top_share", "round(central_share, 6) as central_share")
+    return out.selectExpr("region", "n_nodes", "round(round(max_load, 10), 6) as max_load", "round(hhi, 9) as hhi",
+                          "round(round(top_share, 10), 6) as top_share", "round(round(central_share, 10), 6) as central_share")
 
 
 @query("A16_adjacency", """

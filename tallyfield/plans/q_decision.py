@@ -88,7 +88,7 @@ front AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM fv b WHERE b.{keys} = a.{keys} A
 def _unlimited(spark, sf_dir):
     """Unlimited-scenario cases with objectives rounded, so that both engines see the same ties."""
     return V.case_metrics(spark, sf_dir).filter(UNLIMITED).withColumns(
-        {c: F.expr(f"round({c}, 6)") for c in (OBS, S100, COV, T100, MBIT)})
+        {c: F.expr(f"round(round({c}, 10), 6)") for c in (OBS, S100, COV, T100, MBIT)})
 
 
 _UNL_SQL = f"u AS (SELECT * FROM v_case_metrics WHERE {UNLIMITED})"
@@ -272,7 +272,7 @@ def poly_aic(spark, sf_dir):
     """The check covers degree 1, whose solution SQL has built in; higher degrees are checked by the tests."""
     rows = V.case_metrics(spark, sf_dir).filter(PRIMARY)
     out = models.poly_aic(rows, ["region", "scenario_id"], "cn_fraction_percent", MBIT)
-    return out.filter("degree = 1").selectExpr("region", "scenario_id", "degree", "n", "round(rss, 3) as rss", "round(aic, 4) as aic")
+    return out.filter("degree = 1").selectExpr("region", "scenario_id", "degree", "n", "round(round(rss, 7), 3) as rss", "round(round(aic, 8), 4) as aic")
 
 
 @query("M11_poly_aic_all_degrees")
@@ -293,7 +293,7 @@ FROM f QUALIFY row_number() OVER (PARTITION BY region ORDER BY round(sse, 6), b)
 def exp_offset_fit(spark, sf_dir):
     rows = V.case_metrics(spark, sf_dir).filter(PRIMARY)
     out = models.exp_offset_fit(rows, ["region"], "cn_fraction_percent", OBS, _RATES)
-    return out.selectExpr("region", "b", "round(a, 4) as a", "round(c, 4) as c", "n", "round(r_squared, 6) as r_squared", "round(rmse, 4) as rmse")
+    return out.selectExpr("region", "b", "round(round(a, 8), 4) as a", "round(round(c, 8), 4) as c", "n", "round(round(r_squared, 10), 6) as r_squared", "round(round(rmse, 8), 4) as rmse")
 
 
 @query("M12_fitted_curve")

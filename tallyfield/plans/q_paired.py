@@ -233,7 +233,7 @@ FROM g WHERE f GROUP BY user_id, run_no HAVING least(max(t) + 60, 1706745600) >
 def islands(spark, sf_dir):
     series = V.table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "unix_micros(ts) / 1e6D as t", "value", "event_type")
     out = windows.islands(series, ["user_id"], ["t", "event_id"], F.expr("event_type <> 'error'"), "t", 60.0, 1706745600.0, "value")
-    return rounded(out.withColumns({c: F.expr(f"round({c}, 4)") for c in ("start_at", "end_at")}))
+    return rounded(out.withColumns({c: F.expr(f"round(round({c}, 8), 4)") for c in ("start_at", "end_at")}))
 
 
 _EVENTS = {
@@ -278,7 +278,7 @@ WITH {_TTE_SQL}, {km_sql("region, scenario_id, event_name")}
 SELECT region, scenario_id, event_name, n, round(horizon, 6) AS horizon, round(event_probability, 6) AS event_probability, round(rmst, 4) AS rmst FROM km""")
 def rmst(spark, sf_dir):
     out = survival.km_summary(_tte(spark, sf_dir), ["region", "scenario_id", "event_name"])
-    return rounded(out.withColumn("rmst", F.expr("round(rmst, 4)")))
+    return rounded(out.withColumn("rmst", F.expr("round(round(rmst, 8), 4)")))
 
 
 @query("W09_time_to_event", f"""
@@ -335,7 +335,7 @@ SELECT region, event_name, priority_class, n, round(horizon, 6) AS horizon, roun
 def priority_event_summary(spark, sf_dir):
     """Fixed horizon per class; speed = 1 - restricted mean / horizon."""
     out = survival.km_summary(_tte(spark, sf_dir), ["region", "event_name", "priority_class"], horizon=_HORIZON_SQL, clip=True)
-    return rounded(out.selectExpr("*", "1 - rmst / horizon as speed").withColumn("rmst", F.expr("round(rmst, 4)")))
+    return rounded(out.selectExpr("*", "1 - rmst / horizon as speed").withColumn("rmst", F.expr("round(round(rmst, 8), 4)")))
 
 
 @query("W12_rank_min", f"""

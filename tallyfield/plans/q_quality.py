@@ -206,8 +206,8 @@ def check_rollup(spark, sf_dir):
 
 
 @query("Q14_entity_checks", """
-WITH p AS (SELECT region, plane_id, count(*) AS n, count(DISTINCT node_id) AS ids, count(*) FILTER (is_central) AS c,
-             CASE WHEN plane_id % 4 = 0 THEN 1 ELSE count(*) FILTER (is_central) END AS listed FROM v_nodes GROUP BY ALL),
+WITH p0 AS (SELECT region, plane_id, count(*) AS n, count(DISTINCT node_id) AS ids, count(*) FILTER (is_central) AS c FROM v_nodes GROUP BY region, plane_id),
+p AS (SELECT *, CASE WHEN plane_id % 4 = 0 THEN 1 ELSE c END AS listed FROM p0),
 f AS (SELECT region, sum(n)::BIGINT AS nodes, sum(ids)::BIGINT AS ids, sum(c)::BIGINT AS central_nodes, max(c) - min(c) AS imb, count(*) FILTER (listed <> c) AS bad FROM p GROUP BY region)
 SELECT region, nodes, central_nodes, 'unique_ids' AS "check", nodes - ids AS observed, nodes = ids AS passed FROM f UNION ALL
 SELECT region, nodes, central_nodes, 'plane_imbalance_le_1', imb, imb <= 1 FROM f UNION ALL SELECT region, nodes, central_nodes, 'list_matches_count', bad, bad = 0 FROM f""")
