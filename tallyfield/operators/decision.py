@@ -25,23 +25,21 @@ MINMAX_RULES = {
 }
 
 
-def minmax(
-    df: DataFrame, keys: Sequence[str], columns: Mapping[str, tuple[str, bool]], rule: str = "middle"
-) -> DataFrame:
-    """Add scaled columns: ``columns`` maps output -> (source, invert). Bounds come from one aggregation.
+def minmax(df: DataFrame, keys: Sequence[str], columns: Mapping[str, tuple], rule: str = "middle") -> DataFrame:
+    """Add scaled columns: ``columns`` maps output -> (source, invert) or (source, invert, own rule).
 
-    Null rules: ``zero`` before inversion (so 1 after), ``worst`` end of the range, ``final_zero``
-    after inversion, or ``keep`` NULL.
+    Bounds of all sources come from one aggregation. Null rules: ``zero`` before inversion (so 1
+    after), ``worst`` end of the range, ``final_zero`` after inversion, or ``keep`` NULL.
     """
-    rules = MINMAX_RULES[rule]
-    sources = sorted({source for source, _ in columns.values()})
+    sources = sorted({spec[0] for spec in columns.values()})
     clean = {s: f"nanvl(cast({s} as double), null)" for s in sources}
     bounds = df.groupBy(*keys).agg(
         *[F.expr(f"min({clean[s]}) as _lo_{s}") for s in sources], *[F.expr(f"max({clean[s]}) as _hi_{s}") for s in sources]
     )
     joined = attach(df, bounds, keys)
     adds = []
-    for name, (s, invert) in columns.items():
+    for name, (s, invert, *own) in columns.items():
+        rules = MINMAX_RULES[own[0] if own else rule]
         x = clean[s]
         if rules["null"] == "worst":
             x = f"coalesce({x}, _hi_{s})" if invert else f"coalesce({x}, _lo_{s})"
@@ -157,10 +155,9 @@ def weight_sweep(df: DataFrame, region: str, case: str, first: str, second: str,
 
 def pillars(df: DataFrame, keys: Sequence[str], sources: Mapping[str, str]) -> DataFrame:
     """Performance and resource-efficiency composites; a censored time scores zero."""
-    performance = minmax(
-        df, keys, {f"p_{n}": (sources[n], n == "timeliness") for n in PERFORMANCE_WEIGHTS}, "censored_zero"
-    )
-    both = minmax(performance, keys, {f"r_{n}": (sources[n], True) for n in BURDEN_WEIGHTS}, "middle_keep")
+    benefits = {f"p_{n}": (sources[n], n == "timeliness", "censored_zero") for n in PERFORMANCE_WEIGHTS}
+    savings = {f"r_{n}": (sources[n], True, "middle_keep") for n in BURDEN_WEIGHTS}
+    both = minmax(df, keys, {**benefits, **savings})
     p = " + ".join(f"{w} * p_{n}" for n, w in PERFORMANCE_WEIGHTS.items())
     r = " + ".join(f"{w} * r_{n}" for n, w in BURDEN_WEIGHTS.items())
     return both.selectExpr("*", f"{p} as performance", f"{r} as efficiency")

@@ -11,6 +11,7 @@ from tallyfield.operators.aggregates import summary
 from tallyfield.operators.ordered import attach
 from tallyfield.operators.resample import bootstrap_mean, cluster_bootstrap_mean
 from tallyfield.operators.windows import retention_auc
+from tallyfield.session import pinned
 
 TINY_BASE = 1e-12
 
@@ -40,6 +41,7 @@ def robustness_interval(
 ) -> DataFrame:
     """(keys, quantity): mean with a cluster bootstrap interval, p05, and the number of clusters."""
     columns = [f"{q}_{m}" for m in metrics for q in ("stressed", "delta", "retention")]
+    detail = pinned(detail.select(*keys, cluster, *columns))
     interval = cluster_bootstrap_mean(detail, keys, cluster, columns, draws, seed)
     low_tail = summary(detail, keys, columns, ["n", "p05"], {"p05": 0.05})
     return attach(interval, low_tail, [*keys, "metric"])
@@ -66,10 +68,10 @@ def paired_effects(
     )
     sides = df.selectExpr(*keys, *metrics, f"inline(array({items}))").filter("side is not null")
     contrast = [*keys, "reference", "alternative"]
-    both = sides.groupBy(*contrast).agg(
+    both = pinned(sides.groupBy(*contrast).agg(
         F.expr("count(distinct side) as n_sides"),
         *[F.expr(f"max({m}) filter (where side = 'a') - max({m}) filter (where side = 'r') as `{m}`") for m in metrics],
-    ).filter("n_sides = 2")
+    ).filter("n_sides = 2"))
     group = [*region, "reference", "alternative"]
     interval = bootstrap_mean(both, group, metrics, draws, seed, row_id=keys)
     middle = summary(both, group, metrics, ["median"], {"median": 0.5})
@@ -85,7 +87,7 @@ def high_level_decline(
     correlation of the change with each explanatory change (NULL below three pairs)."""
     from tallyfield.operators.correlation import correlations
 
-    high = deltas.filter(F.col("level_from") >= threshold)
+    high = pinned(deltas.filter(F.col("level_from") >= threshold))
     group = [*keys, "level_from", "level_to"]
     counts = high.groupBy(*group).agg(
         F.expr("count(distinct base_id) as bases"),

@@ -39,10 +39,15 @@ def _stats_sql(metrics) -> str:
 SELECT region, family, failure_level_percent, count(DISTINCT case_id) AS case_count, count(*) AS scenario_evaluations, {_stats_sql([OBS, T100, MBIT])}
 FROM v_case_metrics WHERE status = 'COMPLETED' GROUP BY region, family, failure_level_percent""")
 def describe_by(spark, sf_dir):
-    done = V.case_metrics(spark, sf_dir).filter("status = 'COMPLETED'")
+    done = V.case_table(spark, sf_dir).filter("status = 'COMPLETED'")
     return rounded(agg.describe_by(done, ["region", "family", "failure_level_percent"], [OBS, T100, MBIT]))
 
 
+_ROLLUP = [*V.CASE_KEYS, "original_coverage_deadline_percent", "surviving_coverage_deadline_percent", "s100_original_by_deadline",
+           "s100_surviving_by_deadline", "observed_before_deadline", "failure_class", "t100_surviving_min", "t100_surviving_censored",
+           "transferred_mbits", "n_transfers", "max_hops", "reached_original_by_deadline", "observation_latency_min", "priority_class"]
+
+
 @query("A02_case_rollup", f"""
 SELECT region, case_id, scenario_id, n_tasks, geometry_failure_count, communication_failure_count, routing_or_timing_failure_count,
        t100_completed_count, t100_censored_count, n_transfer_events, max_hops_seen, round(transferred_mbits, 4) AS transferred_mbits,
@@ -53,7 +58,7 @@ FROM v_case_metrics JOIN (
          quantile_cont(t100_surviving_min, 0.95) AS p95 FROM v_task_metrics GROUP BY ALL) USING (region, case_id, scenario_id)""")
 def case_rollup(spark, sf_dir):
     probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
-    out = outcomes.rollup_with_quantiles(V.task_metrics(spark, sf_dir), V.CASE_KEYS, "t100_surviving_min", probs)
+    out = outcomes.rollup_with_quantiles(V.task_table(spark, sf_dir, _ROLLUP), V.CASE_KEYS, "t100_surviving_min", probs)
     return rounded(out.selectExpr(
         *V.CASE_KEYS, "n_tasks", "geometry_failure_count", "communication_failure_count", "routing_or_timing_failure_count",
         "t100_completed_count", "t100_censored_count", "n_transfer_events", "max_hops_seen",
@@ -74,7 +79,7 @@ SELECT region, scenario_id, count(*) AS n_tasks, round(100 * avg((reached_origin
 FROM v_task_metrics GROUP BY region, scenario_id""")
 def outcome_rollup(spark, sf_dir):
     return rounded(outcomes.outcome_rollup(
-        V.task_metrics(spark, sf_dir), ["region", "scenario_id"], _LAT, {"p50": 0.5, "p90": 0.9, "p95": 0.95}))
+        V.task_table(spark, sf_dir, _ROLLUP), ["region", "scenario_id"], _LAT, {"p50": 0.5, "p90": 0.9, "p95": 0.95}))
 
 
 _CRITERIA = {
@@ -105,7 +110,7 @@ SELECT region, scenario_id, cn_fraction_percent, metric, count(*) AS n, round(av
        round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, max(n_bases) AS n_bases
 FROM long JOIN b USING (region, scenario_id, cn_fraction_percent) GROUP BY region, scenario_id, cn_fraction_percent, metric""")
 def level_summary(spark, sf_dir):
-    done = V.case_metrics(spark, sf_dir).filter(f"status = 'COMPLETED' and {PRIMARY}")
+    done = V.case_table(spark, sf_dir).filter(f"status = 'COMPLETED' and {PRIMARY}")
     return rounded(agg.level_summary(done, ["region", "scenario_id", "cn_fraction_percent"], [OBS, S100, COV, T100, MBIT]))
 
 
@@ -142,7 +147,7 @@ SELECT scenario_id, priority_class, count(DISTINCT case_id) AS case_count, count
        round(quantile_cont(observation_latency_min, 0.9), 6) AS latency_p90, round(quantile_cont(t100_surviving_min, 0.9), 6) AS t100_p90
 FROM v_task_metrics GROUP BY scenario_id, priority_class""")
 def task_summary(spark, sf_dir):
-    return rounded(agg.task_summary(V.task_metrics(spark, sf_dir), ["scenario_id", "priority_class"]))
+    return rounded(agg.task_summary(V.task_table(spark, sf_dir, _ROLLUP), ["scenario_id", "priority_class"]))
 
 
 @query("A10_transfer_summary", """
@@ -422,7 +427,7 @@ _FLEET_SQL = f"""f AS (SELECT {", ".join(_FLEET)}, n_planes, round(avg({OBS}), 9
 
 
 def _fleets(spark, sf_dir):
-    rows = V.case_metrics(spark, sf_dir).filter("n_planes in (3, 4)")
+    rows = V.case_table(spark, sf_dir).filter("n_planes in (3, 4)")
     means = rows.groupBy(*_FLEET, "n_planes").agg(F.expr(f"round(avg({OBS}), 9) as {OBS}"), F.expr(f"round(avg({MBIT}), 9) as {MBIT}"))
     return means.filter("n_planes = 3"), means.filter("n_planes = 4")
 

@@ -68,10 +68,9 @@ _RULES = ["middle", "full", "none", "middle_keep", "censored_zero"]
     f"round({_minmax_sql(T100, False, r)}, 6) AS up_{r}, round({_minmax_sql(T100, True, r)}, 6) AS down_{r}" for r in _RULES
 ) + f" FROM v_case_metrics WHERE {UNLIMITED}")
 def minmax(spark, sf_dir):
-    rows = V.case_metrics(spark, sf_dir).filter(UNLIMITED).select("region", "case_id", T100)
-    for rule in _RULES:
-        rows = decision.minmax(rows, ["region"], {f"up_{rule}": (T100, False), f"down_{rule}": (T100, True)}, rule)
-    return rounded(rows.drop(T100))
+    rows = V.case_table(spark, sf_dir).filter(UNLIMITED).select("region", "case_id", T100)
+    columns = {f"{way}_{rule}": (T100, way == "down", rule) for rule in _RULES for way in ("up", "down")}
+    return rounded(decision.minmax(rows, ["region"], columns).drop(T100))
 
 
 _UP, _DOWN = [OBS, COV], ["n_satellites", "n_central_nodes", MBIT]
@@ -86,9 +85,12 @@ front AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM fv b WHERE b.{keys} = a.{keys} A
 
 
 def _unlimited(spark, sf_dir):
-    """Unlimited-scenario cases with objectives rounded, so that both engines see the same ties."""
-    return V.case_metrics(spark, sf_dir).filter(UNLIMITED).withColumns(
-        {c: F.expr(f"round(round({c}, 10), 6)") for c in (OBS, S100, COV, T100, MBIT)})
+    return _settled(V.case_table(spark, sf_dir).filter(UNLIMITED))
+
+
+def _settled(cases):
+    """Objectives rounded, so that both engines see the same ties."""
+    return cases.withColumns({c: F.expr(f"round(round({c}, 10), 6)") for c in (OBS, S100, COV, T100, MBIT)})
 
 
 _UNL_SQL = f"u AS (SELECT * FROM v_case_metrics WHERE {UNLIMITED})"
@@ -129,7 +131,7 @@ _BURDEN = {"satellites": "n_satellites", "central_nodes": "n_central_nodes", "da
 @query("M05_resource_burden", f"""
 WITH {_UNL_SQL} SELECT region, case_id, round({" + ".join(f"{w} * {_minmax_sql(_BURDEN[p], False, 'full')}" for p, w in decision.BURDEN_WEIGHTS.items())}, 6) AS resource_burden FROM u""")
 def resource_burden(spark, sf_dir):
-    rows = V.case_metrics(spark, sf_dir).filter(UNLIMITED)
+    rows = V.case_table(spark, sf_dir).filter(UNLIMITED)
     return rounded(decision.resource_burden(rows, ["region"], _BURDEN).select("region", "case_id", "resource_burden"))
 
 
@@ -138,8 +140,11 @@ _PART_SQL = ", ".join(f"round({_minmax_sql(s, i, 'middle')}, 9) AS {n}" for n, (
 
 
 def _components(spark, sf_dir):
-    scaled = decision.minmax(V.case_metrics(spark, sf_dir).filter(UNLIMITED), ["region"], _PARTS, "middle")
-    return scaled.select("region", "case_id", *[F.round(c, 9).alias(c) for c in _PARTS])
+    return _scaled(V.case_table(spark, sf_dir).filter(UNLIMITED))
+
+
+def _scaled(cases):
+    return decision.minmax(cases, ["region"], _PARTS, "middle").select("region", "case_id", *[F.round(c, 9).alias(c) for c in _PARTS])
 
 
 def _exp_sql(seed: int, draw: str, index: int) -> str:
@@ -218,7 +223,7 @@ WITH {_PILLAR_SQL}, p AS (SELECT * FROM k, (VALUES {", ".join(f"('{n}', {s}::DOU
 s AS (SELECT *, round(share * performance + (1 - share) * efficiency, 9) AS ut FROM p)
 SELECT region, profile, share, case_id AS winner, round(ut, 6) AS utility FROM s QUALIFY row_number() OVER (PARTITION BY region, profile ORDER BY ut DESC, case_id) = 1""")
 def profile_winners(spark, sf_dir):
-    scored = decision.pillars(V.case_metrics(spark, sf_dir).filter(UNLIMITED), ["region"], _PILLAR_SOURCES)
+    scored = decision.pillars(V.case_table(spark, sf_dir).filter(UNLIMITED), ["region"], _PILLAR_SOURCES)
     return rounded(decision.profile_winners(scored, "region", "case_id"))
 
 
@@ -238,7 +243,7 @@ s AS (SELECT region, case_id, draw, round(lam * ({_PW}) / (v0 + v1 + v2 + v3) +
 b AS (SELECT region, case_id FROM s QUALIFY row_number() OVER (PARTITION BY region, draw ORDER BY ut DESC, case_id) = 1)
 SELECT region, case_id, count(*) AS wins, round(100.0 * count(*) / 30, 6) AS win_percent FROM b GROUP BY ALL""")
 def random_utility(spark, sf_dir):
-    scored = decision.pillars(V.case_metrics(spark, sf_dir).filter(UNLIMITED), ["region"], _PILLAR_SOURCES)
+    scored = decision.pillars(V.case_table(spark, sf_dir).filter(UNLIMITED), ["region"], _PILLAR_SOURCES)
     return rounded(decision.random_utility(scored, "region", "case_id", 30, 23))
 
 
@@ -253,13 +258,13 @@ FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}', {d}::DOUBLE)" for a, b, c, d in
 def weighting_proposal(spark, sf_dir):
     from tallyfield.operators.correlation import metric_redundancy
 
-    return decision.weighting_proposal(metric_redundancy(V.case_metrics(spark, sf_dir).filter(UNLIMITED), [], _REDUNDANT, 0.7))
+    return decision.weighting_proposal(metric_redundancy(V.case_table(spark, sf_dir).filter(UNLIMITED), [], _REDUNDANT, 0.7))
 
 
 @query("M10_model_comparison")
 def model_comparison(spark, sf_dir):
     """Rows only: cross-validated fits of four models."""
-    rows = V.case_metrics(spark, sf_dir).filter(PRIMARY)
+    rows = V.case_table(spark, sf_dir).filter(PRIMARY)
     features = ["n_satellites", "n_planes", "altitude_km", "inclination_deg", "cn_fraction_percent"]
     return rounded(models.model_comparison(rows, ["region", "scenario_id"], features, MBIT, ["case_id", "region"]))
 
@@ -359,7 +364,7 @@ det AS (SELECT s.region, s.case_id, s.base_id, s.family, s.failure_level_percent
 
 def _detail(spark, sf_dir, cell=CELL, metrics=(COV, OBS)):
     return robust.robustness_detail(
-        V.case_metrics(spark, sf_dir), ["region", "case_id"], ["base_id", *cell], list(metrics), STRESS, UNLIMITED)
+        V.case_table(spark, sf_dir), ["region", "case_id"], ["base_id", *cell], list(metrics), STRESS, UNLIMITED)
 
 
 @query("M17_robustness_detail", f"""
@@ -388,7 +393,7 @@ def robustness_interval(spark, sf_dir):
 @query("M19_combined_stress", "WITH " + _interval_sql(
     "region, task_size_multiplier, failure_level_percent", _DETAIL_SQL.replace(STRESS, "s.family = 'combined_stress'"), 40))
 def combined_stress(spark, sf_dir):
-    rows = V.case_metrics(spark, sf_dir)
+    rows = V.case_table(spark, sf_dir)
     cell = ["task_size_multiplier", "failure_level_percent"]
     detail = robust.robustness_detail(rows, ["region", "case_id"], ["base_id", *cell], [COV, OBS], "family = 'combined_stress'", UNLIMITED)
     return rounded(robust.robustness_interval(detail, ["region", *cell], "base_id", [COV, OBS], 40, 1))
@@ -410,8 +415,9 @@ def retention_auc(spark, sf_dir):
 WITH {_AUC_SQL}, sc AS (SELECT region, case_id, avg(auc_retention) AS a FROM auc GROUP BY ALL)
 SELECT region, case_id, round({COV}, 6) AS {COV}, round(a, 6) AS robustness_auc_retention FROM v_case_metrics LEFT JOIN sc USING (region, case_id) WHERE {UNLIMITED}""")
 def robustness_score(spark, sf_dir):
-    cases = V.case_metrics(spark, sf_dir).filter(UNLIMITED).select("region", "case_id", COV)
-    detail = _detail(spark, sf_dir, metrics=[COV])
+    facts = V.case_table(spark, sf_dir)
+    cases = facts.filter(UNLIMITED).select("region", "case_id", COV)
+    detail = robust.robustness_detail(facts, ["region", "case_id"], ["base_id", *CELL], [COV], STRESS, UNLIMITED)
     return rounded(robust.robustness_score(cases, detail, ["region", "case_id"], "family", "failure_level_percent", COV))
 
 
@@ -451,8 +457,9 @@ c AS (SELECT case_id, count(DISTINCT region) AS regions_present, min(rank1_perce
 p AS (SELECT * FROM c WHERE regions_present = 2 OR NOT EXISTS (SELECT 1 FROM c WHERE regions_present = 2) ORDER BY regions_present DESC, worst_rank1 DESC, mean_top5 DESC, case_id LIMIT 5)
 SELECT region, case_id, rank1_percent, top5_percent, regions_present, worst_rank1, mean_top5 FROM f JOIN p USING (case_id)""")
 def shortlist(spark, sf_dir):
-    flagged = skyline.skyline(_unlimited(spark, sf_dir), ["region"], [S100, OBS], [MBIT]).select("region", "case_id", "is_front")
-    ranks = decision.rank_acceptability(_components(spark, sf_dir), "region", "case_id", list(_PARTS), 40, 5, 11)
+    cases = V.case_table(spark, sf_dir).filter(UNLIMITED)
+    flagged = skyline.skyline(_settled(cases), ["region"], [S100, OBS], [MBIT]).select("region", "case_id", "is_front")
+    ranks = decision.rank_acceptability(_scaled(cases), "region", "case_id", list(_PARTS), 40, 5, 11)
     joined = flagged.join(ranks.select("region", "case_id", "rank1_percent", "top5_percent"), ["region", "case_id"])
     return topk.shortlist(joined).drop("is_front")
 

@@ -56,7 +56,7 @@ SELECT s.region, s.case_id, s.scenario_id, round(s.{OBS}, 6) AS {OBS}, round(b.{
 FROM v_case_metrics s LEFT JOIN (SELECT region, case_id, {OBS} FROM v_case_metrics WHERE {UNLIMITED}) b ON s.region = b.region AND s.case_id = b.case_id
 WHERE s.failure_level_percent > 0""")
 def attach_baseline(spark, sf_dir):
-    facts = V.case_metrics(spark, sf_dir).select(*V.CASE_KEYS, "failure_level_percent", OBS)
+    facts = V.case_table(spark, sf_dir).select(*V.CASE_KEYS, "failure_level_percent", OBS)
     stressed = facts.filter("failure_level_percent > 0").drop("failure_level_percent")
     return rounded(joins.attach_baseline(stressed, facts.filter(UNLIMITED), ["region", "case_id"], [OBS]))
 
@@ -341,7 +341,7 @@ def priority_event_summary(spark, sf_dir):
 @query("W12_rank_min", f"""
 SELECT region, case_id, scenario_id, round({MBIT}, 6) AS {MBIT}, rank() OVER (PARTITION BY region ORDER BY {EVENTS} DESC) AS score_rank FROM v_case_metrics""")
 def rank_min(spark, sf_dir):
-    out = windows.rank_min(V.case_metrics(spark, sf_dir), ["region"], EVENTS)
+    out = windows.rank_min(V.case_table(spark, sf_dir), ["region"], EVENTS)
     return rounded(out.select(*V.CASE_KEYS, MBIT, "score_rank"))
 
 

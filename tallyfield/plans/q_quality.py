@@ -78,7 +78,7 @@ def recompute_compare(spark, sf_dir):
     reported = V.task_metrics(spark, sf_dir).groupBy(*V.CASE_KEYS).agg(
         F.expr("count(*) as n_tasks"), F.expr(f"100 * avg(cast(observed_before_deadline as double)) as {OBS}"),
         F.expr(f"sum(n_transfers) + cast(max(task_id) % 5 = 0 as int) as {EVENTS}"))
-    return rounded(quality.recompute_compare(reported, V.case_metrics(spark, sf_dir), V.CASE_KEYS, ["n_tasks", OBS, EVENTS]))
+    return rounded(quality.recompute_compare(reported, V.case_table(spark, sf_dir), V.CASE_KEYS, ["n_tasks", OBS, EVENTS]))
 
 
 @query("Q05_event_invariants", """
@@ -143,7 +143,7 @@ def _intended(facts):
 WITH {_INTENDED_SQL} SELECT m.region, case_id, count(*) AS completed_rows, count(DISTINCT n_tasks) AS distinct_task_counts, min(n_tasks) AS minimum_task_count, max(n_tasks) AS maximum_task_count,
   max(intended_task_count) AS intended_task_count, count(DISTINCT n_tasks) = 1 AND min(n_tasks) = max(intended_task_count) AS uses_intended_count FROM v_case_metrics m JOIN it USING (region) GROUP BY m.region, case_id""")
 def population_contract(spark, sf_dir):
-    facts = V.case_metrics(spark, sf_dir).select(*V.CASE_KEYS, "n_tasks")
+    facts = V.case_table(spark, sf_dir).select(*V.CASE_KEYS, "n_tasks")
     return quality.population_contract(facts, ["region", "case_id"], _intended(facts), ["region"])
 
 
@@ -152,7 +152,7 @@ def population_contract(spark, sf_dir):
     for x, y in PAIRS) + """) SELECT region, reference, alternative, count(*) AS paired_cases, count(*) FILTER (r = a) AS same_task_count_cases,
   count(*) FILTER (r = a AND r = intended_task_count) AS intended_task_count_cases, count(*) FILTER (r <> a) AS mismatched_task_count_cases FROM p JOIN it USING (region) GROUP BY ALL""")
 def pair_contract(spark, sf_dir):
-    facts = V.case_metrics(spark, sf_dir).select(*V.CASE_KEYS, "n_tasks")
+    facts = V.case_table(spark, sf_dir).select(*V.CASE_KEYS, "n_tasks")
     return quality.pair_contract(facts, ["region"], PAIRS, _intended(facts))
 
 

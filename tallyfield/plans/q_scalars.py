@@ -291,7 +291,7 @@ def balanced_subset(spark, sf_dir):
     from tallyfield.operators.joins import balanced_subset as balanced
 
     return balanced(
-        V.case_metrics(spark, sf_dir), ["region", "scenario_id", "base_id"], "cn_fraction_percent", [0, 25, 50, 75, 100]
+        V.case_table(spark, sf_dir), ["region", "scenario_id", "base_id"], "cn_fraction_percent", [0, 25, 50, 75, 100]
     ).select("region", "scenario_id", "base_id", "case_id", "n_tasks")
 
 

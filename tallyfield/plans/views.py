@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.ids import base_id
 from tallyfield.operators.outcomes import case_rollup, coverage, with_failure_class
+from tallyfield.session import pinned
 
 DAY = 86400.0
 # Response time per priority, in days: the driver's dates are day-grained and span years.
@@ -130,15 +131,30 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as transfers and as observation opportunities, with their task and node."""
-    moved = table(spark, sf_dir, "lineitem").join(tasks(spark, sf_dir), F.expr("l_orderkey = task_id"))
-    return moved.join(nodes(spark, sf_dir), F.expr("l_suppkey = node_id")).selectExpr(
+    """Order lines as transfers and as observation opportunities, with their task and node.
+
+    Node tables join one by one, each with its own size estimate, and the task join comes last: the
+    result is partitioned by task whichever way the planner joins the nodes, and the aggregations
+    by task that follow need no further shuffle.
+    """
+    placed = (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(
+            "l_orderkey", "r_name as region", "l_suppkey as node_id", "l_suppkey % 10 < 3 as is_central",
+            "cast(s_nationkey as long) as plane_id", "s_acctbal < 0 as weak",
+            "cast(unix_timestamp(l_shipdate) as double) as end_sec",
+            f"cast(unix_timestamp(l_shipdate) as double) + (l_linenumber - 3) * {10 * DAY} as opportunity_sec",
+            "l_returnflag in ('N', 'R') as is_opportunity", "cast(l_linenumber as long) as hop", "l_partkey as from_node",
+            "l_quantity as mbit",
+        )
+    )
+    return placed.join(tasks(spark, sf_dir), F.expr("l_orderkey = task_id")).selectExpr(
         "region", "task_id", "node_id", "is_central", "plane_id", "case_id", "base_id", *DESIGN, "scenario_id", *SCENARIO,
-        "priority_class", "created_sec", "deadline_sec", "stressed and weak as node_failed",
-        "cast(unix_timestamp(l_shipdate) as double) as end_sec",
-        f"cast(unix_timestamp(l_shipdate) as double) + (l_linenumber - 3) * {10 * DAY} as opportunity_sec",
-        "l_returnflag in ('N', 'R') as is_opportunity", "cast(l_linenumber as long) as hop", "l_partkey as from_node",
-        "l_quantity as mbit",
+        "priority_class", "created_sec", "deadline_sec", "stressed and weak as node_failed", "end_sec", "opportunity_sec",
+        "is_opportunity", "hop", "from_node", "mbit",
     )
 
 
@@ -199,6 +215,16 @@ def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_rollup(task_metrics(spark, sf_dir), [*CASE_KEYS, "base_id", *DESIGN, *SCENARIO])
 
 
+def case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`case_metrics` written once, for analyses that go over the cases more than once."""
+    return pinned(case_metrics(spark, sf_dir))
+
+
+def task_table(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Chosen columns of :func:`task_metrics` written once, for analyses with several passes."""
+    return pinned(task_metrics(spark, sf_dir).select(*columns))
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts between users: from each event, to the user ``k`` places on, open for ``value`` minutes."""
     parsed = table(spark, sf_dir, "events").selectExpr(
