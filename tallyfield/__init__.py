@@ -1 +1,8 @@
 """Spark operators for experiment campaigns: many design points, each evaluated under many scenarios."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -28,7 +28,8 @@ def case_fields(case_id: str | Column, strict: bool = False) -> dict[str, Column
     for index, (name, kind, scale) in enumerate(CASE_FIELDS, start=1):
         number = F.regexp_extract(text, CASE_PATTERN, index).cast("long")
         value = number if scale == 1.0 else number / F.lit(scale)
-        fields[name] = F.when(fits, value.cast(kind))
+        # Under strict the error sits in ``text`` and must be reached, so nothing may skip the value.
+        fields[name] = value.cast(kind) if strict else F.when(fits, value.cast(kind))
     return fields
 
 

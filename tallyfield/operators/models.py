@@ -91,9 +91,9 @@ def _cross_validate(shaped: DataFrame, keys: Sequence[str], name: str, p: int, l
     guess = "aggregate(zip_with(x, beta, (a, b) -> a * b), 0D, (s, v) -> s + v)"
     if log_target:
         guess = f"exp(least(700D, {guess}))"
-    tested = shaped.join(fits, [*keys, "fold"]).selectExpr(*keys, "fold", "y", f"{guess} as g")
+    tested = shaped.join(fits, [*keys, "fold"]).selectExpr(*keys, "fold", "y", f"{guess} as _g")
     per_fold = tested.groupBy(*keys, "fold").agg(
-        F.expr("count(*) as n"), F.expr("sum((y - g) * (y - g)) as rss"), F.expr("sum(abs(y - g)) as ae"),
+        F.expr("count(*) as n"), F.expr("sum((y - _g) * (y - _g)) as rss"), F.expr("sum(abs(y - _g)) as ae"),
         F.expr("var_pop(y) * count(*) as tss"),
     )
     return per_fold.groupBy(*keys).agg(

@@ -65,7 +65,8 @@ class _Deadline(StatefulProcessor):
 def deadline_monitor(log: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     """Outcomes of a stream of ``task_id, kind ('task' or 'arrival'), event_ts, event_sec, deadline_sec``.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    ``lateness`` is how far behind the newest row a row may come and still count; choose it above
+    the delay of the source. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     return (
         log.withWatermark("event_ts", lateness)

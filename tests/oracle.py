@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -83,6 +84,9 @@ def main(argv: list[str]) -> int:
     wanted = argv[2:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("KEEP_PARTITIONS"):
+        # Small data would be merged into one partition; this keeps the work split as on big data.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
