@@ -77,23 +77,24 @@ def _exponential(seed: int, draw: str, index: int) -> Column:
 
 
 def with_draws(df: DataFrame, draws: int, shapes: Sequence[int], seed: int, prefix: str = "w") -> DataFrame:
-    """Explode ``draws`` weight vectors onto each row: Dirichlet with whole-number shapes.
+    """Each row under each of ``draws`` weight vectors: Dirichlet with whole-number shapes.
 
-    A gamma of shape k is the sum of k exponentials; dividing by the sum gives the weights.
+    A gamma of shape k is the sum of k exponentials; dividing by the sum gives the weights. The
+    vectors are made once, as one row holding an array whose length is the parameter, and unfolded
+    next to every candidate.
     """
-    out = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    parts, index = [], 0
-    for shape in shapes:
-        total = None
-        for _ in range(shape):
-            e = _exponential(seed, "draw", index)
-            total = e if total is None else total + e
-            index += 1
-        parts.append(total)
-    out = out.withColumns({f"_g{i}": p for i, p in enumerate(parts)})
-    names = [f"_g{i}" for i in range(len(parts))]
-    out = out.withColumn("_gs", F.expr(" + ".join(names)))
-    return out.withColumns({f"{prefix}{i}": F.expr(f"_g{i} / _gs") for i in range(len(parts))}).drop(*names, "_gs")
+    made = df.sparkSession.range(draws).selectExpr("cast(id as int) as draw")
+    parts, index = {}, 0
+    for i, shape in enumerate(shapes):
+        total = _exponential(seed, "draw", index)
+        for k in range(1, shape):
+            total = total + _exponential(seed, "draw", index + k)
+        parts[f"_g{i}"] = total
+        index += shape
+    whole = " + ".join(parts)
+    vectors = made.withColumns(parts).selectExpr("draw", *[f"{g} / ({whole}) as {prefix}{i}" for i, g in enumerate(parts)])
+    one = vectors.agg(F.collect_list(F.struct(*vectors.columns)).alias("_draws"))
+    return attach(df, one, []).selectExpr(*df.columns, "inline(_draws)")
 
 
 def _scored(df: DataFrame, region: str, case: str, components: Sequence[str], draws: int, seed: int) -> DataFrame:
