@@ -24,9 +24,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join columns of ``right`` (unique per key) to ``left``; null keys match each other."""
+    """Join columns of ``right`` (unique per key) to ``left``; null keys match each other.
+
+    Without keys ``right`` is the single row of a whole-table aggregate, the one thing broadcast by hand.
+    """
     if not keys:
-        renamed = right.withColumn("_one", F.lit(1))
+        renamed = F.broadcast(right.withColumn("_one", F.lit(1)))
         return left.withColumn("_one", F.lit(1)).join(renamed, "_one", how).drop("_one")
     marked = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(marked[f"_k_{k}"]) for k in keys])
