@@ -103,16 +103,38 @@ def _scored(df: DataFrame, region: str, case: str, components: Sequence[str], dr
     return drawn.selectExpr(region, case, "draw", f"round({total}, 9) as score")
 
 
+def best_case(scored: DataFrame, keys: Sequence[str], case: str, score: str = "score") -> DataFrame:
+    """(keys, winner, score): the highest score, ties to the smaller case.
+
+    The maximum of a number combines in place by hashing; names are compared only among the few ties.
+    """
+    highest = scored.groupBy(*keys).agg(F.max(score).alias("_top"))
+    ties = attach(scored, highest, keys).filter(f"{score} = _top")
+    return ties.groupBy(*keys).agg(F.min(case).alias("winner"), F.max(score).alias("score"))
+
+
+def leading_cases(scored: DataFrame, keys: Sequence[str], case: str, top: int, strata: int = 64) -> DataFrame:
+    """The first ``top`` rows per key by score (``place`` 1..top), ties to the smaller case.
+
+    Cases fall into strata by hash. The ``top``-th best of the strata maxima is reached by at least
+    ``top`` cases, so no row below it can place; what is left to sort is close to ``top`` rows per key.
+    """
+    maxima = scored.groupBy(*keys, F.expr(f"pmod(xxhash64({case}), {max(strata, 4 * top)}) as _s")).agg(F.max("score").alias("_m"))
+    bar = maxima.groupBy(*keys).agg(F.expr(f"try_element_at(sort_array(collect_list(_m), false), {top}) as _bar"))
+    able = attach(scored, bar, keys).filter("_bar is null or score >= _bar").drop("_bar")
+    return top_n_per_group(able, keys, [F.col("score").desc(), F.col(case)], top, "place")
+
+
 def rank_acceptability(
     df: DataFrame, region: str, case: str, components: Sequence[str], draws: int = 200, top: int = 5, seed: int = 11
 ) -> DataFrame:
     """Share of random weightings in which a case is first, and among the first ``top``; and the
     equal-weight score with its rank. Ties go to the smaller case.
 
-    First places come from rows limited to ``top`` per draw before the shuffle; no draw is ranked in full.
+    No draw is ranked in full, see :func:`leading_cases`.
     """
     scored = _scored(df, region, case, components, draws, seed)
-    best = top_n_per_group(scored, [region, "draw"], [F.col("score").desc(), F.col(case)], top, "place")
+    best = leading_cases(scored, [region, "draw"], case, top)
     wins = best.groupBy(region, case).agg(
         F.expr(f"100D * count_if(place = 1) / {draws} as rank1_percent"), F.expr(f"100D * count(*) / {draws} as top{top}_percent")
     )
@@ -140,8 +162,7 @@ def rank_distribution(
 def draw_winners(df: DataFrame, region: str, case: str, components: Sequence[str], draws: int, seed: int = 11) -> DataFrame:
     """The best case of every draw: a maximum, combined before the shuffle. Ties go to the smaller case."""
     scored = _scored(df, region, case, components, draws, seed)
-    best = scored.groupBy(region, "draw").agg(F.expr(f"min(struct(-score as s, {case} as c)) as b"))
-    return best.selectExpr(region, "draw", "b.c as winner", "-b.s as score")
+    return best_case(scored, [region, "draw"], case)
 
 
 def weight_sweep(df: DataFrame, region: str, case: str, first: str, second: str, steps: int = 101) -> DataFrame:
@@ -150,8 +171,8 @@ def weight_sweep(df: DataFrame, region: str, case: str, first: str, second: str,
     scored = grid.selectExpr(
         region, case, "step", f"round(step / {steps - 1}D * {first} + (1 - step / {steps - 1}D) * {second}, 9) as score"
     )
-    best = scored.groupBy(region, "step").agg(F.expr(f"min(struct(-score as s, {case} as c)) as b"))
-    return best.selectExpr(region, "step", f"step / {steps - 1}D as weight", "b.c as winner", "-b.s as utility")
+    best = best_case(scored, [region, "step"], case)
+    return best.selectExpr(region, "step", f"step / {steps - 1}D as weight", "winner", "score as utility")
 
 
 def pillars(df: DataFrame, keys: Sequence[str], sources: Mapping[str, str]) -> DataFrame:
@@ -168,10 +189,9 @@ def profile_winners(scored: DataFrame, region: str, case: str) -> DataFrame:
     """Best case of each declared profile by share * performance + (1 - share) * efficiency."""
     items = ", ".join(f"named_struct('profile', '{n}', 'share', {s}D)" for n, s in PROFILES.items())
     rows = scored.selectExpr(region, case, "performance", "efficiency", f"inline(array({items}))").selectExpr(
-        region, case, "profile", "share", "round(share * performance + (1 - share) * efficiency, 9) as u"
+        region, case, "profile", "share", "round(share * performance + (1 - share) * efficiency, 9) as score"
     )
-    best = rows.groupBy(region, "profile", "share").agg(F.expr(f"min(struct(-u as s, {case} as c)) as b"))
-    return best.selectExpr(region, "profile", "share", "b.c as winner", "-b.s as utility")
+    return best_case(rows, [region, "profile", "share"], case).withColumnRenamed("score", "utility")
 
 
 def random_utility(scored: DataFrame, region: str, case: str, draws: int, seed: int = 23) -> DataFrame:
@@ -186,9 +206,9 @@ def random_utility(scored: DataFrame, region: str, case: str, draws: int, seed:
     rw = " + ".join(f"v{i + len(p)} * {c}" for i, c in enumerate(r))
     ps = " + ".join(f"v{i}" for i in range(len(p)))
     rs = " + ".join(f"v{i + len(p)}" for i in range(len(r)))
-    rows = inner.selectExpr(region, case, "draw", f"round(lam * ({pw}) / ({ps}) + (1 - lam) * ({rw}) / ({rs}), 9) as u")
-    best = rows.groupBy(region, "draw").agg(F.expr(f"min(struct(-u as s, {case} as c)) as b"))
-    return best.groupBy(region, F.col("b.c").alias(case)).agg(
+    rows = inner.selectExpr(region, case, "draw", f"round(lam * ({pw}) / ({ps}) + (1 - lam) * ({rw}) / ({rs}), 9) as score")
+    best = best_case(rows, [region, "draw"], case)
+    return best.groupBy(region, F.col("winner").alias(case)).agg(
         F.expr("count(*) as wins"), F.expr(f"100D * count(*) / {draws} as win_percent")
     )
 
