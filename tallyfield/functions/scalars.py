@@ -151,6 +151,32 @@ def link_type(i_central: Column, j_central: Column) -> Column:
     return out
 
 
+# Readable names of failure families, and of routing by the word a policy name holds.
+FAILURE_LABELS = {
+    "random_satellite_failure": "Random satellite loss",
+    "random_cn_failure": "Random Central Node loss",
+    "targeted_cn_failure": "Targeted Central Node loss",
+    "link_window_outage": "Link-window outage",
+    "capacity_degradation": "Capacity degradation",
+    "ground_station_outage": "Ground-station outage",
+    "combined_stress": "Combined stress",
+}
+POLICY_LABELS = {"central": "Central Node routing", "peer": "Peer routing", "hybrid": "Hybrid routing"}
+
+
+def failure_label(family: Column) -> Column:
+    """Readable failure name; an unlisted family is spelled out in title case."""
+    spelled = F.initcap(F.translate(family, "_", " "))
+    return F.coalesce(mapped(family, FAILURE_LABELS), spelled)
+
+
+def policy_label(policy: Column) -> Column:
+    out = F.lit("Nominal routing")
+    for word, label in reversed(list(POLICY_LABELS.items())):
+        out = F.when(F.lower(policy).contains(word), label).otherwise(out)
+    return out
+
+
 def failure_class(n_targets: Column, n_reached: Column, observed: Column) -> Column:
     """First reason that applies: no target, no target reached, reached but not observed; else success."""
     return (

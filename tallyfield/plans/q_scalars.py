@@ -218,6 +218,17 @@ def link_type(spark, sf_dir):
     return V.windows(spark, sf_dir).select("window_id", scalars.link_type(F.col("i_central"), F.col("j_central")).alias("link_type"))
 
 
+@query("F18_readable_labels", """
+SELECT family, scenario_id, count(*) AS n, CASE family WHEN 'random_satellite_failure' THEN 'Random satellite loss' WHEN 'targeted_cn_failure' THEN 'Targeted Central Node loss'
+  WHEN 'link_window_outage' THEN 'Link-window outage' WHEN 'combined_stress' THEN 'Combined stress' WHEN 'policy_ablation' THEN 'Policy Ablation' WHEN 'nominal' THEN 'Nominal' ELSE 'Unlimited' END AS failure_label,
+  CASE WHEN scenario_id LIKE '%central%' THEN 'Central Node routing' WHEN scenario_id LIKE '%peer%' THEN 'Peer routing' WHEN scenario_id LIKE '%hybrid%' THEN 'Hybrid routing' ELSE 'Nominal routing' END AS policy_label
+FROM v_tasks GROUP BY family, scenario_id""")
+def readable_labels(spark, sf_dir):
+    counts = V.tasks(spark, sf_dir).groupBy("family", "scenario_id").agg(F.count("*").alias("n"))
+    return counts.withColumns({
+        "failure_label": scalars.failure_label(F.col("family")), "policy_label": scalars.policy_label(F.col("scenario_id"))})
+
+
 @query("F20_cost_vector", """
 SELECT region, case_id, scenario_id, n_satellites, n_planes, n_central_nodes, round(transferred_mbits, 6) AS transferred_mbits, n_transfer_events,
        round(n_satellites * 3.0 + n_planes * 10.0 + n_central_nodes * 2.5 + transferred_mbits * 0.01, 6) AS monetary_cost
