@@ -12,7 +12,7 @@ from tallyfield.session import pinned
 #: Verdict, host and path prefix of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 12, 4
-#: A host is blocked if its share of distrust exceeds its share of trust by this factor.
+#: A host is blocked if its distrust exceeds its trust by this factor.
 FACTOR = 2.0
 
 
@@ -59,14 +59,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust). Trust is a personalised PageRank from the trusted seeds along the links, distrust one from the blocked seeds against
-    them. ``seeds`` is (host, kind, weight) with kind trust or distrust; weights of a kind are brought to a sum of 1. Both run in one join a round;
-    rank that reaches a host without out-edges ends there."""
+    them. ``seeds`` is (host, kind, weight) with kind trust or distrust; all weights together are brought to a sum of 1, so the two ranks can be
+    compared. Both run in one join a round; rank that reaches a host without out-edges ends there."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     steps = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("share"))
     steps = pinned(steps.union(edges.join(into, "dst").select(F.lit("distrust"), "dst", "src", F.col("n") / F.col("total"))))
-    totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
-    start = pinned(seeds.join(totals, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("seed")))
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0
+    start = pinned(seeds.select("kind", "host", (F.col("weight") / total).alias("seed")))
     rank = start.withColumnRenamed("seed", "rank")
     for i in range(1, rounds + 1):
         moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))

@@ -1 +1,349 @@
-"""Next."""
+"""Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans the patterns miss."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfield.llm.common import column, mapped, native_id_type, table, texts
+from tallyfield.llm.registry import query
+
+KINDS = ("email", "ip", "card", "phone")
+#: Regions of text, those with the least hash, on which the field is fitted; half of them may hold no span.
+SAMPLE = 1500
+LONGEST_TOKENS = 24
+#: Spans are added if their probability, over all segmentations of their region, is at least this.
+SURE = 0.9
+ROUNDS, RATE, PENALTY = 30, 0.3, 1e-3
+
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+NOT_DIGIT = re.compile(r"[^0-9]+")
+
+Span = tuple[str, int, int]
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def small_parts(address: str) -> bool:
+    return all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in address.split(".")))
+
+
+def emails(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches, found from each @ outwards, so a long run without @ costs nothing."""
+    out, last = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            last = domain.end()
+            out.append(("email", start, last))
+        at = text.find("@", max(at + 1, last))
+    return out
+
+
+def base_spans(text: str) -> list[Span]:
+    """The spans of the fixed patterns, by kind, then start."""
+    out = emails(text)
+    out += [("ip", *m.span()) for m in IP.finditer(text) if small_parts(m[0])]
+    for m in CARD.finditer(text):
+        digits = NOT_DIGIT.sub("", m[0]) if m.end() - m.start() <= 37 else ""
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15]
+    return out
+
+
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
+#: What makes a stretch of text worth a look.
+TRIGGER = re.compile(r"[0-9]{3}|[\[(]at[\])]|@", re.IGNORECASE)
+AT_WORD = re.compile(r"[\[(]at[\])]", re.IGNORECASE)
+#: Characters on either side of a trigger that belong to its region.
+AROUND = 48
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Stretches around triggers, joined where they overlap, and cut back to white space where there is some in their outer half."""
+    out: list[tuple[int, int]] = []
+    for m in TRIGGER.finditer(text):
+        if out and m.end() + AROUND // 2 <= out[-1][1]:
+            continue
+        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        a = max(a, text.find(" ", a, a + AROUND // 2) + 1) if a else 0
+        cut = text.rfind(" ", b - AROUND // 2, b) if b < len(text) else -1
+        b = cut if cut > 0 else b
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def side(text: str, at: int) -> str:
+    c = text[at] if 0 <= at < len(text) else ""
+    return "end" if not c else "space" if c.isspace() else "digit" if c.isdigit() else "letter" if c.isalpha() else c
+
+
+def span_features(text: str, start: int, end: int) -> list[str]:
+    """Features of a whole candidate span, of its edges and of the characters beside it."""
+    span = text[start:end]
+    digits = NOT_DIGIT.sub("", span)
+    shape = re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), re.sub(r"[^\W\d_]+", "a", re.sub(r"\s+", " ", span)))
+    out = ["any", f"digits{min(len(digits), 20)}", f"left {side(text, start - 1)}", f"right {side(text, end)}", f"first {side(span, 0)}", f"last {side(span, len(span) - 1)}"]
+    out.append(f"shape {shape}" if len(shape) <= 20 else "long shape")
+    out += [f"has {c}" for c in "@+-.()_ " if c in span]
+    if AT_WORD.search(span):
+        out.append("at word")
+    if any(c.isalpha() for c in span):
+        out.append("letters")
+    if 13 <= len(digits) <= 19:
+        out.append(f"luhn {luhn(digits)}")
+    if IP.fullmatch(span):
+        out.append(f"octets {small_parts(span)}")
+    return out
+
+
+def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Token bounds of a region, and the token ranges that may be a span: at most ``LONGEST_TOKENS`` long, from and to a letter, a digit, + or a
+    bracket, with six digits or more, or with an @ or its spelled form."""
+    bounds = [m.start() for m in TOKEN.finditer(text, begin, end)] + [end]
+    n = len(bounds) - 1
+    opens = [text[b].isalnum() or text[b] in "+(" for b in bounds[:-1]]
+    closes = [text[b - 1].isalnum() for b in bounds[1:]]
+    out = []
+    for i in range(n):
+        if not opens[i]:
+            continue
+        for j in range(i + 1, min(n, i + LONGEST_TOKENS) + 1):
+            if not closes[j - 1]:
+                continue
+            span = text[bounds[i] : bounds[j]]
+            if "\n" in span or len(span) > 80:
+                break
+            if "@" in span or AT_WORD.search(span) or sum(c.isdigit() for c in span) >= 6:
+                out.append((i, j))
+    return bounds, out
+
+
+class Field:
+    """Weights by (kind, feature). Tokens outside of spans weigh nothing, so a span's score is its log-odds against them."""
+
+    def __init__(self, weights: dict[tuple[str, str], float]):
+        self.weights = weights
+
+    def chart(self, text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int, str, list[str], float]]]:
+        bounds, ranges = candidates(text, begin, end)
+        scored = []
+        for i, j in ranges:
+            features = span_features(text, bounds[i], bounds[j])
+            for kind in KINDS:
+                scored.append((i, j, kind, features, sum(self.weights.get((kind, f), 0.0) for f in features)))
+        return bounds, scored
+
+    @staticmethod
+    def marginals(n: int, scored: list[tuple[int, int, str, list[str], float]]) -> tuple[list[float], float]:
+        """The probability of each scored segment over all segmentations of n tokens, and the log of their total weight."""
+        starts: dict[int, list[int]] = {}
+        ends: dict[int, list[int]] = {}
+        for k, (i, j, *_rest) in enumerate(scored):
+            starts.setdefault(i, []).append(k)
+            ends.setdefault(j, []).append(k)
+        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            ahead[j] = float(np.logaddexp.reduce([ahead[j - 1], *[ahead[scored[k][0]] + scored[k][4] for k in ends.get(j, ())]]))
+        for i in range(n - 1, -1, -1):
+            behind[i] = float(np.logaddexp.reduce([behind[i + 1], *[behind[scored[k][1]] + scored[k][4] for k in starts.get(i, ())]]))
+        return [float(np.exp(min(0.0, ahead[i] + s + behind[j] - ahead[n]))) for i, j, _, _, s in scored], ahead[n]
+
+    def best(self, text: str, begin: int, end: int) -> list[tuple[Span, float]]:
+        """The most likely segmentation's spans, boundaries and kinds chosen jointly, with their probabilities."""
+        bounds, scored = self.chart(text, begin, end)
+        if not scored or max(s for *_, s in scored) <= 0:
+            return []
+        n = len(bounds) - 1
+        ends: dict[int, list[int]] = {}
+        for k, segment in enumerate(scored):
+            ends.setdefault(segment[1], []).append(k)
+        value, back = [0.0] * (n + 1), [-1] * (n + 1)
+        for j in range(1, n + 1):
+            value[j] = value[j - 1]
+            for k in ends.get(j, ()):
+                if value[scored[k][0]] + scored[k][4] > value[j]:
+                    value[j], back[j] = value[scored[k][0]] + scored[k][4], k
+        odds, _ = self.marginals(n, scored)
+        out, j = [], n
+        while j:
+            k = back[j]
+            if k < 0:
+                j -= 1
+            else:
+                i, _, kind, _, _ = scored[k]
+                out.append(((kind, bounds[i], bounds[j]), odds[k]))
+                j = i
+        return out[::-1]
+
+    def added(self, text: str, base: list[Span]) -> list[Span]:
+        """Sure spans that touch no span of the patterns."""
+        if not self.weights:
+            return []
+        out = []
+        for begin, end in regions(text):
+            inside = [(a, b) for _, a, b in base if a < end and b > begin]
+            for span, p in self.best(text, begin, end):
+                if p >= SURE and not any(a < span[2] and b > span[1] for a, b in inside):
+                    out.append(span)
+        return out
+
+
+def variants(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
+    """The region as it is, and with one span rewritten the way people hide or shorten such data, so that the field learns more than the patterns."""
+    out = [(text, spans)]
+    for kind, a, b in spans:
+        old = text[a:b]
+        new = {"email": old.replace("@", " [at] "), "phone": re.sub(r"^\+[0-9]+ ", "", old), "card": old, "ip": old}[kind]
+        if new != old:
+            grown = len(new) - len(old)
+            moved = [(k, x, y) if y <= a else (k, x + grown, y + grown) for k, x, y in spans if (k, x, y) == (kind, a, b) or y <= a or x >= b]
+            moved = [(k, a, b + grown) if (k, x) == (kind, a + grown) else (k, x, y) for k, x, y in moved]
+            out.append((text[:a] + new + text[b:], moved))
+    return out
+
+
+def train(examples: list[tuple[str, list[Span]]]) -> Field:
+    """Weights by gradient ascent on the likelihood of the marked segmentations, with a quadratic penalty."""
+    field = Field({})
+    charts, names = [], {}
+    for text, spans in examples:
+        bounds, scored = field.chart(text, 0, len(text))
+        if not scored:
+            continue
+        place = {b: i for i, b in enumerate(bounds)}
+        gold = {(place.get(a), place.get(b), kind) for kind, a, b in spans}
+        flat = [[names.setdefault((kind, f), len(names)) for f in features] for _, _, kind, features, _ in scored]
+        charts.append((len(bounds) - 1, scored, flat, np.array([(i, j, kind) in gold for i, j, kind, _, _ in scored], float)))
+    w, squares = np.zeros(len(names)), np.full(len(names), 1e-8)
+    for _ in range(ROUNDS):
+        gradient = -PENALTY * w * max(1, len(charts))
+        for n, scored, flat, gold in charts:
+            now = [(i, j, kind, features, float(w[ids].sum())) for (i, j, kind, features, _), ids in zip(scored, flat, strict=True)]
+            odds, _ = field.marginals(n, now)
+            for ids, g, p in zip(flat, gold, odds, strict=True):
+                if abs(g - p) > 1e-4:
+                    gradient[ids] += g - p
+        squares += gradient**2
+        w += RATE * gradient / np.sqrt(squares)
+    return Field({name: float(w[k]) for name, k in names.items() if abs(w[k]) > 1e-4})
+
+
+def fit(documents: DataFrame, sample: int = SAMPLE) -> Field:
+    """Fit on at most ``sample`` regions of the corpus, marked by the fixed patterns, half of them with spans at most, and on variants of them."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text in texts(batch, "text"):
+            base = None
+            for a, b in regions(text):
+                base = base_spans(text) if base is None else base
+                touching = [s for s in base if s[1] < b and s[2] > a]
+                if b - a <= 400 and all(s[1] >= a and s[2] <= b for s in touching):
+                    inside, last = [], -1
+                    for k, x, y in sorted(touching, key=lambda s: s[1]):
+                        if x >= last:
+                            inside.append(f"{k}:{x - a}:{y - a}")
+                            last = y
+                    rows.append((text[a:b], ",".join(inside), bool(inside)))
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], ["region", "spans", "marked"])
+
+    found = mapped(documents.select("text"), "text", make, "region string, spans string, marked boolean")
+    ranked = found.select("region", "spans", "marked", F.xxhash64("region").alias("draw"))
+    rows = [r for side_ in (True, False) for r in ranked.where(F.col("marked") == side_).orderBy("draw", "region").limit(sample // 2).collect()]
+    examples = []
+    for row in rows:
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in row["spans"].split(",") if s)]
+        examples += variants(row["region"], spans)
+    return train(examples)
+
+
+def ordered(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+
+
+def spelled(spans: list[Span]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def find(documents: DataFrame, field: Field) -> DataFrame:
+    """doc_id, base_spans, spans of every document as text: kind:start:end in code points, end exclusive, by kind, then start.
+
+    Null text counts as empty and has no spans. Texts are read whole. Repeated rows give repeated results, an empty table none; other columns are not read.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(field.weights)
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, base_out, all_out, counts = Field(held.value), [], [], []
+        for text in texts(batch, "text"):
+            base = base_spans(text)
+            base_out.append(spelled(base))
+            all_out.append(spelled(ordered(base + own.added(text, base))))
+            counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
+        numbers = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
+        return pa.record_batch([column(batch, "doc_id"), *numbers, pa.array(base_out), pa.array(all_out)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_spans", "spans"])
+
+    schema = f"doc_id {native_id_type(documents)}, {', '.join(f'n_{k} long' for k in KINDS)}, base_spans string, spans string"
+    return mapped(documents.select("doc_id", "text"), "text", make, schema)
+
+
+def mask(text: str, spans: list[Span]) -> str:
+    """Every span gives way to its kind in angle brackets; spans that overlap give way together, to the kind of the first."""
+    out, last = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= last:
+            out += [text[last:a], f"<{kind.upper()}>"]
+        last = max(last, b)
+    return "".join(out) + text[last:]
+
+
+def masked(documents: DataFrame, field: Field) -> DataFrame:
+    """The rows, all columns kept, with spans masked in ``text``; ``n_chars``, if it is there, follows. Null text stays null."""
+    held = documents.sparkSession.sparkContext.broadcast(field.weights)
+    schema = documents.schema
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, out = Field(held.value), []
+        for text in column(batch, "text").to_pylist():
+            if text is not None:
+                base = base_spans(text)
+                spans = base + own.added(text, base)
+                text = mask(text, spans) if spans else text
+            out.append(text)
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        columns["text"] = pa.array(out, columns["text"].type)
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([None if n is None or t is None else len(t) for t, n in zip(out, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return mapped(documents, "text", make, schema)
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = find(documents, fit(documents))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
