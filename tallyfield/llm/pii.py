@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -14,11 +15,11 @@ from tallyfield.llm.registry import query
 
 KINDS = ("email", "ip", "card", "phone")
 #: Regions of text, those with the least hash, on which the field is fitted; half of them may hold no span.
-SAMPLE = 1500
+SAMPLE = 400
 LONGEST_TOKENS = 24
 #: Spans are added if their probability, over all segmentations of their region, is at least this.
 SURE = 0.9
-ROUNDS, RATE, PENALTY = 30, 0.3, 1e-3
+ROUNDS, RATE, PENALTY = 12, 0.3, 1e-3
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,7 +122,8 @@ def span_features(text: str, start: int, end: int) -> list[str]:
 
 def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
     """Token bounds of a region, and the token ranges that may be a span: at most ``LONGEST_TOKENS`` long, from and to a letter, a digit, + or a
-    bracket, with six digits or more, or with an @ or its spelled form."""
+    bracket, with six digits or more, or with an @ or its
+    spelled form. Letters and white space go together only around the spelled form."""
     bounds = [m.start() for m in TOKEN.finditer(text, begin, end)] + [end]
     n = len(bounds) - 1
     opens = [text[b].isalnum() or text[b] in "+(" for b in bounds[:-1]]
@@ -136,11 +138,21 @@ def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[i
             span = text[bounds[i] : bounds[j]]
             if "\n" in span or len(span) > 80:
                 break
-            if "@" in span or AT_WORD.search(span) or sum(c.isdigit() for c in span) >= 6:
+            hidden = bool(AT_WORD.search(span))
+            if not hidden and any(map(str.isalpha, span)) and any(map(str.isspace, span)):
+                continue
+            if hidden or "@" in span or sum(map(str.isdigit, span)) >= 6:
                 out.append((i, j))
     return bounds, out
 
 
+def log_sum(first: float, others: list[float]) -> float:
+    if not others:
+        return first
+    top = max(first, *others)
+    return top + math.log(math.exp(first - top) + sum(math.exp(x - top) for x in others))
+
+
 class Field:
     """Weights by (kind, feature). Tokens outside of spans weigh nothing, so a span's score is its log-odds against them."""
 
@@ -166,10 +178,10 @@ class Field:
             ends.setdefault(j, []).append(k)
         ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
         for j in range(1, n + 1):
-            ahead[j] = float(np.logaddexp.reduce([ahead[j - 1], *[ahead[scored[k][0]] + scored[k][4] for k in ends.get(j, ())]]))
+            ahead[j] = log_sum(ahead[j - 1], [ahead[scored[k][0]] + scored[k][4] for k in ends.get(j, ())])
         for i in range(n - 1, -1, -1):
-            behind[i] = float(np.logaddexp.reduce([behind[i + 1], *[behind[scored[k][1]] + scored[k][4] for k in starts.get(i, ())]]))
-        return [float(np.exp(min(0.0, ahead[i] + s + behind[j] - ahead[n]))) for i, j, _, _, s in scored], ahead[n]
+            behind[i] = log_sum(behind[i + 1], [behind[scored[k][1]] + scored[k][4] for k in starts.get(i, ())])
+        return [math.exp(min(0.0, ahead[i] + s + behind[j] - ahead[n])) for i, j, _, _, s in scored], ahead[n]
 
     def best(self, text: str, begin: int, end: int) -> list[tuple[Span, float]]:
         """The most likely segmentation's spans, boundaries and kinds chosen jointly, with their probabilities."""
