@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import column, lower_table, mix, native_id_type, separators, slices, table, utf8, window_hashes, word_hashes
@@ -96,13 +96,15 @@ class Join:
         top = every.where("kind = 'frequent'").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT).toPandas()
         order = np.argsort(top["sig"].to_numpy().astype(np.uint64))
         self.frequent = (top["sig"].to_numpy().astype(np.uint64)[order], top["n"].to_numpy()[order].astype(np.int64))
-        return every.where("kind = 'member'").select("doc_id", "n", "c")
+        members = every.where("kind = 'member'").select("doc_id", "n", "c")
+        self.least = members.groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+        return members
 
     def prefixes(self) -> DataFrame:
         """(sig, c, n): the first shingles of each set in the global order, frequent ones last.
 
         Two sets that link share at least ceil(percent n / 100) shingles of either, so their first n - that + 1 must meet.
-        Classes already seen by the same task are left out: they would repeat the same rows.
+        Classes already seen by the same task are left out: they would repeat its rows.
         """
         size, percent = self.size, self.percent
         held = self.spark.sparkContext.broadcast(self.frequent)
@@ -131,32 +133,33 @@ class Join:
                     rows = [np.concatenate(sigs).astype(np.int64), np.repeat(np.array(classes, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)]
                     yield pa.record_batch([pa.array(x) for x in rows], ["sig", "c", "n"])
 
-        folder = scratch_path(self.spark, "shingle-prefixes")
-        self.docs.mapInArrow(run, "sig long, c long, n int").write.parquet(folder)
-        return self.spark.read.schema("sig long, c long, n int").parquet(folder)
+        return self.docs.mapInArrow(run, "sig long, c long, n int")
 
     def fragments(self, wanted: DataFrame) -> DataFrame:
-        """(c, fragment, grams) of the wanted classes; a class held by many documents counts once."""
+        """(c, fragment, grams) of the wanted classes, read from one document of each, the one with the least id.
+
+        A filter of fixed size, filled from hashes of those ids, keeps all other documents' sets from being shipped. What it lets through
+        wrongly finds no pair later; a repeated row repeats equal counts.
+        """
         bits = FILTER_BITS
-        words = wanted.selectExpr(f"pmod(c, {bits}) as bit").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask")).collect()
-        table_ = np.zeros(bits // 64, np.int64)
+        keys = wanted.join(self.least, "c").select(F.expr(f"pmod(xxhash64(doc_id), {bits})").alias("bit"))
+        words = keys.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask")).collect()
+        filter_ = np.zeros(bits // 64, np.int64)
         for word, mask in words:  # a fixed number of words at most
-            table_[word] = mask
-        held = self.spark.sparkContext.broadcast(table_)
+            filter_[word] = mask
+        held = self.spark.sparkContext.broadcast(filter_)
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
             for batch in slices(batches, "text"):
+                at = column(batch, "bit").to_numpy()
+                wanted_here = (held.value[at // 64] >> (at % 64)) & 1 == 1
+                picked = [t for t, w in zip(utf8(batch, "text"), wanted_here, strict=True) if w]
                 classes, fragment, ends, grams_of = [], [], [0], []
-                for grams in shingle_sets(utf8(batch, "text"), size):
+                for grams in shingle_sets(picked, size):
                     if not len(grams):
                         continue
                     c = class_key(grams)
-                    bit = c % bits
-                    if c in seen or not int(held.value[bit // 64]) >> (bit % 64) & 1:
-                        continue
-                    seen.add(c)
                     cuts = np.searchsorted(grams, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61)).tolist()
                     for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(grams)], strict=True)):
                         if b > a:
@@ -168,17 +171,15 @@ class Join:
                     values = pa.array(np.concatenate(grams_of).astype(np.int64))
                     yield pa.record_batch([pa.array(classes, pa.int64()), pa.array(fragment, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["c", "fragment", "grams"])
 
-        return self.docs.mapInArrow(run, "c long, fragment int, grams array<long>")
+        keyed = self.docs.select("text", F.expr(f"pmod(xxhash64(doc_id), {bits})").alias("bit"))
+        return keyed.mapInArrow(run, "c long, fragment int, grams array<long>")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, na, b, nb), the links: partial overlaps are counted per fragment and summed per pair."""
-        wanted = pairs.selectExpr("a as c").union(pairs.selectExpr("b as c")).distinct()
-        folder = scratch_path(self.spark, "shingle-sets")
-        self.fragments(wanted).write.parquet(folder)
-        sets = self.spark.read.schema("c long, fragment int, grams array<long>").parquet(folder)
-        one = sets.groupBy("c", "fragment").agg(F.first("grams").alias("grams"))
-        left = pairs.join(one.toDF("a", "fragment", "left"), "a")
-        partial = left.join(one.toDF("b", "fragment", "right"), ["b", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("left", "right")).cast("long").alias("overlap"))
+        left = self.fragments(pairs.selectExpr("a as c").distinct()).toDF("a", "fragment", "left")
+        right = self.fragments(pairs.selectExpr("b as c").distinct()).toDF("b", "fragment", "right")
+        met = pairs.join(left, "a").join(right, ["b", "fragment"])
+        partial = met.groupBy("a", "na", "b", "nb", "fragment").agg(F.max(F.size(F.array_intersect("left", "right"))).cast("long").alias("overlap"))
         return partial.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap")).where(f"100 * overlap >= {self.percent} * (na + nb - overlap)").select("a", "b")
 
     def near(self, a: str, b: str) -> str:
@@ -190,9 +191,9 @@ class Join:
         First every set is held against one other of its candidates, the most often met head of a signature group, which settles the groups of
         many near copies with one comparison each. Then all candidate pairs that still lie in different components are compared.
         """
-        rows = self.prefixes()
-        shared = rows.groupBy("sig").agg(F.min("c").alias("head"), F.max("c").alias("other")).where("head <> other").select("sig", "head")
-        met = pinned(rows.join(shared, "sig"))
+        group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
+        rows = self.prefixes().select("sig", "c", "n", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
+        met = pinned(rows.where("head <> other").select("sig", "c", "n", "head"))
         sizes = met.select(F.col("c").alias("head"), F.col("n").alias("nh")).distinct()
         first = met.where("c <> head").groupBy("c", "n", "head").agg(F.count("*").alias("times")).join(sizes, "head").where(self.near("n", "nh"))
         best = first.groupBy("c", "n").agg(F.max(F.struct("times", "head", "nh")).alias("best")).selectExpr("best.head as a", "cast(best.nh as long) as na", "c as b", "cast(n as long) as nb")
