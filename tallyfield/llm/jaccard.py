@@ -185,17 +185,27 @@ class Join:
     def near(self, a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
 
+    def enough(self, times: str, a: str, b: str) -> str:
+        """Condition that ``times`` shared prefix shingles leave a link possible.
+
+        Of two sets, the one whose prefix ends first in the global order meets the other only in both prefixes or in its own rest, which has
+        ceil(percent n / 100) - 1 shingles.
+        """
+        p = self.percent
+        return f"{times} >= ({p} * ({a} + {b}) + {99 + p}) div {100 + p} - ({p} * greatest({a}, {b}) + 99) div 100 + 1"
+
     def links(self) -> DataFrame:
         """Links between distinct sets that give the same components as all links.
 
-        First every set is held against one other of its candidates, the most often met head of a signature group, which settles the groups of
-        many near copies with one comparison each. Then all candidate pairs that still lie in different components are compared.
+        First every set is held against one other of its candidates, the head of signature groups that it meets most often, which settles the
+        groups of many near copies with one comparison each. Then all candidate pairs that still lie in different components and share enough of
+        their prefixes are compared.
         """
         group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
         rows = self.prefixes().select("sig", "c", "n", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
         met = pinned(rows.where("head <> other").select("sig", "c", "n", "head"))
         sizes = met.select(F.col("c").alias("head"), F.col("n").alias("nh")).distinct()
-        first = met.where("c <> head").groupBy("c", "n", "head").agg(F.count("*").alias("times")).join(sizes, "head").where(self.near("n", "nh"))
+        first = met.where("c <> head").groupBy("c", "n", "head").agg(F.count("*").alias("times")).join(sizes, "head").where(self.near("n", "nh")).where(self.enough("times", "n", "nh"))
         best = first.groupBy("c", "n").agg(F.max(F.struct("times", "head", "nh")).alias("best")).selectExpr("best.head as a", "cast(best.nh as long) as na", "c as b", "cast(n as long) as nb")
         tried = pinned(best)
         linked = pinned(self.verified(tried))
@@ -205,7 +215,8 @@ class Join:
         left_open = pinned(marked.join(open_, "sig"))
         x, y = left_open.alias("x"), left_open.alias("y")
         rest = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')}"))
-        rest = rest.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").distinct()
+        rest = rest.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"))
+        rest = rest.where(self.enough("times", "na", "nb")).drop("times")
         done = tried.selectExpr("least(a, b) as a", "greatest(a, b) as b")
         rest = pinned(rest.join(done, ["a", "b"], "left_anti"))
         return linked.union(self.verified(rest))
