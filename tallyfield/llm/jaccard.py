@@ -17,9 +17,9 @@ SHINGLE = 4
 PERCENT = 85
 #: The shingle order is cut into so many ranges of equal width; overlaps are counted range by range.
 FRAGMENTS = 8
-#: Shingles that a slice of about 4 MB of text holds in so many documents are candidates for the end of the order, and the
-#: list of them has a fixed size. The list only orders shingles: any order finds the same links.
-FREQUENT_IN_SLICE, FREQUENT = 4, 1 << 17
+#: Shingles that a slice of about 4 MB of text holds in so many different documents are candidates for the end of the order, and
+#: the list of them has a fixed size. The list only orders shingles: any order finds the same links.
+FREQUENT_IN_SLICE, FREQUENT = 2, 1 << 19
 #: Bits of the fixed-size filter that keeps sets without any candidate pair from being shipped.
 FILTER_BITS = 1 << 23
 
@@ -78,12 +78,16 @@ class Join:
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in slices(batches, "text"):
                 sets = list(shingle_sets(utf8(batch, "text"), size))
                 n = len(sets)
                 docs = column(batch, "doc_id")
-                yield pa.record_batch([docs, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([None] * n, pa.int64()), pa.array(["member"] * n)], ["doc_id", "n", "c", "sig", "kind"])
-                sigs, times = np.unique(np.concatenate(sets), return_counts=True)
+                classes = [class_key(s) for s in sets]
+                yield pa.record_batch([docs, pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array([None] * n, pa.int64()), pa.array(["member"] * n)], ["doc_id", "n", "c", "sig", "kind"])
+                fresh = [s for c, s in dict(zip(classes, sets, strict=True)).items() if c not in seen]
+                seen.update(classes)
+                sigs, times = np.unique(np.concatenate([*fresh, np.zeros(0, np.uint64)]), return_counts=True)
                 often = times >= FREQUENT_IN_SLICE
                 k = int(often.sum())
                 if k:
@@ -194,22 +198,36 @@ class Join:
         p = self.percent
         return f"{times} >= ({p} * ({a} + {b}) + {99 + p}) div {100 + p} - ({p} * greatest({a}, {b}) + 99) div 100 + 1"
 
+    def heads(self, met: DataFrame, roots: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """(a, na, b, nb): for each class b the head a, not tried before, of most signature groups whose head lies in another component."""
+        marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", F.coalesce("root", "c").alias("root"))
+        head = marked.groupBy("sig").agg(F.min(F.struct("root", "c", "n")).alias("head"))
+        pairs = marked.join(head, "sig").where("root <> head.root").groupBy(F.col("head.c").alias("a"), F.col("head.n").cast("long").alias("na"), F.col("c").alias("b"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("times"))
+        pairs = pairs.where(self.near("na", "nb")).where(self.enough("times", "na", "nb"))
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b").union(tried.select("b", "a")), ["a", "b"], "left_anti")
+        return pairs.groupBy("b", "nb").agg(F.max(F.struct("times", "a", "na")).alias("best")).selectExpr("best.a as a", "best.na as na", "b", "nb")
+
     def links(self) -> DataFrame:
         """Links between distinct sets that give the same components as all links.
 
-        First every set is held against one other of its candidates, the head of signature groups that it meets most often, which settles the
-        groups of many near copies with one comparison each. Then all candidate pairs that still lie in different components and share enough of
+        In rounds, every set is held against one other of its candidates, the head of signature groups that it meets most often and that lies in
+        another component by then. This settles groups of many near copies with a comparison a round each; a round without a new link is the last. Then all candidate pairs that still lie in different components and share enough of
         their prefixes are compared.
         """
         group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
         rows = self.prefixes().select("sig", "c", "n", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
-        met = pinned(rows.where("head <> other").select("sig", "c", "n", "head"))
-        sizes = met.select(F.col("c").alias("head"), F.col("n").alias("nh")).distinct()
-        first = met.where("c <> head").groupBy("c", "n", "head").agg(F.count("*").alias("times")).join(sizes, "head").where(self.near("n", "nh")).where(self.enough("times", "n", "nh"))
-        best = first.groupBy("c", "n").agg(F.max(F.struct("times", "head", "nh")).alias("best")).selectExpr("best.head as a", "cast(best.nh as long) as na", "c as b", "cast(n as long) as nb")
-        tried = pinned(best)
-        linked = pinned(self.verified(tried))
-        roots = components(linked)
+        met = pinned(rows.where("head <> other").select("sig", "c", "n"))
+        roots = met.selectExpr("c as node", "c as root").limit(0)
+        linked = tried = None
+        while True:
+            best = pinned(self.heads(met, roots, tried))
+            found = pinned(self.verified(best))
+            tried = best if tried is None else tried.union(best)
+            linked = found if linked is None else linked.union(found)
+            if found.isEmpty():
+                break
+            roots = components(linked)
         marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", F.coalesce("root", "c").alias("root"))
         open_ = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
         left_open = pinned(marked.join(open_, "sig"))
