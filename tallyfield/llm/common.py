@@ -168,11 +168,8 @@ def gram_buckets(points: np.ndarray, sizes: tuple[int, ...], bits: int) -> np.nd
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def summed_tables(rows: DataFrame, width: int, names: list[str]) -> np.ndarray:
-    """``rows`` has a binary of ``width`` 64-bit counts per task and name; their sums as an array (name, width).
-
-    Tables of a fixed width are added per task first, so at most names x width rows reach the driver.
-    """
+def summed_rows(rows: DataFrame, width: int, names: list[str]) -> DataFrame:
+    """``rows`` has a binary of ``width`` 64-bit counts per task and name; their sums as (which name, at, n), zeros left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), width), np.int64)
@@ -182,7 +179,12 @@ def summed_tables(rows: DataFrame, width: int, names: list[str]) -> np.ndarray:
         which, at = np.nonzero(total)
         yield pa.record_batch([pa.array(which), pa.array(at), pa.array(total[which, at])], ["which", "at", "n"])
 
-    found = rows.mapInArrow(run, "which long, at long, n long").groupBy("which", "at").agg(F.sum("n").alias("n")).toPandas()
+    return rows.mapInArrow(run, "which long, at long, n long").groupBy("which", "at").agg(F.sum("n").alias("n"))
+
+
+def summed_tables(rows: DataFrame, width: int, names: list[str]) -> np.ndarray:
+    """The sums as an array (name, width): at most that many rows reach the driver."""
+    found = summed_rows(rows, width, names).toPandas()
     out = np.zeros((len(names), width), np.int64)
     out[found["which"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
     return out

@@ -152,7 +152,7 @@ def main_text(html: str, sigma: float = SMOOTHING) -> str:
     ratios = np.array([0.0 if x.dropped else (len(x.text) - min(x.linked, len(x.text))) / max(1, x.tags) for x in lines])
     values = np.log1p(smoothed(ratios, sigma))
     least = threshold(values)
-    content = [i for i, x in enumerate(lines) if x.text and not x.dropped and values[i] >= least]
+    content = [i for i, x in enumerate(lines) if ratios[i] > 0 and values[i] >= least]
     inside = {x.container for x in lines if x.container and x.text and not x.dropped}
     if inside:
         wanted = {lines[i].container for i in content} & inside or inside

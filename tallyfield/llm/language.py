@@ -129,8 +129,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model
                 cosines.setdefault(len(window).bit_length() - 1, []).append(float(np.max(own @ model.vector(counts_of(window)))))
         for length, values in cosines.items():
             least[length] = MARGIN * np.quantile(values, 0.01) if len(values) >= 20 else 0.0
-        least[SHORTEST:] = np.minimum.accumulate(least[SHORTEST:][::-1])[::-1]  # a longer text is never held to less than a shorter one
-        least[LONGEST] = max(least[SHORTEST:])
+        least = np.maximum.accumulate(least)  # a longer text is never held to less than a shorter one
         found.append(own)
         kept += [(language, least)] * len(own)
     model.centroids = np.concatenate(found) if found else model.centroids

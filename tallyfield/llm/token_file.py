@@ -171,12 +171,13 @@ def write_token_files(documents: DataFrame, folder: str, end_id: int = 2, tokeni
     spark = documents.sparkSession
     path = tokenizer or default_tokenizer()
     tokenized(documents, f"{folder}/tokens", end_id, path)
-    counts = spark.read.schema("ids binary").parquet(f"{folder}/tokens/kind=counts")
+    kind = native_id_type(documents)
+    written = spark.read.schema(f"doc_id {kind}, ids binary, kind string").parquet(f"{folder}/tokens")
+    counts = written.where("kind = 'counts'")
     lengths = code_lengths(global_counts(counts), max_bits)
     wide = len(lengths) > 1 << 16
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id int, bits int").coalesce(1).write.parquet(f"{folder}/lengths")
-    kind = native_id_type(documents)
-    ids = spark.read.schema(f"doc_id {kind}, ids binary").parquet(f"{folder}/tokens/kind=ids")
+    ids = written.where("kind = 'ids'").select("doc_id", "ids")
     shipped = lengths.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import code_points, column, gram_buckets, held_out, mapped, native_id_type, slices, summed_tables, table, texts
+from tallyfield.llm.common import code_points, column, gram_buckets, held_out, mapped, native_id_type, slices, summed_rows, table, texts
 from tallyfield.llm.registry import query
+from tallyfield.session import pinned
 
 SIZES, BITS = (2, 3, 4, 5, 6), 20
 #: Labelled documents per class on which the model is fitted, those with the least hash of their id.
@@ -83,13 +84,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
                 total[label, -1] += 1
         yield pa.record_batch([pa.array(["0", "1"]), pa.array([t.astype("<i8").tobytes() for t in total], pa.binary())], ["name", "counts"])
 
-    clean, toxic = summed_tables(chosen.mapInArrow(presence, "name string, counts binary"), (1 << BITS) + 1, ["0", "1"])
-    if not clean[-1] or not toxic[-1]:
+    sums = summed_rows(chosen.mapInArrow(presence, "name string, counts binary"), (1 << BITS) + 1, ["0", "1"])
+    counts = pinned(sums.groupBy("at").agg(F.sum(F.expr("if(which = 0, n, 0)")).alias("clean"), F.sum(F.expr("if(which = 1, n, 0)")).alias("toxic")))
+    documents_of = counts.where(F.col("at") == 1 << BITS).first()
+    if documents_of is None or not documents_of["clean"] or not documents_of["toxic"]:
         return Model(zero, 0.0)
-    p, q = (toxic[:-1] + SMOOTH) / (toxic[-1] + 2 * SMOOTH), (clean[:-1] + SMOOTH) / (clean[-1] + 2 * SMOOTH)
-    ratio = np.log(p / q)
-    spread = np.sqrt(p * (1 - p) / toxic[-1] + q * (1 - q) / clean[-1])
-    best = np.sort(np.argsort((q - p) / spread, kind="stable")[:features])
+    shares = counts.where(F.col("at") < 1 << BITS).select("at", *[((F.col(k) + SMOOTH) / (documents_of[k] + 2 * SMOOTH)).alias(k) for k in ("clean", "toxic")])
+    spread = F.sqrt(F.col("toxic") * (1 - F.col("toxic")) / documents_of["toxic"] + F.col("clean") * (1 - F.col("clean")) / documents_of["clean"])
+    top = shares.orderBy(F.desc((F.col("toxic") - F.col("clean")) / spread), "at").limit(features).toPandas().sort_values("at")
+    best, ratio = top["at"].to_numpy(), np.log(top["toxic"].to_numpy() / top["clean"].to_numpy())
     place = np.full(1 << BITS, -1, np.int64)
     place[best] = np.arange(len(best))
     held = documents.sparkSession.sparkContext.broadcast(place)
@@ -100,9 +103,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
 
     found = mapped(chosen, "text", selected, "found array<int>, toxic int").toPandas()
     is_toxic = found["toxic"].to_numpy() == 1
-    w, b = descend([np.asarray(r, np.int64) for r in found["found"]], ratio[best], is_toxic)
+    w, b = descend([np.asarray(r, np.int64) for r in found["found"]], ratio, is_toxic)
     weights = zero.copy()
-    weights[best] = ratio[best] * w
+    weights[best] = ratio * w
     return Model(weights, b + float(np.log(sizes[1] / sizes[0])))
 
 
