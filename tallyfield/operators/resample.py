@@ -95,13 +95,13 @@ def cluster_bootstrap_mean(
 
 
 def sample_fraction(df: DataFrame, keys: Sequence[str], unit: str, percent: float, seed: str) -> DataFrame:
-    """ceil(percent) of the distinct units of each group (at least one), without replacement.
+    """ceil(percent) of the distinct units of each group (at least one above 0 percent, none at 0), without replacement.
 
     Units are ordered by a hash of (seed, keys, unit); the first k are taken.
     """
     units = df.select(*keys, unit).distinct().withColumn(
         "_u", text_uniform(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col(unit).cast("string")))
     )
-    sizes = units.groupBy(*keys).agg(F.expr(f"least(count(*), greatest(1L, cast(ceil(count(*) * {percent} / 100D) as long))) as k"))
+    sizes = units.groupBy(*keys).agg(F.expr(f"least(count(*), greatest({int(percent > 0)}L, cast(ceil(count(*) * {max(percent, 0)} / 100D) as long))) as k"))
     ranked = numbered(units, keys, ["_u", unit], "_position")
     return attach(ranked, sizes, keys).filter("_position <= k").select(*keys, unit)

@@ -31,7 +31,7 @@ def perfect_cases(df: DataFrame, metrics: Sequence[str], order: Sequence[str], f
 
 def targeted_nodes(windows: DataFrame, nodes: DataFrame, keys: Sequence[str], percent: float) -> DataFrame:
     """The central nodes to fail first: by incident capacity, then degree, then id;
-    ceil(percent) of them, at least one."""
+    ceil(percent) of them, at least one above 0 percent, none at 0."""
     ends = windows.selectExpr(
         *keys,
         "inline(array(named_struct('node_id', node_i, 'peer', node_j, 'c', capacity_mbits), "
@@ -42,7 +42,7 @@ def targeted_nodes(windows: DataFrame, nodes: DataFrame, keys: Sequence[str], pe
     scored = attach(central, scores, [*keys, "node_id"]).selectExpr(
         *keys, "node_id", "round(coalesce(capacity, 0D), 9) as capacity", "coalesce(degree, 0L) as degree"
     )
-    sizes = central.groupBy(*keys).agg(F.expr(f"least(count(*), greatest(1L, cast(ceil(count(*) * {percent} / 100D) as long))) as k"))
+    sizes = central.groupBy(*keys).agg(F.expr(f"least(count(*), greatest({int(percent > 0)}L, cast(ceil(count(*) * {max(percent, 0)} / 100D) as long))) as k"))
     ranked = numbered(scored, keys, [F.col("capacity").desc(), F.col("degree").desc(), F.col("node_id")], "position")
     return attach(ranked, sizes, keys).filter("position <= k").drop("k")
 

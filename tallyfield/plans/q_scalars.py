@@ -263,7 +263,7 @@ def seed_hex(spark, sf_dir):
 
 
 @query("F23_fingerprint", """
-WITH d AS (SELECT o_orderstatus, sha256(o_orderkey || '|' || o_orderpriority) AS h FROM orders),
+WITH d AS (SELECT o_orderstatus, sha256(length(o_orderkey::VARCHAR) || ':' || o_orderkey || length(o_orderpriority) || ':' || o_orderpriority) AS h FROM orders),
 t AS (SELECT o_orderstatus, count(*) AS n,
         sum(('0x' || substr(h, 1, 13))::BIGINT) AS a, sum(('0x' || substr(h, 14, 13))::BIGINT) AS b, sum(('0x' || substr(h, 27, 13))::BIGINT) AS c
       FROM d GROUP BY o_orderstatus)

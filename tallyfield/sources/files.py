@@ -31,11 +31,12 @@ def role_totals(listed: DataFrame) -> DataFrame:
     return listed.groupBy("event", "extension").agg(F.expr("count(*) as files"), F.expr("sum(bytes) as bytes"))
 
 
-def folder_counts(files: DataFrame, max_depth: int = 7) -> DataFrame:
-    """Files below every folder prefix: each path is exploded into its prefixes, then counted."""
+def folder_counts(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Files below every folder prefix, down to ``max_depth`` if one is given: each path is exploded into its prefixes, then counted."""
     parts = files.selectExpr("slice(split(path, '/'), 1, size(split(path, '/')) - 1) as p").filter("size(p) > 0")
+    depth = "size(p)" if max_depth is None else f"least(size(p), {max_depth})"
     prefixes = parts.selectExpr(
-        f"explode(transform(sequence(1, least(size(p), {max_depth})), n -> array_join(slice(p, 1, n), '/'))) as folder"
+        f"explode(transform(sequence(1, {depth}), n -> array_join(slice(p, 1, n), '/'))) as folder"
     )
     return prefixes.groupBy("folder").agg(F.expr("count(*) as files"))
 
