@@ -20,6 +20,8 @@ FRAGMENTS = 8
 #: Shingles that a slice of about 4 MB of text holds in so many different documents are candidates for the end of the order, and
 #: the list of them has a fixed size. The list only orders shingles: any order finds the same links.
 FREQUENT_IN_SLICE, FREQUENT = 2, 1 << 19
+#: Rounds of comparisons with heads. Every candidate pair they leave open is compared after them, so their number changes costs only.
+HEAD_ROUNDS = 2
 #: Bits of the fixed-size filter that keeps sets without any candidate pair from being shipped.
 FILTER_BITS = 1 << 23
 
@@ -212,15 +214,15 @@ class Join:
         """Links between distinct sets that give the same components as all links.
 
         In rounds, every set is held against one other of its candidates, the head of signature groups that it meets most often and that lies in
-        another component by then. This settles groups of many near copies with a comparison a round each; a round without a new link is the last. Then all candidate pairs that still lie in different components and share enough of
-        their prefixes are compared.
+        another component by then. This settles groups of many near copies with a comparison a round each. Then all candidate pairs that still lie
+        in different components and share enough of their prefixes are compared.
         """
         group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
         rows = self.prefixes().select("sig", "c", "n", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
         met = pinned(rows.where("head <> other").select("sig", "c", "n"))
         roots = met.selectExpr("c as node", "c as root").limit(0)
         linked = tried = None
-        while True:
+        for _ in range(HEAD_ROUNDS):
             best = pinned(self.heads(met, roots, tried))
             found = pinned(self.verified(best))
             tried = best if tried is None else tried.union(best)
