@@ -22,6 +22,10 @@ FRAGMENTS = 8
 FREQUENT_IN_SLICE, FREQUENT = 2, 1 << 19
 #: Rounds of comparisons with heads. Every candidate pair they leave open is compared after them, so their number changes costs only.
 HEAD_ROUNDS = 2
+#: Heads that a set is held against in a round.
+HEADS = 3
+#: A pair with the smaller key first.
+ORDERED = ["least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb"]
 #: Bits of the fixed-size filter that keeps sets without any candidate pair from being shipped.
 FILTER_BITS = 1 << 23
 
@@ -200,21 +204,35 @@ class Join:
         p = self.percent
         return f"{times} >= ({p} * ({a} + {b}) + {99 + p}) div {100 + p} - ({p} * greatest({a}, {b}) + 99) div 100 + 1"
 
-    def heads(self, met: DataFrame, roots: DataFrame, tried: DataFrame | None) -> DataFrame:
-        """(a, na, b, nb): for each class b the head a, not tried before, of most signature groups whose head lies in another component."""
+    def heads(self, met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+        """(a, na, b, nb): each class b with up to ``HEADS`` heads a of other components, those it meets in most signature groups, not tried before.
+
+        A group's heads are the class with the least of its own in its prefix, as an unedited original among its edited copies, and those with the
+        least and greatest hash, drawn anew with every turn.
+        """
         marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", F.coalesce("root", "c").alias("root"))
-        head = marked.groupBy("sig").agg(F.min(F.struct("root", "c", "n")).alias("head"))
-        pairs = marked.join(head, "sig").where("root <> head.root").groupBy(F.col("head.c").alias("a"), F.col("head.n").cast("long").alias("na"), F.col("c").alias("b"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("times"))
+        # of a class's prefix, the part that others have too; the rows of one class are bounded by its own set
+        shared = F.count("*").over(Window.partitionBy("c")) / F.expr(f"n - ({self.percent} * n + 99) div 100 + 1")
+        marked = marked.withColumn("shared", shared)
+        draw = F.xxhash64("c", F.lit(turn))
+        one = F.struct("root", "c", "n")
+        picked = [F.max_by(one, F.struct("shared", draw)), F.max_by(one, draw), F.min_by(one, draw)]
+        head = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*picked)).alias("heads")).where("low <> high")
+        pairs = marked.join(head.select("sig", "heads"), "sig").select("root", "c", "n", F.explode("heads").alias("head")).where("root <> head.root")
+        pairs = pairs.groupBy(F.col("head.c").alias("a"), F.col("head.n").cast("long").alias("na"), F.col("c").alias("b"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("times"))
         pairs = pairs.where(self.near("na", "nb")).where(self.enough("times", "na", "nb"))
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b").union(tried.select("b", "a")), ["a", "b"], "left_anti")
-        return pairs.groupBy("b", "nb").agg(F.max(F.struct("times", "a", "na")).alias("best")).selectExpr("best.a as a", "best.na as na", "b", "nb")
+        # a class has at most HEADS heads in each group of its prefix, so this list is bounded by its own set
+        best = F.slice(F.sort_array(F.collect_list(F.struct("times", "a", "na")), asc=False), 1, HEADS)
+        best = pairs.groupBy("b", "nb").agg(best.alias("best")).select(F.explode("best").alias("best"), "b", "nb")
+        return best.selectExpr("best.a as a", "best.na as na", "b", "nb").selectExpr(*ORDERED).distinct()
 
     def links(self) -> DataFrame:
         """Links between distinct sets that give the same components as all links.
 
-        In rounds, every set is held against one other of its candidates, the head of signature groups that it meets most often and that lies in
-        another component by then. This settles groups of many near copies with a comparison a round each. Then all candidate pairs that still lie
+        In rounds, every set is held against a few of its candidates, heads of signature groups that it meets most often and that lie in other
+        components by then. This settles groups of many near copies with a few comparisons each. Then all candidate pairs that still lie
         in different components and share enough of their prefixes are compared.
         """
         group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
@@ -222,8 +240,8 @@ class Join:
         met = pinned(rows.where("head <> other").select("sig", "c", "n"))
         roots = met.selectExpr("c as node", "c as root").limit(0)
         linked = tried = None
-        for _ in range(HEAD_ROUNDS):
-            best = pinned(self.heads(met, roots, tried))
+        for turn in range(HEAD_ROUNDS):
+            best = pinned(self.heads(met, roots, tried, turn))
             found = pinned(self.verified(best))
             tried = best if tried is None else tried.union(best)
             linked = found if linked is None else linked.union(found)
@@ -232,9 +250,10 @@ class Join:
             roots = components(linked)
         marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", F.coalesce("root", "c").alias("root"))
         open_ = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-        left_open = pinned(marked.join(open_, "sig"))
+        # a class's rows in open groups bound what it can share with any class it is not joined with yet
+        left_open = pinned(marked.join(open_, "sig").withColumn("k", F.count("*").over(Window.partitionBy("c"))))
         x, y = left_open.alias("x"), left_open.alias("y")
-        rest = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')}"))
+        rest = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')} and {self.enough('least(x.k, y.k)', 'x.n', 'y.n')}"))
         rest = rest.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"))
         rest = rest.where(self.enough("times", "na", "nb")).drop("times")
         done = tried.selectExpr("least(a, b) as a", "greatest(a, b) as b")
