@@ -11,55 +11,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.scalars import HASH_MODULUS, mixed, text_uniform
+from tallyfield.functions.scalars import mixed, text_uniform
 from tallyfield.operators.ordered import attach, melt, numbered
 from tallyfield.session import pinned
 
-EXACT_LIMIT = 8192
-# Cumulative Poisson(1) probabilities for weights 0..8.
-POISSON_STEPS = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656,
-                 0.999405815182418, 0.999916758850712, 0.999989750803326, 0.999998874797402)
+DRAWS = 1000
 
 
-def _draw_means(units: DataFrame, group: Sequence[str], draws: int, seed: int, exact_limit: int) -> DataFrame:
+def _draw_means(units: DataFrame, group: Sequence[str], draws: int, seed: int) -> DataFrame:
     """Resampled ratios sum(s)/sum(c), one row per (group, draw). ``units``: group, o (order), s, c.
 
-    Groups up to ``exact_limit`` units: n picks with replacement out of an array of known bounded
-    size; picks are made and averaged inside the task that holds the array, so what is shuffled is
-    one row per draw. Bigger groups: every unit gets a Poisson(1) weight per draw, the form of
-    the same resampling for large n, which needs no picks at all and combines before the shuffle.
+    The units of a group of any size are numbered in order over ranges. Every unit makes one pick with replacement per draw,
+    and picks meet units on (group, position), which spreads one group over all tasks; sums combine before the last shuffle.
+    Equal units are interchangeable, so ties need no further order.
     """
-    sizes = units.groupBy(*group).agg(F.expr("count(*) as n"))
-    sized = attach(units, sizes, group)
-    small = sized.filter(F.col("n") <= exact_limit).groupBy(*group).agg(
-        F.expr("max(n) as n"), F.expr("sort_array(collect_list(struct(o, s, c))) as unit")
-    )
-    picked = (
-        small.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
-        .withColumn("pick", F.element_at("unit", (mixed(F.lit(seed), F.col("draw"), F.col("j")) % F.col("n") + 1).cast("int")))
-        .groupBy(*group, "draw")
-        .agg(F.expr("sum(pick.s) as s"), F.expr("sum(pick.c) as c"))
-    )
-    chance = mixed(F.lit(seed), F.col("draw"), F.expr(f"pmod(xxhash64(o, s, c, tie), {HASH_MODULUS})")) / F.lit(float(HASH_MODULUS))
-    weight = " + ".join(f"cast(chance >= {step}D as long)" for step in POISSON_STEPS)
-    weighted = (
-        sized.filter(F.col("n") > exact_limit)
+    placed = pinned(numbered(units, group, ["o", "s", "c"], "position"))
+    sizes = placed.groupBy(*group).agg(F.expr("count(*) as n"))
+    pick = mixed(F.lit(seed), F.col("draw"), F.col("position") - 1) % F.col("n") + 1
+    picks = (
+        attach(placed.select(*group, "position"), sizes, group)
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("chance", chance)
-        .withColumn("w", F.expr(weight))
-        .groupBy(*group, "draw")
-        .agg(F.expr("sum(w * s) as s"), F.expr("sum(w * c) as c"))
+        .select(*group, "draw", pick.alias("position"))
     )
-    return picked.unionByName(weighted).selectExpr(*group, "draw", "try_divide(s, c) as m")
+    picked = attach(picks, placed, [*group, "position"])
+    return picked.groupBy(*group, "draw").agg(F.expr("sum(s) as s"), F.expr("sum(c) as c")).selectExpr(*group, "draw", "try_divide(s, c) as m")
 
 
-def _interval(units: DataFrame, group: Sequence[str], draws: int, seed: int, exact_limit: int) -> DataFrame:
+def _interval(units: DataFrame, group: Sequence[str], draws: int, seed: int) -> DataFrame:
     point = units.groupBy(*group).agg(F.expr("sum(s) / sum(c) as mean"), F.expr("count(*) as n_units"))
     if draws <= 1:
         return point.selectExpr(*group, "n_units", "mean", "mean as low", "mean as high")
     # The number of draws is a parameter, so a native percentile over them stays small.
-    bounds = _draw_means(units, group, draws, seed, exact_limit).groupBy(*group).agg(
+    bounds = _draw_means(units, group, draws, seed).groupBy(*group).agg(
         F.expr("percentile(m, array(0.025D, 0.975D)) as b")
     )
     return attach(point, bounds, group).selectExpr(
@@ -68,22 +51,16 @@ def _interval(units: DataFrame, group: Sequence[str], draws: int, seed: int, exa
 
 
 def bootstrap_mean(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], draws: int = 200, seed: int = 1, exact_limit: int = EXACT_LIMIT,
-    row_id: Sequence[str] = (),
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], draws: int = DRAWS, seed: int = 1,
 ) -> DataFrame:
-    """(keys, metric): n_units, mean and 2.5 / 97.5 % of the means of resampled rows; a single row gives its value.
-
-    ``row_id`` names columns that tell equal values apart in groups above the exact limit.
-    """
-    long = melt(df, [*keys, *[c for c in row_id if c not in keys]], values).filter("value is not null")
-    tie = F.xxhash64(*row_id) if row_id else F.lit(0).cast("long")
-    units = pinned(long.withColumn("tie", tie).selectExpr(*keys, "metric", "value as o", "value as s", "1L as c", "tie"))
-    return _interval(units, [*keys, "metric"], draws, seed, exact_limit)
+    """(keys, metric): n_units, mean and 2.5 / 97.5 % of the means of resampled rows; a single row gives its value."""
+    long = melt(df, keys, values).filter("value is not null")
+    units = pinned(long.selectExpr(*keys, "metric", "value as o", "value as s", "1L as c"))
+    return _interval(units, [*keys, "metric"], draws, seed)
 
 
 def cluster_bootstrap_mean(
-    df: DataFrame, keys: Sequence[str], cluster: str, values: Sequence[str], draws: int = 200, seed: int = 1,
-    exact_limit: int = EXACT_LIMIT,
+    df: DataFrame, keys: Sequence[str], cluster: str, values: Sequence[str], draws: int = DRAWS, seed: int = 1,
 ) -> DataFrame:
     """As :func:`bootstrap_mean`, but whole clusters are drawn with all their rows.
 
@@ -91,7 +68,7 @@ def cluster_bootstrap_mean(
     """
     long = melt(df, [*keys, cluster], values).filter("value is not null")
     units = long.groupBy(*keys, "metric", F.col(cluster).alias("o")).agg(F.expr("sum(value) as s"), F.expr("count(*) as c"))
-    return _interval(pinned(units.withColumn("tie", F.lit(0).cast("long"))), [*keys, "metric"], draws, seed, exact_limit)
+    return _interval(pinned(units), [*keys, "metric"], draws, seed)
 
 
 def sample_fraction(df: DataFrame, keys: Sequence[str], unit: str, percent: float, seed: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.aggregates import summary
 from tallyfield.operators.ordered import attach
-from tallyfield.operators.resample import bootstrap_mean, cluster_bootstrap_mean
+from tallyfield.operators.resample import DRAWS, bootstrap_mean, cluster_bootstrap_mean
 from tallyfield.operators.windows import retention_auc
 from tallyfield.session import pinned
 
@@ -37,7 +37,7 @@ def robustness_detail(
 
 
 def robustness_interval(
-    detail: DataFrame, keys: Sequence[str], cluster: str, metrics: Sequence[str], draws: int = 200, seed: int = 1
+    detail: DataFrame, keys: Sequence[str], cluster: str, metrics: Sequence[str], draws: int = DRAWS, seed: int = 1
 ) -> DataFrame:
     """(keys, quantity): mean with a cluster bootstrap interval, p05, and the number of clusters."""
     columns = [f"{q}_{m}" for m in metrics for q in ("stressed", "delta", "retention")]
@@ -56,7 +56,7 @@ def robustness_score(cases: DataFrame, detail: DataFrame, keys: Sequence[str], f
 
 def paired_effects(
     df: DataFrame, keys: Sequence[str], region: Sequence[str], pairs: Sequence[tuple[str, str]], metrics: Sequence[str],
-    draws: int = 200, seed: int = 1,
+    draws: int = DRAWS, seed: int = 1,
 ) -> DataFrame:
     """Scenario contrasts per region: paired cases, mean, median and bootstrap interval of each delta.
 
@@ -73,14 +73,14 @@ def paired_effects(
         *[F.expr(f"max({m}) filter (where side = 'a') - max({m}) filter (where side = 'r') as `{m}`") for m in metrics],
     ).filter("n_sides = 2"))
     group = [*region, "reference", "alternative"]
-    interval = bootstrap_mean(both, group, metrics, draws, seed, row_id=keys)
+    interval = bootstrap_mean(both, group, metrics, draws, seed)
     middle = summary(both, group, metrics, ["median"], {"median": 0.5})
     cases = both.groupBy(*group).agg(F.expr("count(*) as paired_cases"))
     return attach(attach(interval, middle, [*group, "metric"]), cases, group)
 
 
 def high_level_decline(
-    deltas: DataFrame, keys: Sequence[str], outcome: str, explanatory: Sequence[str], threshold: float = 70.0, draws: int = 200,
+    deltas: DataFrame, keys: Sequence[str], outcome: str, explanatory: Sequence[str], threshold: float = 70.0, draws: int = DRAWS,
     seed: int = 1,
 ) -> DataFrame:
     """Steps that start at or above a level: share that fall, mean change with interval, and rank
@@ -93,7 +93,7 @@ def high_level_decline(
         F.expr("count(distinct base_id) as bases"),
         F.expr(f"100 * avg(cast({outcome} < 0 as double)) as share_dropping_percent"),
     )
-    interval = bootstrap_mean(high, group, [outcome], draws, seed, row_id=["base_id"]).drop("metric", "n_units")
+    interval = bootstrap_mean(high, group, [outcome], draws, seed).drop("metric", "n_units")
     pairs = [(outcome, c) for c in explanatory]
     found = correlations(high, group, pairs, 3)
     wide = found.groupBy(*group).agg(

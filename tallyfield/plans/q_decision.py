@@ -24,7 +24,7 @@ WITH {bootstrap_sql("v_case_metrics", "region, scenario_id, cn_fraction_percent"
 SELECT region, scenario_id, cn_fraction_percent, n_units, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM b""")
 def bootstrap_mean(spark, sf_dir):
     primary = V.case_metrics(spark, sf_dir).filter(PRIMARY)
-    out = resample.bootstrap_mean(primary, ["region", "scenario_id", "cn_fraction_percent"], [COV], 60, 1, row_id=["case_id"])
+    out = resample.bootstrap_mean(primary, ["region", "scenario_id", "cn_fraction_percent"], [COV], 60, 1)
     return rounded(out.drop("metric"))
 
 

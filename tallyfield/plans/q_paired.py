@@ -320,7 +320,7 @@ def event_summary(spark, sf_dir):
     """Per-base curves, then the mean over bases with its interval."""
     group = ["region", "scenario_id", "event_name"]
     bases = survival.km_summary(_tte(spark, sf_dir).filter(PRIMARY), [*group, "base_id"])
-    long = bootstrap_mean(bases, group, ["event_probability", "rmst"], 50, 7, row_id=["base_id"])
+    long = bootstrap_mean(bases, group, ["event_probability", "rmst"], 50, 7)
     pick = lambda c, m, n, d: F.expr(f"round(max({c}) filter (where metric = '{m}'), {d}) as {n}")
     return long.groupBy(*group).agg(
         F.expr("max(n_units) as bases"),
