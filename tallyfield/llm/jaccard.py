@@ -21,7 +21,7 @@ FRAGMENTS = 8
 #: the list of them has a fixed size. The list only orders shingles: any order finds the same links.
 FREQUENT_IN_SLICE, FREQUENT = 2, 1 << 19
 #: Rounds of comparisons with heads. Every candidate pair they leave open is compared after them, so their number changes costs only.
-HEAD_ROUNDS = 2
+HEAD_ROUNDS = 1
 #: Heads that a set is held against in a round.
 HEADS = 3
 #: A pair with the smaller key first.
