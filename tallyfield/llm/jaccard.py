@@ -111,7 +111,7 @@ class Join:
         return members
 
     def prefixes(self) -> DataFrame:
-        """(sig, c, n): the first shingles of each set in the global order, frequent ones last.
+        """(sig, c, n, i): the first shingles of each set in the global order, frequent ones last, with their places in it from 0 on.
 
         Two sets that link share at least ceil(percent n / 100) shingles of either, so their first n - that + 1 must meet.
         Classes already seen by the same task are left out: they would repeat its rows.
@@ -140,10 +140,10 @@ class Join:
                     sizes.append(n)
                     counts.append(keep)
                 if sigs:
-                    rows = [np.concatenate(sigs).astype(np.int64), np.repeat(np.array(classes, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)]
-                    yield pa.record_batch([pa.array(x) for x in rows], ["sig", "c", "n"])
+                    rows = [np.concatenate(sigs).astype(np.int64), np.repeat(np.array(classes, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(k, dtype=np.int32) for k in counts])]
+                    yield pa.record_batch([pa.array(x) for x in rows], ["sig", "c", "n", "i"])
 
-        return self.docs.mapInArrow(run, "sig long, c long, n int")
+        return self.docs.mapInArrow(run, "sig long, c long, n int, i int")
 
     def fragments(self, wanted: DataFrame) -> DataFrame:
         """(c, fragment, grams) of the wanted classes, read from one document of each, the one with the least id.
@@ -204,6 +204,14 @@ class Join:
         p = self.percent
         return f"{times} >= ({p} * ({a} + {b}) + {99 + p}) div {100 + p} - ({p} * greatest({a}, {b}) + 99) div 100 + 1"
 
+    def early(self, i: str, j: str, a: str, b: str) -> str:
+        """Condition that a shingle at places ``i`` and ``j`` can be the first that two linked sets share.
+
+        A link needs an overlap of m = ceil(percent (a + b) / (100 + percent)). Behind the first shared shingle, either set holds m - 1 more.
+        """
+        need = f"({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent}"
+        return f"{i} <= {a} - {need} and {j} <= {b} - {need}"
+
     def heads(self, met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
         """(a, na, b, nb): each class b with up to ``HEADS`` heads a of other components, those it meets in most signature groups, not tried before.
 
@@ -233,11 +241,11 @@ class Join:
 
         In rounds, every set is held against a few of its candidates, heads of signature groups that it meets most often and that lie in other
         components by then. This settles groups of many near copies with a few comparisons each. Then all candidate pairs that still lie
-        in different components and share enough of their prefixes are compared.
+        in different components are compared, if they share a shingle early enough in both prefixes.
         """
         group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
-        rows = self.prefixes().select("sig", "c", "n", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
-        met = pinned(rows.where("head <> other").select("sig", "c", "n"))
+        rows = self.prefixes().select("sig", "c", "n", "i", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
+        met = pinned(rows.where("head <> other").select("sig", "c", "n", "i"))
         roots = met.selectExpr("c as node", "c as root").limit(0)
         linked = tried = None
         for turn in range(HEAD_ROUNDS):
@@ -248,14 +256,12 @@ class Join:
             if found.isEmpty():
                 break
             roots = components(linked)
-        marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", F.coalesce("root", "c").alias("root"))
+        marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", "i", F.coalesce("root", "c").alias("root"))
         open_ = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-        # a class's rows in open groups bound what it can share with any class it is not joined with yet
-        left_open = pinned(marked.join(open_, "sig").withColumn("k", F.count("*").over(Window.partitionBy("c"))))
+        left_open = pinned(marked.join(open_, "sig"))
         x, y = left_open.alias("x"), left_open.alias("y")
-        rest = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')} and {self.enough('least(x.k, y.k)', 'x.n', 'y.n')}"))
-        rest = rest.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"))
-        rest = rest.where(self.enough("times", "na", "nb")).drop("times")
+        rest = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')} and {self.early('x.i', 'y.i', 'x.n', 'y.n')}"))
+        rest = rest.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").distinct()
         done = tried.selectExpr("least(a, b) as a", "greatest(a, b) as b")
         rest = pinned(rest.join(done, ["a", "b"], "left_anti"))
         return linked.union(self.verified(rest))
