@@ -84,7 +84,7 @@ def pack(documents: DataFrame, capacity: int = 1024, end_id: int = 0, slack: int
                 at = total - total % capacity
                 for length, k in known[total % capacity]:
                     bin_ = waiting[k]
-                    bin_.append((doc, at, ids[at : at + length], total))
+                    bin_.append((doc, at, ids[at : at + length].copy(), total))  # a view would hold the whole document's ids
                     at += length
                     if len(bin_) == k:
                         emit(bin_)
