@@ -13,6 +13,10 @@ from tallyfield.llm.common import table
 from tallyfield.session import scratch_path
 
 
+#: Near copies share this percentage of their shingles of so many words. The op4 query has its own values, fixed by its contract.
+COPY_SHINGLE, COPY_PERCENT = 5, 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are far from every language's centroids, or have no letters, go."""
     return language.accepted(docs, language.fit(docs))
@@ -23,7 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are in no group and stay.
     """
-    found = jaccard.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs, size=COPY_SHINGLE, percent=COPY_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
