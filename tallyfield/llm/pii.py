@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,8 @@ AT_WORD = re.compile(AT_FORMS, re.IGNORECASE)
 TRIGGER = re.compile(rf"[0-9]{{3}}|[0-9](?:[^\w\n]{{0,3}}[0-9]){{5}}|{AT_FORMS}|@", re.IGNORECASE)
 #: Characters on either side of a trigger that belong to its region.
 AROUND = 48
+#: Lines of a region with more characters are scored as a stream.
+LONG_LINE = 4000
 
 
 def regions(text: str) -> list[tuple[int, int]]:
@@ -135,30 +140,41 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def token_bounds(text: str, begin: int, end: int) -> list[int]:
+    return [m.start() for m in TOKEN.finditer(text, begin, end)] + [end]
+
+
+def spans_from(text: str, bounds: list[int], i: int) -> Iterator[int]:
+    """The tokens before which a span from token i on may end: see :func:`candidates`."""
+    if not (text[bounds[i]].isalnum() or text[bounds[i]] in "+("):
+        return
+    for j in range(i + 1, min(len(bounds) - 1, i + LONGEST_TOKENS) + 1):
+        if not text[bounds[j] - 1].isalnum():
+            continue
+        span = text[bounds[i] : bounds[j]]
+        if "\n" in span or len(span) > 80:
+            break
+        hidden = bool(AT_WORD.search(span))
+        if not hidden and any(map(str.isalpha, span)) and any(map(str.isspace, span)):
+            continue
+        if hidden or "@" in span or sum(map(str.isdigit, span)) >= 6:
+            yield j
+
+
 def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
     """Token bounds of a region, and the token ranges that may be a span: at most ``LONGEST_TOKENS`` long, from and to a letter, a digit, + or a
     bracket, with six digits or more, or with an @ or its
     spelled form. Letters and white space go together only around the spelled form."""
-    bounds = [m.start() for m in TOKEN.finditer(text, begin, end)] + [end]
-    n = len(bounds) - 1
-    opens = [text[b].isalnum() or text[b] in "+(" for b in bounds[:-1]]
-    closes = [text[b - 1].isalnum() for b in bounds[1:]]
-    out = []
-    for i in range(n):
-        if not opens[i]:
-            continue
-        for j in range(i + 1, min(n, i + LONGEST_TOKENS) + 1):
-            if not closes[j - 1]:
-                continue
-            span = text[bounds[i] : bounds[j]]
-            if "\n" in span or len(span) > 80:
-                break
-            hidden = bool(AT_WORD.search(span))
-            if not hidden and any(map(str.isalpha, span)) and any(map(str.isspace, span)):
-                continue
-            if hidden or "@" in span or sum(map(str.isdigit, span)) >= 6:
-                out.append((i, j))
-    return bounds, out
+    bounds = token_bounds(text, begin, end)
+    return bounds, [(i, j) for i in range(len(bounds) - 1) for j in spans_from(text, bounds, i)]
+
+
+def lines(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """The region cut after its line ends, which no candidate crosses, so the pieces are independent of each other."""
+    while begin < end:
+        cut = text.find("\n", begin, end) + 1 or end
+        yield begin, cut
+        begin = cut
 
 
 def log_sum(first: float, others: list[float]) -> float:
@@ -225,16 +241,64 @@ class Field:
                 j = i
         return out[::-1]
 
+    def best_streamed(self, text: str, begin: int, end: int) -> list[tuple[Span, float]]:
+        """As :meth:`best`, with a few numbers per token in place of all candidates; they are scored once in each direction."""
+        bounds = token_bounds(text, begin, end)
+        n = len(bounds) - 1
+
+        def scores(i: int) -> Iterator[tuple[int, int, float]]:
+            for j in spans_from(text, bounds, i):
+                features = span_features(text, bounds[i], bounds[j])
+                for k, kind in enumerate(KINDS):
+                    yield j, k, sum(self.weights.get((kind, f), 0.0) for f in features)
+
+        ahead, value, score = (array("d", bytes(8 * (n + 1))) for _ in range(3))
+        length, which = array("b", bytes(n + 1)), array("b", bytes(n + 1))
+        waiting: dict[int, tuple[list[float], float, int, int, float]] = {}
+        for i in range(n + 1):
+            sums, top, *chosen = waiting.pop(i, ([], -math.inf, 0, 0, 0.0))
+            if i:
+                ahead[i], value[i] = log_sum(ahead[i - 1], sums), value[i - 1]
+                if top > value[i]:
+                    value[i], length[i], which[i], score[i] = top, *chosen
+            if i == n:
+                break
+            for j, k, s in scores(i):
+                sums, top, *chosen = waiting.get(j, ([], -math.inf, 0, 0, 0.0))
+                sums.append(ahead[i] + s)
+                if value[i] + s > top:
+                    top, chosen = value[i] + s, [j - i, k, s]
+                waiting[j] = (sums, top, *chosen)
+        if value[n] <= 0:
+            return []
+        behind = array("d", bytes(8 * (n + 1)))
+        for i in range(n - 1, -1, -1):
+            behind[i] = log_sum(behind[i + 1], [behind[j] + s for j, _, s in scores(i)])
+        out, j = [], n
+        while j:
+            i = j - (length[j] or 1)
+            if length[j]:
+                out.append(((KINDS[which[j]], bounds[i], bounds[j]), math.exp(min(0.0, ahead[i] + score[j] + behind[j] - ahead[n]))))
+            j = i
+        return out[::-1]
+
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Sure spans that touch no span of the patterns."""
         if not self.weights:
             return []
-        out = []
-        for begin, end in regions(text):
-            inside = [(a, b) for _, a, b in base if a < end and b > begin]
-            for span, p in self.best(text, begin, end):
-                if p >= SURE and not any(a < span[2] and b > span[1] for a, b in inside):
-                    out.append(span)
+        out, taken = [], []  # taken: what the patterns cover, in order and apart
+        for _, a, b in sorted(base, key=lambda s: s[1]):
+            if taken and a < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+            else:
+                taken.append((a, b))
+        for region in regions(text):
+            for begin, end in lines(text, *region):
+                find = self.best if end - begin <= LONG_LINE else self.best_streamed
+                for span, p in find(text, begin, end):
+                    before = bisect_left(taken, (span[2],)) - 1  # the last that begins before the span ends
+                    if p >= SURE and (before < 0 or taken[before][1] <= span[1]):
+                        out.append(span)
         return out
 
 
