@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["html_text", "packing", "language", "jaccard", "compression", "token_file", "hosts", "toxicity", "pii", "phrases"]
+MODULES = ["html_text", "packing", "language", "jaccard", "compression", "token_file", "hosts", "toxicity", "pii", "phrases", "lexical", "quality_trees", "whitening"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
