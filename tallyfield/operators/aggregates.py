@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.ordered import attach, distribution, melt, widen
+from tallyfield.operators.resample import DRAWS, bootstrap_mean
 
 MEDIAN = {"median": 0.5}
 TAILS = {"p05": 0.05, "p95": 0.95}
@@ -26,13 +27,17 @@ def describe_by(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], case
 
 
 def level_summary(
-    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], base: str = "base_id"
+    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], base: str = "base_id", unit: Sequence[str] = ("case_id",),
+    central: str = "n_central_nodes", draws: int = DRAWS, seed: int = 1,
 ) -> DataFrame:
-    """Long form: mean, median, quartiles and count of each metric per group, with the number of bases."""
+    """Long form: mean with its bootstrap interval, median, quartiles and count of each metric per group, with the number of bases
+    and the median number of central nodes."""
     known = df.dropna(subset=list(keys))
     bases = known.groupBy(*keys).agg(F.count_distinct(base).alias("n_bases"))
+    nodes = distribution(known, keys, [central], MEDIAN).select(*keys, F.col("median").alias("median_central_nodes"))
     stats = distribution(known, keys, metrics, QUARTILES).select(*keys, "metric", "n", "mean", *QUARTILES)
-    return attach(stats, bases, keys)
+    interval = bootstrap_mean(known, keys, metrics, unit, draws, seed).select(*keys, "metric", "low", "high")
+    return attach(attach(attach(stats, interval, [*keys, "metric"]), bases, keys), nodes, keys)
 
 
 def summary(

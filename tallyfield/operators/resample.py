@@ -1,62 +1,84 @@
 """Bootstrap intervals and sampling without replacement, from repeatable hashes.
 
-Picks come from plain integer arithmetic (:func:`tallyfield.functions.scalars.mixed`), so a result
-is the same on every run and after lost executors.
+In each draw a unit counts a Poisson(1) number of times, a plain-integer hash of its name and the draw
+(:func:`tallyfield.functions.scalars.mixed`). A unit's number needs neither the size of its group nor a place in it, so
+nothing is numbered or looked up: every task weighs its own rows, sums combine in place, and only one row per
+(group, draw) and task is shuffled. The rule is the same for groups of every size, on every run and after lost executors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.scalars import mixed, text_uniform
-from tallyfield.operators.ordered import attach, melt, numbered
-from tallyfield.session import pinned
+from tallyfield.functions.scalars import HASH_MODULUS, mixed, text_uniform
+from tallyfield.operators.ordered import attach, numbered
 
 DRAWS = 1000
 
 
-def _draw_means(units: DataFrame, group: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """Resampled ratios sum(s)/sum(c), one row per (group, draw). ``units``: group, o (order), s, c.
+def poisson_bounds(modulus: int = HASH_MODULUS) -> list[int]:
+    """Whole-number bounds b such that count(h >= b) is Poisson(1) for h uniform in [0, modulus)."""
+    bounds, term, total = [], math.exp(-1.0), 0.0
+    for k in range(1, 100):
+        total += term
+        term /= k
+        if modulus * (1.0 - total) < 1.0:
+            break
+        bounds.append(int(modulus * total))
+    return bounds
+
+
+def unit_state(unit: Sequence[str], seed: int) -> Column:
+    """A repeatable whole number for one unit, from 56 bits of the MD5 of its name."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in unit]))
+    part = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
+    return mixed(F.lit(seed), part(1), part(8))
 
-    The units of a group of any size are numbered in order over ranges. Every unit makes one pick with replacement per draw,
-    and picks meet units on (group, position), which spreads one group over all tasks; sums combine before the last shuffle.
-    Equal units are interchangeable, so ties need no further order.
-    """
-    placed = pinned(numbered(units, group, ["o", "s", "c"], "position"))
-    sizes = placed.groupBy(*group).agg(F.expr("count(*) as n"))
-    pick = mixed(F.lit(seed), F.col("draw"), F.col("position") - 1) % F.col("n") + 1
-    picks = (
-        attach(placed.select(*group, "position"), sizes, group)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .select(*group, "draw", pick.alias("position"))
-    )
-    picked = attach(picks, placed, [*group, "position"])
-    return picked.groupBy(*group, "draw").agg(F.expr("sum(s) as s"), F.expr("sum(c) as c")).selectExpr(*group, "draw", "try_divide(s, c) as m")
 
+def _interval(units: DataFrame, group: Sequence[str], unit: Sequence[str], values: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """(group, metric): means and intervals of sum(_s0) / sum(_c0) and so on, one pair of columns per entry of ``values``.
 
-def _interval(units: DataFrame, group: Sequence[str], draws: int, seed: int) -> DataFrame:
-    point = units.groupBy(*group).agg(F.expr("sum(s) / sum(c) as mean"), F.expr("count(*) as n_units"))
-    if draws <= 1:
-        return point.selectExpr(*group, "n_units", "mean", "mean as low", "mean as high")
-    # The number of draws is a parameter, so a native percentile over them stays small.
-    bounds = _draw_means(units, group, draws, seed).groupBy(*group).agg(
-        F.expr("percentile(m, array(0.025D, 0.975D)) as b")
+    ``units`` has one row per unit. A unit's weight in a draw is made once, for all metrics.
+    """
+    at = range(len(values))
+    point = units.groupBy(*group).agg(
+        *[F.expr(f"count_if(_c{i} > 0) as _n{i}") for i in at], *[F.expr(f"try_divide(sum(_s{i}), sum(_c{i})) as _mean{i}") for i in at]
     )
-    return attach(point, bounds, group).selectExpr(
-        *group, "n_units", "mean", "if(n_units = 1, mean, b[0]) as low", "if(n_units = 1, mean, b[1]) as high"
+    if draws > 1:
+        parts = [c for i in at for c in (f"_s{i}", f"_c{i}")]
+        times = sum(((F.col("_h") >= b).cast("int") for b in poisson_bounds()), F.lit(0))
+        drawn = (
+            units.select(*group, unit_state(unit, seed).alias("_u"), *parts)
+            .select(*group, *parts, "_u", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
+            .select(*group, *parts, "_draw", mixed(F.col("_u"), F.col("_draw")).alias("_h"))
+            .select(*group, *parts, "_draw", times.alias("_w"))
+        )
+        # A draw in which no unit counts has no mean and is left out by the percentile.
+        means = drawn.groupBy(*group, "_draw").agg(*[F.expr(f"try_divide(sum(_w * _s{i}), sum(_w * _c{i})) as _m{i}") for i in at])
+        # The number of draws is a parameter, so a native percentile over them stays small.
+        point = attach(point, means.groupBy(*group).agg(*[F.expr(f"percentile(_m{i}, array(0.025D, 0.975D)) as _b{i}") for i in at]), group)
+    bound = lambda i, side: f"if(_n{i} = 1, _mean{i}, _b{i}[{side}])" if draws > 1 else f"_mean{i}"
+    rows = ", ".join(
+        f"named_struct('metric', '{v}', 'n_units', _n{i}, 'mean', _mean{i}, 'low', {bound(i, 0)}, 'high', {bound(i, 1)})" for i, v in enumerate(values)
     )
+    return point.selectExpr(*group, f"inline(array({rows}))").filter("n_units > 0")
 
 
 def bootstrap_mean(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], draws: int = DRAWS, seed: int = 1,
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], unit: Sequence[str], draws: int = DRAWS, seed: int = 1,
 ) -> DataFrame:
-    """(keys, metric): n_units, mean and 2.5 / 97.5 % of the means of resampled rows; a single row gives its value."""
-    long = melt(df, keys, values).filter("value is not null")
-    units = pinned(long.selectExpr(*keys, "metric", "value as o", "value as s", "1L as c"))
-    return _interval(units, [*keys, "metric"], draws, seed)
+    """(keys, metric): n_units, mean and 2.5 / 97.5 % of the means of resampled rows; a single row gives its value.
+
+    ``unit`` names the columns that tell the rows of a group apart; rows that agree in them are drawn together. Missing values count for nothing.
+    """
+    names = list(dict.fromkeys([*keys, *unit]))
+    clean = [f"nanvl(cast(`{v}` as double), null)" for v in values]
+    units = df.selectExpr(*names, *[f"coalesce({c}, 0D) as _s{i}" for i, c in enumerate(clean)], *[f"cast({c} is not null as int) as _c{i}" for i, c in enumerate(clean)])
+    return _interval(units, list(keys), unit, values, draws, seed)
 
 
 def cluster_bootstrap_mean(
@@ -64,11 +86,13 @@ def cluster_bootstrap_mean(
 ) -> DataFrame:
     """As :func:`bootstrap_mean`, but whole clusters are drawn with all their rows.
 
-    Rows are first reduced to (sum, count) per cluster, so only clusters are resampled.
+    Rows are first reduced to sums and counts per cluster, so each cluster is weighted once.
     """
-    long = melt(df, [*keys, cluster], values).filter("value is not null")
-    units = long.groupBy(*keys, "metric", F.col(cluster).alias("o")).agg(F.expr("sum(value) as s"), F.expr("count(*) as c"))
-    return _interval(pinned(units), [*keys, "metric"], draws, seed)
+    clean = [f"nanvl(cast(`{v}` as double), null)" for v in values]
+    units = df.groupBy(*keys, cluster).agg(
+        *[F.expr(f"coalesce(sum({c}), 0D) as _s{i}") for i, c in enumerate(clean)], *[F.expr(f"count({c}) as _c{i}") for i, c in enumerate(clean)]
+    )
+    return _interval(units, list(keys), [cluster], values, draws, seed)
 
 
 def sample_fraction(df: DataFrame, keys: Sequence[str], unit: str, percent: float, seed: str) -> DataFrame:

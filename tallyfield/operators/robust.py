@@ -73,7 +73,7 @@ def paired_effects(
         *[F.expr(f"max({m}) filter (where side = 'a') - max({m}) filter (where side = 'r') as `{m}`") for m in metrics],
     ).filter("n_sides = 2"))
     group = [*region, "reference", "alternative"]
-    interval = bootstrap_mean(both, group, metrics, draws, seed)
+    interval = bootstrap_mean(both, group, metrics, [k for k in keys if k not in region], draws, seed)
     middle = summary(both, group, metrics, ["median"], {"median": 0.5})
     cases = both.groupBy(*group).agg(F.expr("count(*) as paired_cases"))
     return attach(attach(interval, middle, [*group, "metric"]), cases, group)
@@ -93,7 +93,7 @@ def high_level_decline(
         F.expr("count(distinct base_id) as bases"),
         F.expr(f"100 * avg(cast({outcome} < 0 as double)) as share_dropping_percent"),
     )
-    interval = bootstrap_mean(high, group, [outcome], draws, seed).drop("metric", "n_units")
+    interval = bootstrap_mean(high, group, [outcome], ["base_id"], draws, seed).drop("metric", "n_units")
     pairs = [(outcome, c) for c in explanatory]
     found = correlations(high, group, pairs, 3)
     wide = found.groupBy(*group).agg(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tallyfield.operators import aggregates as agg
 from tallyfield.operators import correlation, network, outcomes
 from tallyfield.operators.joins import matched_cross_fleet
+from tallyfield.operators.resample import DRAWS
 from tallyfield.plans import views as V
+from tallyfield.plans.draws import bootstrap_sql
 from tallyfield.plans.registry import query
 from tallyfield.plans.shape import rounded
 
@@ -103,12 +105,16 @@ def coverage_by_family(spark, sf_dir):
     return agg.coverage_by(V.case_metrics(spark, sf_dir), ["family", "status"])
 
 
+_LEVEL = "region, scenario_id, cn_fraction_percent"
+
+
 @query("A06_level_summary", f"""
-WITH long AS ({long_sql("v_case_metrics", "region, scenario_id, cn_fraction_percent", [OBS, S100, COV, T100, MBIT], f"status = 'COMPLETED' AND {PRIMARY}")}),
-b AS (SELECT region, scenario_id, cn_fraction_percent, count(DISTINCT base_id) AS n_bases FROM v_case_metrics WHERE status = 'COMPLETED' AND {PRIMARY} GROUP BY ALL)
-SELECT region, scenario_id, cn_fraction_percent, metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
-       round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, max(n_bases) AS n_bases
-FROM long JOIN b USING (region, scenario_id, cn_fraction_percent) GROUP BY region, scenario_id, cn_fraction_percent, metric""")
+WITH done AS (SELECT * FROM v_case_metrics WHERE status = 'COMPLETED' AND {PRIMARY}), long AS ({long_sql("done", f"{_LEVEL}, case_id", [OBS, S100, COV, T100, MBIT])}),
+b AS (SELECT {_LEVEL}, count(DISTINCT base_id) AS n_bases, median(n_central_nodes::DOUBLE) AS middle FROM done GROUP BY ALL),
+{bootstrap_sql("long", f"{_LEVEL}, metric", "value", "case_id", DRAWS, 1, "bs")}
+SELECT {_LEVEL}, metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75,
+       max(n_bases) AS n_bases, round(max(low), 6) AS low, round(max(high), 6) AS high, round(max(middle), 6) AS median_central_nodes
+FROM long JOIN b USING ({_LEVEL}) JOIN bs USING ({_LEVEL}, metric) GROUP BY {_LEVEL}, metric""")
 def level_summary(spark, sf_dir):
     done = V.case_table(spark, sf_dir).filter(f"status = 'COMPLETED' and {PRIMARY}")
     return rounded(agg.level_summary(done, ["region", "scenario_id", "cn_fraction_percent"], [OBS, S100, COV, T100, MBIT]))

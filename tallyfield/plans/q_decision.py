@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from tallyfield.operators import aggregates as agg
 from tallyfield.operators import contacts, decision, grid, models, resample, robust, skyline, topk, windows
 from tallyfield.operators.correlation import all_pairs
+from tallyfield.operators.resample import DRAWS
 from tallyfield.plans import views as V
 from tallyfield.plans.q_aggregates import COV, EVENTS, MBIT, OBS, PRIMARY, S100, STRESS, T100, corr_sql
-from tallyfield.plans.q_paired import _mix, _pick, bootstrap_sql
+from tallyfield.plans.draws import _mix, bootstrap_sql, interval_sql
 from tallyfield.plans.registry import query
 from tallyfield.plans.shape import rounded
 
@@ -20,29 +20,25 @@ PAIRS = [("nominal_original", "unlimited_useful_deadline"), ("policy_central", "
 
 
 @query("M01_bootstrap_mean", f"""
-WITH {bootstrap_sql("v_case_metrics", "region, scenario_id, cn_fraction_percent", COV, 60, 1, "b").replace("FROM v_case_metrics WHERE", "FROM v_case_metrics WHERE " + PRIMARY + " AND")}
+WITH {bootstrap_sql("v_case_metrics", "region, scenario_id, cn_fraction_percent", COV, "case_id", DRAWS, 1, "b", PRIMARY)}
 SELECT region, scenario_id, cn_fraction_percent, n_units, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM b""")
 def bootstrap_mean(spark, sf_dir):
-    primary = V.case_metrics(spark, sf_dir).filter(PRIMARY)
-    out = resample.bootstrap_mean(primary, ["region", "scenario_id", "cn_fraction_percent"], [COV], 60, 1)
+    primary = V.case_table(spark, sf_dir).filter(PRIMARY)
+    out = resample.bootstrap_mean(primary, ["region", "scenario_id", "cn_fraction_percent"], [COV], ["case_id"], DRAWS, 1)
     return rounded(out.drop("metric"))
 
 
 def cluster_sql(source: str, keys: str, cluster: str, value: str, draws: int, seed: int, name: str, where: str = "true") -> str:
-    return f"""{name}_c AS (SELECT {keys}, {cluster} AS k, sum({value}) AS s, count(*) AS c FROM {source} WHERE {value} IS NOT NULL AND {where} GROUP BY ALL),
-{name}_u AS (SELECT {keys}, count(*) AS n, sum(s) / sum(c) AS mean, list(s ORDER BY k) AS vs, list(c ORDER BY k) AS vc FROM {name}_c GROUP BY ALL),
-{name}_p AS (SELECT {keys}, n, vs, vc, draw, {_pick("draw", "j", seed)} % n + 1 AS i FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT *, unnest(range({draws})) AS draw FROM {name}_u))),
-{name}_d AS (SELECT {keys}, n, draw, sum(vs[i]) / sum(vc[i]) AS m FROM {name}_p GROUP BY {keys}, n, draw),
-{name} AS (SELECT {keys}, u.n AS n_units, u.mean, CASE WHEN u.n = 1 THEN u.mean ELSE low END AS low, CASE WHEN u.n = 1 THEN u.mean ELSE high END AS high
-  FROM {name}_u u JOIN (SELECT {keys}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM {name}_d GROUP BY ALL) USING ({keys}))"""
+    return f"""{name}_u AS MATERIALIZED (SELECT {keys}, {cluster}, sum({value}) AS s, count(*) AS c FROM {source} WHERE {value} IS NOT NULL AND {where} GROUP BY ALL),
+{interval_sql(f"{name}_u", keys, cluster, draws, seed, name)}"""
 
 
 @query("M02_cluster_bootstrap_mean", f"""
-WITH {cluster_sql("v_case_metrics", "region, scenario_id", "base_id", OBS, 60, 3, "b", PRIMARY)}
+WITH {cluster_sql("v_case_metrics", "region, scenario_id", "base_id", OBS, DRAWS, 3, "b", PRIMARY)}
 SELECT region, scenario_id, n_units, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM b""")
 def cluster_bootstrap_mean(spark, sf_dir):
-    primary = V.case_metrics(spark, sf_dir).filter(PRIMARY)
-    return rounded(resample.cluster_bootstrap_mean(primary, ["region", "scenario_id"], "base_id", [OBS], 60, 3).drop("metric"))
+    primary = V.case_table(spark, sf_dir).filter(PRIMARY)
+    return rounded(resample.cluster_bootstrap_mean(primary, ["region", "scenario_id"], "base_id", [OBS], DRAWS, 3).drop("metric"))
 
 
 def _minmax_sql(column: str, invert: bool, rule: str) -> str:
@@ -330,7 +326,7 @@ h AS (SELECT * FROM d WHERE level_to IS NOT NULL AND level_from >= 50)"""
 
 
 @query("M15_high_level_decline", f"""
-WITH {_DECLINE_SQL}, {corr_sql("h", "region, level_from, level_to", [("d_o", "d_b"), ("d_o", "d_e")])}, {bootstrap_sql("h", "region, level_from, level_to", "d_o", 50, 1, "bs")},
+WITH {_DECLINE_SQL}, {corr_sql("h", "region, level_from, level_to", [("d_o", "d_b"), ("d_o", "d_e")])}, {bootstrap_sql("h", "region, level_from, level_to", "d_o", "base_id", DRAWS, 1, "bs")},
 t AS (SELECT region, level_from, level_to, count(DISTINCT base_id) AS bases, 100 * avg((d_o < 0)::INT) AS sh FROM h GROUP BY ALL)
 SELECT region, level_from, level_to, bases, round(sh, 6) AS share_dropping_percent, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high,
        round(max(CASE WHEN n >= 3 THEN spearman END) FILTER (metric_b = 'd_b'), 6) AS spearman_delta_{MBIT}, round(max(CASE WHEN n >= 3 THEN spearman END) FILTER (metric_b = 'd_e'), 6) AS spearman_delta_{EVENTS}
@@ -338,23 +334,39 @@ FROM t JOIN bs USING (region, level_from, level_to) LEFT JOIN r USING (region, l
 def high_level_decline(spark, sf_dir):
     rows = V.case_metrics(spark, sf_dir).filter("scenario_id = 'nominal_original'")
     steps = windows.adjacent_deltas(rows, ["region", "base_id"], "cn_fraction_percent", [OBS, MBIT, EVENTS])
-    return rounded(robust.high_level_decline(steps, ["region"], f"delta_{OBS}", [f"delta_{MBIT}", f"delta_{EVENTS}"], 50.0, 50, 1))
+    return rounded(robust.high_level_decline(steps, ["region"], f"delta_{OBS}", [f"delta_{MBIT}", f"delta_{EVENTS}"], 50.0, DRAWS, 1))
+
+
+# The six contrasts: policies, task sizes against the plain size, and limits.
+CONTRASTS = [
+    ("policy_central", "policy_peer"), ("policy_central", "policy_hybrid"), ("task_size_x1p0", "task_size_x0p5"),
+    ("task_size_x1p0", "task_size_x2p0"), ("task_size_x1p0", "task_size_x4p0"), ("nominal_original", "unlimited_useful_deadline"),
+]
+_SIZES_SQL = f"""sc AS (SELECT region, case_id, scenario_id, {OBS}, {MBIT} FROM v_case_metrics UNION ALL
+  SELECT region, case_id, 'task_size_x' || replace(task_size_multiplier::VARCHAR, '.', 'p'), avg({OBS}), avg({MBIT}) FROM v_case_metrics WHERE family = 'combined_stress' GROUP BY region, case_id, task_size_multiplier)"""
+
+
+def _with_sizes(cases):
+    """Case rows and, as scenarios of their own, the mean over all stressed runs of a case at each task size."""
+    sized = cases.filter("family = 'combined_stress'").groupBy("region", "case_id", "task_size_multiplier").agg(F.avg(OBS).alias(OBS), F.avg(MBIT).alias(MBIT))
+    named = sized.selectExpr("region", "case_id", "'task_size_x' || replace(cast(task_size_multiplier as string), '.', 'p') as scenario_id", OBS, MBIT)
+    return cases.select("region", "case_id", "scenario_id", OBS, MBIT).unionByName(named)
 
 
 _PAIR_SQL = " UNION ALL ".join(
     f"SELECT a.region, a.case_id, '{x}' AS reference, '{y}' AS alternative, b.{OBS} - a.{OBS} AS d1, b.{MBIT} - a.{MBIT} AS d2 "
-    f"FROM (SELECT * FROM v_case_metrics WHERE scenario_id = '{x}') a JOIN (SELECT * FROM v_case_metrics WHERE scenario_id = '{y}') b USING (region, case_id)"
-    for x, y in PAIRS)
+    f"FROM (SELECT * FROM sc WHERE scenario_id = '{x}') a JOIN (SELECT * FROM sc WHERE scenario_id = '{y}') b USING (region, case_id)"
+    for x, y in CONTRASTS)
 
 
 @query("M16_paired_effects", f"""
-WITH p AS ({_PAIR_SQL}), q AS (SELECT region, reference, alternative, '{OBS}' AS metric, d1 AS d FROM p WHERE d1 IS NOT NULL UNION ALL SELECT region, reference, alternative, '{MBIT}', d2 FROM p WHERE d2 IS NOT NULL),
-{bootstrap_sql("q", "region, reference, alternative, metric", "d", 50, 1, "bs")}, m AS (SELECT region, reference, alternative, metric, median(d) AS median FROM q GROUP BY ALL),
+WITH {_SIZES_SQL}, p AS ({_PAIR_SQL}), q AS (SELECT region, case_id, reference, alternative, '{OBS}' AS metric, d1 AS d FROM p WHERE d1 IS NOT NULL UNION ALL SELECT region, case_id, reference, alternative, '{MBIT}', d2 FROM p WHERE d2 IS NOT NULL),
+{bootstrap_sql("q", "region, reference, alternative, metric", "d", "case_id", DRAWS, 1, "bs")}, m AS (SELECT region, reference, alternative, metric, median(d) AS median FROM q GROUP BY ALL),
 c AS (SELECT region, reference, alternative, count(*) AS paired_cases FROM p GROUP BY ALL)
 SELECT region, reference, alternative, metric, n_units, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(median, 6) AS median, paired_cases
 FROM bs JOIN m USING (region, reference, alternative, metric) JOIN c USING (region, reference, alternative)""")
 def paired_effects(spark, sf_dir):
-    return rounded(robust.paired_effects(V.case_metrics(spark, sf_dir), ["region", "case_id"], ["region"], PAIRS, [OBS, MBIT], 50, 1))
+    return rounded(robust.paired_effects(_with_sizes(V.case_table(spark, sf_dir)), ["region", "case_id"], ["region"], CONTRASTS, [OBS, MBIT], DRAWS, 1))
 
 
 _DETAIL_SQL = f"""base AS (SELECT region, case_id, max({COV}) AS b1, max({OBS}) AS b2 FROM v_case_metrics WHERE {UNLIMITED} GROUP BY ALL),
@@ -385,18 +397,18 @@ SELECT {keys}, metric, n_units, round(mean, 6) AS mean, round(low, 6) AS low, ro
 
 
 @query("M17_robustness_interval", "WITH " + _interval_sql(
-    "region, family, failure_level_percent", _DETAIL_SQL.replace("s.task_size_multiplier, ", ""), 40))
+    "region, family, failure_level_percent", _DETAIL_SQL.replace("s.task_size_multiplier, ", ""), DRAWS))
 def robustness_interval(spark, sf_dir):
-    return rounded(robust.robustness_interval(_detail(spark, sf_dir), ["region", *CELL], "base_id", [COV, OBS], 40, 1))
+    return rounded(robust.robustness_interval(_detail(spark, sf_dir), ["region", *CELL], "base_id", [COV, OBS], DRAWS, 1))
 
 
 @query("M19_combined_stress", "WITH " + _interval_sql(
-    "region, task_size_multiplier, failure_level_percent", _DETAIL_SQL.replace(STRESS, "s.family = 'combined_stress'"), 40))
+    "region, task_size_multiplier, failure_level_percent", _DETAIL_SQL.replace(STRESS, "s.family = 'combined_stress'"), DRAWS))
 def combined_stress(spark, sf_dir):
     rows = V.case_table(spark, sf_dir)
     cell = ["task_size_multiplier", "failure_level_percent"]
     detail = robust.robustness_detail(rows, ["region", "case_id"], ["base_id", *cell], [COV, OBS], "family = 'combined_stress'", UNLIMITED)
-    return rounded(robust.robustness_interval(detail, ["region", *cell], "base_id", [COV, OBS], 40, 1))
+    return rounded(robust.robustness_interval(detail, ["region", *cell], "base_id", [COV, OBS], DRAWS, 1))
 
 
 _AUC_SQL = f"""{_DETAIL_SQL.replace("s.task_size_multiplier, ", "")}, pt AS (SELECT region, case_id, family, failure_level_percent AS x, CASE WHEN b1 > 1e-12 THEN s1 / b1 END AS y FROM det),

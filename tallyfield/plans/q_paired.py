@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import joins, survival, topk, windows
 from tallyfield.operators.ordered import attach
-from tallyfield.operators.resample import bootstrap_mean
+from tallyfield.operators.resample import DRAWS, bootstrap_mean
 from tallyfield.plans import views as V
+from tallyfield.plans.draws import bootstrap_sql
 from tallyfield.plans.q_aggregates import COV, EVENTS, MBIT, OBS, PRIMARY, S100, T100
 from tallyfield.plans.registry import query
 from tallyfield.plans.shape import rounded
@@ -291,36 +292,16 @@ _HORIZON = {"Critical": 180, "High": 360, "Medium": 1080, "Low": 2160}
 _HORIZON_SQL = "CAST(CASE priority_class " + " ".join(f"WHEN '{k}' THEN {v * 1440.0 * 0.75}" for k, v in _HORIZON.items()) + " END AS DOUBLE)"
 
 
-def bootstrap_sql(source: str, keys: str, value: str, draws: int, seed: int, name: str) -> str:
-    """SQL: CTE ``name`` (keys, n_units, mean, low, high) with the same arithmetic picks."""
-    return f"""{name}_u AS (SELECT {keys}, count(*) AS n, avg({value}) AS mean, list({value} ORDER BY {value}) AS v FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL),
-{name}_d AS (SELECT {keys}, n, draw, avg(v[{_pick("draw", "j", seed)} % n + 1]) AS m FROM (SELECT {keys}, n, v, draw, unnest(range(n)) AS j FROM (SELECT *, unnest(range({draws})) AS draw FROM {name}_u)) GROUP BY {keys}, n, draw),
-{name} AS (SELECT {keys}, u.n AS n_units, u.mean, CASE WHEN u.n = 1 THEN u.mean ELSE low END AS low, CASE WHEN u.n = 1 THEN u.mean ELSE high END AS high
-  FROM {name}_u u JOIN (SELECT {keys}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM {name}_d GROUP BY ALL) USING ({keys}))"""
-
-
-def _mix(state: str, number: str) -> str:
-    step = f"((({state})::BIGINT * 48271 + (({number})::BIGINT % 2147483647) * 69621 + 12345) % 2147483647)"
-    return f"(({step} * {step} + 16807) % 2147483647)"
-
-
-def _pick(draw: str, j: str, seed: int) -> str:
-    first = ((1 * 48271 + seed * 69621 + 12345) % 2147483647)
-    first = (first * first + 16807) % 2147483647
-    return (f"list_transform([{_mix(str(first), f'{draw}::BIGINT')}], lambda a: "
-            f"list_transform([{_mix('a', f'{j}::BIGINT')}], lambda b: (b * b + b * 48271 + 7) % 2147483647)[1])[1]")
-
-
 @query("W10_event_summary", f"""
-WITH {_TTE_SQL}, {km_sql("region, scenario_id, event_name, base_id", where=PRIMARY)}, {bootstrap_sql("km", "region, scenario_id, event_name", "event_probability", 50, 7, "bp")},
-{bootstrap_sql("km", "region, scenario_id, event_name", "rmst", 50, 7, "br")}
+WITH {_TTE_SQL}, {km_sql("region, scenario_id, event_name, base_id", where=PRIMARY)}, {bootstrap_sql("km", "region, scenario_id, event_name", "event_probability", "base_id", DRAWS, 7, "bp")},
+{bootstrap_sql("km", "region, scenario_id, event_name", "rmst", "base_id", DRAWS, 7, "br")}
 SELECT region, scenario_id, event_name, bp.n_units AS bases, round(bp.mean, 6) AS mean_probability, round(bp.low, 6) AS low_probability, round(bp.high, 6) AS high_probability,
        round(br.mean, 4) AS mean_rmst, round(br.low, 4) AS low_rmst, round(br.high, 4) AS high_rmst FROM bp JOIN br USING (region, scenario_id, event_name)""")
 def event_summary(spark, sf_dir):
     """Per-base curves, then the mean over bases with its interval."""
     group = ["region", "scenario_id", "event_name"]
     bases = survival.km_summary(_tte(spark, sf_dir).filter(PRIMARY), [*group, "base_id"])
-    long = bootstrap_mean(bases, group, ["event_probability", "rmst"], 50, 7)
+    long = bootstrap_mean(bases, group, ["event_probability", "rmst"], ["base_id"], DRAWS, 7)
     pick = lambda c, m, n, d: F.expr(f"round(max({c}) filter (where metric = '{m}'), {d}) as {n}")
     return long.groupBy(*group).agg(
         F.expr("max(n_units) as bases"),

@@ -151,22 +151,49 @@ def test_normalise_resolves_aliases_and_fills(spark):
 
 
 def test_bootstrap_degenerate_and_bounds(spark):
-    df = spark.createDataFrame([("one", 4.0)] + [("many", float(v)) for v in range(20)] + [("none", None)], "g string, v double")
-    got = {r["g"]: r for r in resample.bootstrap_mean(df, ["g"], ["v"], 100).collect()}
+    df = spark.createDataFrame([("one", 4.0, 0)] + [("many", float(v), v) for v in range(20)] + [("none", None, 0)], "g string, v double, k int")
+    got = {r["g"]: r for r in resample.bootstrap_mean(df, ["g"], ["v"], ["k"], 100).collect()}
     assert "none" not in got
     assert (got["one"]["mean"], got["one"]["low"], got["one"]["high"]) == (4.0, 4.0, 4.0)
     assert got["many"]["low"] < 9.5 < got["many"]["high"] and got["many"]["mean"] == 9.5
 
 
 def test_bootstrap_of_a_large_tied_group(spark):
-    df = spark.range(0, 20000, 1, 8).selectExpr("'g' as g", "id % 2 + 0.0 as v")
-    row = resample.bootstrap_mean(df, ["g"], ["v"], 200).first()
+    df = spark.range(0, 20000, 1, 8).selectExpr("'g' as g", "id", "id % 2 + 0.0 as v")
+    row = resample.bootstrap_mean(df, ["g"], ["v"], ["id"], 200).first()
     spread = 0.5 / 20000**0.5
     assert (row["n_units"], row["mean"]) == (20000, 0.5)
     assert row["high"] - row["low"] == pytest.approx(2 * 1.96 * spread, rel=0.25)
     assert row["low"] < 0.5 < row["high"]
 
 
+def test_bootstrap_does_not_depend_on_the_layout_and_shuffles_no_draws(spark):
+    df = spark.range(0, 3000, 1, 8).selectExpr("id % 3 as g", "id", "pmod(xxhash64(id), 100) + 0.0 as v")
+    rows = lambda d: sorted((r["g"], r["n_units"], round(r["low"], 9), round(r["high"], 9)) for r in resample.bootstrap_mean(d, ["g"], ["v"], ["id"], 300).collect())
+    assert rows(df) == rows(df.orderBy(F.desc("v")).repartition(3))
+    plan = resample.bootstrap_mean(df, ["g"], ["v"], ["id"], 300)._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("Generate explode"):]
+    assert "Exchange" not in before and "partial_sum" in plan
+
+
+def test_bootstrap_weights_are_poisson():
+    bounds, modulus = resample.poisson_bounds(), 2147483647
+    shares = [b / modulus for b in bounds]
+    assert shares[0] == pytest.approx(0.36787944, abs=1e-8) and shares == sorted(shares)
+    assert sum(1 - s for s in shares) == pytest.approx(1.0, abs=1e-8)  # the mean of the weights
+    interval = [k * (1 - (shares[k - 1] if k else 0)) for k in range(len(shares))]
+    assert all(0 <= x < 1 for x in interval)
+
+
+def test_clusters_are_drawn_whole(spark):
+    df = spark.createDataFrame([("g", c, float(v)) for c, v in [(0, 1), (0, 3), (1, 10), (2, 4), (2, 4), (2, 4)]], "g string, c int, v double")
+    row = resample.cluster_bootstrap_mean(df, ["g"], "c", ["v"], 400).first()
+    assert row["n_units"] == 3 and row["mean"] == pytest.approx(26 / 6)
+    rows = df.selectExpr("g", "c", "v", "c as again")
+    assert {(round(r["low"], 9), round(r["high"], 9)) for r in [row, resample.cluster_bootstrap_mean(rows, ["g"], "again", ["v"], 400).first()]} == {(round(row["low"], 9), round(row["high"], 9))}
+    assert 2.0 <= row["low"] < row["mean"] < row["high"] <= 10.0
+
+
 def test_sample_is_exact_in_size_and_repeatable(spark):
     df = spark.range(101).selectExpr("id", "id % 2 as g")
     first = resample.sample_fraction(df, ["g"], "id", 10.0, "s").collect()
