@@ -1,19 +1,25 @@
 """Scores, weights, ranks and risk bands.
 
-Weights are drawn from repeatable hashes: a table of draws has as many rows as the parameter says,
-whatever the data; each candidate is scored under each draw by an explode, not by a join.
+Weights are drawn from repeatable hashes: a table of draws has as many rows as the parameter says, whatever the data. Only
+cases that can win are scored, as small matrices inside tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.scalars import mixed
 from tallyfield.operators.ordered import attach, distribution, numbered, value_ranks
 from tallyfield.operators.topk import top_n_per_group
+from tallyfield.session import pinned
+
+#: Random weightings unless told otherwise.
+DRAWS = 10_000
 
 # Rule sets for a component without spread and for a missing value, by name.
 MINMAX_RULES = {
@@ -97,6 +103,109 @@ def with_draws(df: DataFrame, draws: int, shapes: Sequence[int], seed: int, pref
     return attach(df, one, []).selectExpr(*df.columns, "inline(_draws)")
 
 
+#: Cases per group that others are held against, for each ordering (every component, and their sum).
+GUARDS = 64
+#: A case is surely ahead of another if it is better by this in every component: scores are rounded to 9 digits.
+MARGIN = 1e-6
+#: Draws are unfolded in slices of so many, so that a task holds scores of a bounded matrix.
+DRAWS_A_SLICE = 250
+
+
+def contenders(df: DataFrame, region: str, case: str, components: Sequence[str], top: int, guards: int = GUARDS) -> DataFrame:
+    """The cases that can be among the first ``top`` under some weights; a necessary condition, so none that can is lost.
+
+    Weights are positive and sum to 1, so a case is behind another under all of them if it is nowhere better and, to be safe from rounding and ties,
+    either worse by ``MARGIN`` everywhere or of the greater name. A case with ``top`` such others is left out. It is held
+    against a bounded list of strong cases per group, which travels as one array; the list of the remaining cases is drawn again for a second turn.
+    """
+    rows = df.select(region, case, *components)
+    for turn in range(2):
+        orders = [*components, " + ".join(components)]
+        strong = None
+        for order in orders:
+            part = top_n_per_group(rows, [region], [F.expr(order).desc(), F.col(case)], guards * (1 + 3 * turn), "_place").drop("_place")
+            strong = part if strong is None else strong.unionByName(part)
+        lists = strong.distinct().groupBy(region).agg(F.collect_list(F.struct(F.col(case).alias("name"), *[F.col(c).alias(c) for c in components])).alias("_strong"))
+        nowhere = " and ".join(f"g.{c} >= {c}" for c in components)
+        ahead = " and ".join(f"g.{c} >= {c} + {MARGIN}D" for c in components)
+        sure = f"{nowhere} and (g.name < {case} or ({ahead}))"
+        rows = pinned(attach(rows, lists, [region]).filter(f"size(filter(_strong, g -> {sure})) < {top}").drop("_strong"))
+    return rows
+
+
+def weight_vectors(spark, draws: int, shapes: Sequence[int], seed: int) -> np.ndarray:
+    """(draw, part): the weights of :func:`with_draws` as a matrix; as many rows as the parameter says."""
+    parts, index = [], 0
+    for i, shape in enumerate(shapes):
+        total = _exponential(seed, "draw", index)
+        for k in range(1, shape):
+            total = total + _exponential(seed, "draw", index + k)
+        parts.append(total.alias(f"g{i}"))
+        index += shape
+    rows = spark.range(draws).selectExpr("cast(id as int) as draw").select("draw", *parts).orderBy("draw").collect()
+    gammas = np.array([[r[f"g{i}"] for i in range(len(shapes))] for r in rows], float).reshape(draws, len(shapes))
+    total = gammas[:, 0]
+    for i in range(1, len(shapes)):  # in the order of the parts
+        total = total + gammas[:, i]
+    return gammas / total[:, None]
+
+
+def _settle(scores: np.ndarray) -> np.ndarray:
+    """Rounded half up to 9 digits, as both engines round these positive numbers."""
+    return np.floor(scores * 1e9 + 0.5) / 1e9
+
+
+def leaders(rows: DataFrame, region: str, case: str, columns: Sequence[str], score, draws: int, top: int) -> DataFrame:
+    """(region, draw, case, score, place): the first ``top`` cases of every draw, ties to the smaller case.
+
+    ``score(values, from, to)`` gives the scores of a matrix of cases under a slice of the draws, as (draw, case). Each task scores its own rows once and gives out its
+    own first ``top`` per draw; those meet by (region, draw).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for key, part in batch.groupby(region, dropna=False):
+                part = part.sort_values(case)
+                names, values = part[case].to_numpy(object), part[list(columns)].to_numpy(float)
+                held = best.get(key)
+                scores, kept = np.empty((draws, 0)), np.empty((draws, 0), object)
+                news, named = [], []
+                for a in range(0, draws, DRAWS_A_SLICE):
+                    made = score(values, a, min(draws, a + DRAWS_A_SLICE))
+                    order = np.argsort(-made, axis=1, kind="stable")[:, :top]  # equal scores stay in order of names
+                    news.append(np.take_along_axis(made, order, axis=1))
+                    named.append(names[order])
+                scores, kept = np.vstack(news), np.vstack(named)
+                if held is not None:
+                    scores, kept = np.hstack([held[0], scores]), np.hstack([held[1], kept])
+                    order = np.array([sorted(range(len(s)), key=lambda j, s=s, k=k: (-s[j], k[j]))[:top] for s, k in zip(scores, kept)])
+                    scores, kept = np.take_along_axis(scores, order, axis=1), np.take_along_axis(kept, order, axis=1)
+                best[key] = scores, kept
+        for key, (scores, kept) in best.items():
+            n = scores.shape[1]
+            named = pd.Series([None if pd.isna(key) else key] * (draws * n), dtype=object)
+            yield pd.DataFrame({region: named, "draw": np.repeat(np.arange(draws, dtype=np.int32), n), case: pd.Series(kept.ravel(), dtype=object), "score": scores.ravel()})
+
+    kinds = dict(rows.dtypes)
+    found = rows.select(region, case, *columns).mapInPandas(run, f"{region} {kinds[region]}, draw int, {case} {kinds[case]}, score double")
+    place = F.row_number().over(Window.partitionBy(region, "draw").orderBy(F.desc("score"), case))
+    return found.withColumn("place", place).filter(f"place <= {top}")
+
+
+def _drawn(df: DataFrame, region: str, case: str, components: Sequence[str], draws: int, seed: int, top: int) -> DataFrame:
+    """The first ``top`` cases of every draw of Dirichlet(1) weights over ``components``, from the cases that can get there."""
+    weights = weight_vectors(df.sparkSession, draws, [1] * len(components), seed)
+
+    def score(values: np.ndarray, a: int, b: int) -> np.ndarray:
+        total = weights[a:b, 0, None] * values[:, 0]
+        for i in range(1, values.shape[1]):  # summed in the order of the components
+            total = total + weights[a:b, i, None] * values[:, i]
+        return _settle(total)
+
+    return leaders(contenders(df, region, case, components, top), region, case, components, score, draws, top)
+
+
 def _scored(df: DataFrame, region: str, case: str, components: Sequence[str], draws: int, seed: int) -> DataFrame:
     total = " + ".join(f"w{i} * {c}" for i, c in enumerate(components))
     drawn = with_draws(df.select(region, case, *components), draws, [1] * len(components), seed)
@@ -113,28 +222,16 @@ def best_case(scored: DataFrame, keys: Sequence[str], case: str, score: str = "s
     return ties.groupBy(*keys).agg(F.min(case).alias("winner"), F.max(score).alias("score"))
 
 
-def leading_cases(scored: DataFrame, keys: Sequence[str], case: str, top: int, strata: int = 64) -> DataFrame:
-    """The first ``top`` rows per key by score (``place`` 1..top), ties to the smaller case.
-
-    Cases fall into strata by hash. The ``top``-th best of the strata maxima is reached by at least
-    ``top`` cases, so no row below it can place; what is left to sort is close to ``top`` rows per key.
-    """
-    maxima = scored.groupBy(*keys, F.expr(f"pmod(xxhash64({case}), {max(strata, 4 * top)}) as _s")).agg(F.max("score").alias("_m"))
-    bar = maxima.groupBy(*keys).agg(F.expr(f"try_element_at(sort_array(collect_list(_m), false), {top}) as _bar"))
-    able = attach(scored, bar, keys).filter("_bar is null or score >= _bar").drop("_bar")
-    return top_n_per_group(able, keys, [F.col("score").desc(), F.col(case)], top, "place")
-
-
 def rank_acceptability(
-    df: DataFrame, region: str, case: str, components: Sequence[str], draws: int = 200, top: int = 5, seed: int = 11
+    df: DataFrame, region: str, case: str, components: Sequence[str], draws: int = DRAWS, top: int = 5, seed: int = 11
 ) -> DataFrame:
     """Share of random weightings in which a case is first, and among the first ``top``; and the
     equal-weight score with its rank. Ties go to the smaller case.
 
-    No draw is ranked in full, see :func:`leading_cases`.
+    Only cases that can be among the first ``top`` meet the draws, see :func:`contenders`, and no draw is ranked in full.
     """
-    scored = _scored(df, region, case, components, draws, seed)
-    best = leading_cases(scored, [region, "draw"], case, top)
+    df = pinned(df.select(region, case, *components))
+    best = _drawn(df, region, case, components, draws, seed, top)
     wins = best.groupBy(region, case).agg(
         F.expr(f"100D * count_if(place = 1) / {draws} as rank1_percent"), F.expr(f"100D * count(*) / {draws} as top{top}_percent")
     )
@@ -148,7 +245,7 @@ def rank_acceptability(
 def rank_distribution(
     df: DataFrame, region: str, case: str, components: Sequence[str], draws: int = 50, seed: int = 11
 ) -> DataFrame:
-    """Full rank statistics of each case over the draws: mean, median, p05, p95, min, max.
+    """Full rank statistics of each case over the draws: mean, median, p05, p95, min, max, and the number of draws.
 
     Ranking every draw in full needs a sort of draws x cases rows; it is spread over ranges.
     """
@@ -156,13 +253,16 @@ def rank_distribution(
     placed = numbered(scored, [region, "draw"], [F.col("score").desc(), F.col(case)], "place")
     stats = distribution(placed, [region, case], ["place"], {"median": 0.5, "p05": 0.05, "p95": 0.95})
     return stats.selectExpr(region, case, "mean as mean_rank", "median as median_rank", "p05 as p05_rank", "p95 as p95_rank",
-                            "cast(min as long) as min_rank", "cast(max as long) as max_rank")
+                            "cast(min as long) as min_rank", "cast(max as long) as max_rank", f"{draws} as draws")
 
 
-def draw_winners(df: DataFrame, region: str, case: str, components: Sequence[str], draws: int, seed: int = 11) -> DataFrame:
-    """The best case of every draw: a maximum, combined before the shuffle. Ties go to the smaller case."""
-    scored = _scored(df, region, case, components, draws, seed)
-    return best_case(scored, [region, "draw"], case)
+def draw_winners(df: DataFrame, region: str, case: str, components: Sequence[str], draws: int = DRAWS, seed: int = 11) -> DataFrame:
+    """(region, draw, winner, score, w0, w1, ..): the best case of every draw beside the weights that chose it. Ties go to the smaller case."""
+    best = _drawn(df, region, case, components, draws, seed, 1).selectExpr(region, "draw", f"{case} as winner", "score")
+    weights = weight_vectors(df.sparkSession, draws, [1] * len(components), seed)
+    names = [f"w{i}" for i in range(len(components))]
+    rows = df.sparkSession.createDataFrame(pd.DataFrame({"draw": np.arange(draws, dtype=np.int32), **dict(zip(names, weights.T))}), f"draw int, {', '.join(f'{n} double' for n in names)}")
+    return best.join(F.broadcast(rows), "draw").select(region, "draw", "winner", "score", *names)  # as many rows as the parameter says
 
 
 def weight_sweep(df: DataFrame, region: str, case: str, first: str, second: str, steps: int = 101) -> DataFrame:
@@ -194,23 +294,30 @@ def profile_winners(scored: DataFrame, region: str, case: str) -> DataFrame:
     return best_case(rows, [region, "profile", "share"], case).withColumnRenamed("score", "utility")
 
 
-def random_utility(scored: DataFrame, region: str, case: str, draws: int, seed: int = 23) -> DataFrame:
+def random_utility(scored: DataFrame, region: str, case: str, draws: int = DRAWS, seed: int = 23) -> DataFrame:
     """Winner shares under uniform lambda, Dirichlet(1,1,1,1) performance and Dirichlet(4,2,2,2) resource weights."""
     p = [f"p_{n}" for n in PERFORMANCE_WEIGHTS]
     r = [f"r_{n}" for n in BURDEN_WEIGHTS]
-    drawn = with_draws(scored.select(region, case, *p, *r), draws, (1, 1, 1, 1, 4, 2, 2, 2), seed, "v")
-    share = (mixed(F.lit(seed + 1), F.col("draw")) + 0.5) / F.lit(2147483647.0)
-    inner = drawn.withColumn("lam", share)
+    spark = scored.sparkSession
     # One Dirichlet of all parts, split and renormalised, is a pair of independent Dirichlets.
-    pw = " + ".join(f"v{i} * {c}" for i, c in enumerate(p))
-    rw = " + ".join(f"v{i + len(p)} * {c}" for i, c in enumerate(r))
-    ps = " + ".join(f"v{i}" for i in range(len(p)))
-    rs = " + ".join(f"v{i + len(p)}" for i in range(len(r)))
-    rows = inner.selectExpr(region, case, "draw", f"round(lam * ({pw}) / ({ps}) + (1 - lam) * ({rw}) / ({rs}), 9) as score")
-    best = best_case(rows, [region, "draw"], case)
-    return best.groupBy(region, F.col("winner").alias(case)).agg(
-        F.expr("count(*) as wins"), F.expr(f"100D * count(*) / {draws} as win_percent")
-    )
+    weights = weight_vectors(spark, draws, (1, 1, 1, 1, 4, 2, 2, 2), seed)
+    share = (mixed(F.lit(seed + 1), F.col("id")) + 0.5) / F.lit(2147483647.0)
+    lam = np.array([x["lam"] for x in spark.range(draws).select("id", share.alias("lam")).orderBy("id").collect()])
+
+    def part(values: np.ndarray, a: int, b: int, at: range) -> np.ndarray:
+        total, weight = weights[a:b, at[0], None] * values[:, at[0]], weights[a:b, at[0]]
+        for i in at[1:]:
+            total, weight = total + weights[a:b, i, None] * values[:, i], weight + weights[a:b, i]
+        return total, weight[:, None]
+
+    def score(values: np.ndarray, a: int, b: int) -> np.ndarray:
+        (pw, ps), (rw, rs) = part(values, a, b, range(len(p))), part(values, a, b, range(len(p), len(p) + len(r)))
+        made = lam[a:b, None] * pw / ps + (1 - lam[a:b, None]) * rw / rs
+        return np.where(np.isnan(made), -np.inf, _settle(made))
+
+    known = scored.select(region, case, *p, *r).dropna(subset=[*p, *r])  # a case without a component has no score
+    best = leaders(contenders(known, region, case, [*p, *r], 1), region, case, [*p, *r], score, draws, 1)
+    return best.groupBy(region, case).agg(F.expr("count(*) as wins"), F.expr(f"100D * count(*) / {draws} as win_percent"))
 
 
 # The proposed objective families as (family, measure, direction, weight).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyfield.operators import aggregates as agg
 from tallyfield.operators import contacts, decision, grid, models, resample, robust, skyline, topk, windows
 from tallyfield.operators.correlation import all_pairs
+from tallyfield.operators.decision import DRAWS as DRAWS_OF_WEIGHTS
 from tallyfield.operators.resample import DRAWS
 from tallyfield.plans import views as V
 from tallyfield.plans.q_aggregates import COV, EVENTS, MBIT, OBS, PRIMARY, S100, STRESS, T100, corr_sql
@@ -159,33 +160,39 @@ def draws_sql(draws: int, shapes, seed: int, prefix: str = "w", name: str = "wd"
     return f"""{name} AS (SELECT draw, {", ".join(f"g{i} / ({total}) AS {prefix}{i}" for i in range(len(shapes)))} FROM (SELECT draw, {", ".join(cols)} FROM range({draws}) t(draw)))"""
 
 
-_SCORE_SQL = f"""{_UNL_SQL}, k AS (SELECT region, case_id, {_PART_SQL} FROM u), {draws_sql(40, [1] * 4, 11)},
-s AS (SELECT region, case_id, draw, round({" + ".join(f"w{i} * {c}" for i, c in enumerate(_PARTS))}, 9) AS score FROM k, wd),
-r AS (SELECT *, row_number() OVER (PARTITION BY region, draw ORDER BY score DESC, case_id) AS place FROM s)"""
+def _score_sql(draws: int) -> str:
+    return f"""{_UNL_SQL}, k AS (SELECT region, case_id, {_PART_SQL}, row_number() OVER (ORDER BY case_id DESC, region) AS late FROM u), {draws_sql(draws, [1] * 4, 11)},
+s AS (SELECT region, case_id, late, draw, {", ".join(f"w{i}" for i in range(4))}, round({" + ".join(f"w{i} * {c}" for i, c in enumerate(_PARTS))}, 9) AS score FROM k, wd)"""
+
+
+def _top_sql(top: int, score: str = "score") -> str:
+    """SQL: r (region, case_id, draw, place), the first ``top`` of every draw: whole numbers made of score and name are combined in place."""
+    return f"""m AS (SELECT region, draw, max(CAST(round({score} * 1e9) AS BIGINT) * 10000000 + late, {top}) AS tops FROM s WHERE {score} IS NOT NULL GROUP BY region, draw),
+r AS (SELECT region, draw, place, case_id FROM (SELECT region, draw, unnest(tops) % 10000000 AS late, unnest(range(1, len(tops) + 1)) AS place FROM m) JOIN (SELECT late, case_id FROM k) USING (late))"""
 
 
 @query("M06_rank_acceptability", f"""
-WITH {_SCORE_SQL}, e AS (SELECT region, case_id, round(({" + ".join(_PARTS)}) / 4, 9) AS equal_score FROM k)
-SELECT region, case_id, round(equal_score, 6) AS equal_score, equal_rank, rank1_percent, top5_percent FROM (
+WITH {_score_sql(DRAWS_OF_WEIGHTS)}, {_top_sql(5)}, e AS (SELECT region, case_id, round(({" + ".join(_PARTS)}) / 4, 9) AS equal_score FROM k)
+SELECT region, case_id, round(equal_score, 6) AS equal_score, equal_rank, round(coalesce(rank1_percent, 0), 6) AS rank1_percent, round(coalesce(top5_percent, 0), 6) AS top5_percent FROM (
   SELECT *, rank() OVER (PARTITION BY region ORDER BY equal_score DESC) AS equal_rank FROM e)
-JOIN (SELECT region, case_id, 100.0::DOUBLE * count(*) FILTER (place = 1) / 40 AS rank1_percent, 100.0::DOUBLE * count(*) FILTER (place <= 5) / 40 AS top5_percent FROM r GROUP BY ALL) USING (region, case_id)""")
+LEFT JOIN (SELECT region, case_id, 100.0::DOUBLE * count(*) FILTER (place = 1) / {DRAWS_OF_WEIGHTS} AS rank1_percent, 100.0::DOUBLE * count(*) FILTER (place <= 5) / {DRAWS_OF_WEIGHTS} AS top5_percent FROM r GROUP BY ALL) USING (region, case_id)""")
 def rank_acceptability(spark, sf_dir):
-    out = decision.rank_acceptability(_components(spark, sf_dir), "region", "case_id", list(_PARTS), 40, 5, 11)
+    out = decision.rank_acceptability(_components(spark, sf_dir), "region", "case_id", list(_PARTS), DRAWS_OF_WEIGHTS, 5, 11)
     return rounded(out.select("region", "case_id", "equal_score", "equal_rank", "rank1_percent", "top5_percent"))
 
 
 @query("M06_rank_distribution", f"""
-WITH {_SCORE_SQL.replace("range(40)", "range(10)")}
+WITH {_score_sql(10)}, r AS (SELECT *, row_number() OVER (PARTITION BY region, draw ORDER BY score DESC, case_id) AS place FROM s)
 SELECT region, case_id, round(avg(place), 6) AS mean_rank, round(quantile_cont(place::DOUBLE, 0.5), 6) AS median_rank, round(quantile_cont(place::DOUBLE, 0.05), 6) AS p05_rank,
-       round(quantile_cont(place::DOUBLE, 0.95), 6) AS p95_rank, min(place) AS min_rank, max(place) AS max_rank FROM r GROUP BY ALL""")
+       round(quantile_cont(place::DOUBLE, 0.95), 6) AS p95_rank, min(place) AS min_rank, max(place) AS max_rank, 10 AS draws FROM r GROUP BY ALL""")
 def rank_distribution(spark, sf_dir):
     return rounded(decision.rank_distribution(_components(spark, sf_dir), "region", "case_id", list(_PARTS), 10, 11))
 
 
 @query("M06_draw_winners", f"""
-WITH {_SCORE_SQL} SELECT region, draw::INT AS draw, case_id AS winner, round(score, 6) AS score FROM r WHERE place = 1""")
+WITH {_score_sql(DRAWS_OF_WEIGHTS)}, {_top_sql(1)} SELECT region, draw::INT AS draw, r.case_id AS winner, round(score, 6) AS score, {", ".join(f"round(w{i}, 6) AS w{i}" for i in range(4))} FROM r JOIN s USING (region, draw, case_id)""")
 def draw_winners(spark, sf_dir):
-    return rounded(decision.draw_winners(_components(spark, sf_dir), "region", "case_id", list(_PARTS), 40, 11))
+    return rounded(decision.draw_winners(_components(spark, sf_dir), "region", "case_id", list(_PARTS), DRAWS_OF_WEIGHTS, 11))
 
 
 _SWEEP_SQL = f"""{_UNL_SQL}, k AS (SELECT region, case_id, {_PART_SQL} FROM u),
@@ -234,13 +241,13 @@ _RW = " + ".join(f"v{i + 4} * r_{n}" for i, n in enumerate(decision.BURDEN_WEIGH
 
 
 @query("M08_random_utility", f"""
-WITH {_PILLAR_SQL}, {draws_sql(30, (1, 1, 1, 1, 4, 2, 2, 2), 23, "v")},
-s AS (SELECT region, case_id, draw, round(lam * ({_PW}) / (v0 + v1 + v2 + v3) + (1 - lam) * ({_RW}) / (v4 + v5 + v6 + v7), 9) AS ut FROM k, (SELECT *, {_lam_sql(24)} AS lam FROM wd)),
-b AS (SELECT region, case_id FROM s QUALIFY row_number() OVER (PARTITION BY region, draw ORDER BY ut DESC, case_id) = 1)
-SELECT region, case_id, count(*) AS wins, round(100.0 * count(*) / 30, 6) AS win_percent FROM b GROUP BY ALL""")
+WITH {_PILLAR_SQL.replace("k AS (SELECT *,", "k AS (SELECT *, row_number() OVER (ORDER BY case_id DESC, region) AS late,")}, {draws_sql(DRAWS_OF_WEIGHTS, (1, 1, 1, 1, 4, 2, 2, 2), 23, "v")},
+s AS (SELECT region, case_id, late, draw, round(lam * ({_PW}) / (v0 + v1 + v2 + v3) + (1 - lam) * ({_RW}) / (v4 + v5 + v6 + v7), 9) AS ut FROM k, (SELECT *, {_lam_sql(24)} AS lam FROM wd)),
+{_top_sql(1, "ut")}
+SELECT region, case_id, count(*) AS wins, round(100.0 * count(*) / {DRAWS_OF_WEIGHTS}, 6) AS win_percent FROM r GROUP BY ALL""")
 def random_utility(spark, sf_dir):
     scored = decision.pillars(V.case_table(spark, sf_dir).filter(UNLIMITED), ["region"], _PILLAR_SOURCES)
-    return rounded(decision.random_utility(scored, "region", "case_id", 30, 23))
+    return rounded(decision.random_utility(scored, "region", "case_id", DRAWS_OF_WEIGHTS, 23))
 
 
 _REDUNDANT = [OBS, S100, COV, MBIT, EVENTS]
@@ -463,15 +470,15 @@ def risk_screen(spark, sf_dir):
 
 
 @query("T05_shortlist", f"""
-WITH {_SCORE_SQL}, {_front_sql("u", [S100, OBS], [MBIT])}, acc AS (SELECT region, case_id, 100.0::DOUBLE * count(*) FILTER (place = 1) / 40 AS rank1_percent, 100.0::DOUBLE * count(*) FILTER (place <= 5) / 40 AS top5_percent FROM r GROUP BY ALL),
-f AS (SELECT region, case_id, rank1_percent, top5_percent FROM front JOIN acc USING (region, case_id) WHERE is_front),
+WITH {_score_sql(1000)}, {_top_sql(5)}, {_front_sql("u", [S100, OBS], [MBIT])}, acc AS (SELECT region, case_id, 100.0::DOUBLE * count(*) FILTER (place = 1) / 1000 AS rank1_percent, 100.0::DOUBLE * count(*) FILTER (place <= 5) / 1000 AS top5_percent FROM r GROUP BY ALL),
+f AS (SELECT region, case_id, coalesce(rank1_percent, 0) AS rank1_percent, coalesce(top5_percent, 0) AS top5_percent FROM front LEFT JOIN acc USING (region, case_id) WHERE is_front),
 c AS (SELECT case_id, count(DISTINCT region) AS regions_present, min(rank1_percent) AS worst_rank1, avg(top5_percent) AS mean_top5 FROM f GROUP BY case_id),
 p AS (SELECT * FROM c WHERE regions_present = 2 OR NOT EXISTS (SELECT 1 FROM c WHERE regions_present = 2) ORDER BY regions_present DESC, worst_rank1 DESC, mean_top5 DESC, case_id LIMIT 5)
 SELECT region, case_id, rank1_percent, top5_percent, regions_present, worst_rank1, mean_top5 FROM f JOIN p USING (case_id)""")
 def shortlist(spark, sf_dir):
     cases = V.case_table(spark, sf_dir).filter(UNLIMITED)
     flagged = skyline.skyline(_settled(cases), ["region"], [S100, OBS], [MBIT]).select("region", "case_id", "is_front")
-    ranks = decision.rank_acceptability(_scaled(cases), "region", "case_id", list(_PARTS), 40, 5, 11)
+    ranks = decision.rank_acceptability(_scaled(cases), "region", "case_id", list(_PARTS), 1000, 5, 11)
     joined = flagged.join(ranks.select("region", "case_id", "rank1_percent", "top5_percent"), ["region", "case_id"])
     return topk.shortlist(joined).drop("is_front")
 

@@ -161,28 +161,41 @@ def _event_log(spark, sf_dir):
     return opened.unionByName(arrived)
 
 
-@query("X02_deadline_outcomes", """
+_OUTCOMES_SQL = """
 WITH f AS (SELECT task_id, min(end_sec) AS t FROM v_transfers GROUP BY task_id)
 SELECT task_id, CASE WHEN coalesce(t <= deadline_sec, false) THEN 'event' ELSE 'censored' END AS outcome, CASE WHEN coalesce(t <= deadline_sec, false) THEN t ELSE deadline_sec END AS at_sec
-FROM v_tasks LEFT JOIN f USING (task_id) UNION ALL SELECT task_id, 'late', end_sec FROM v_transfers WHERE end_sec > deadline_sec""")
+FROM v_tasks LEFT JOIN f USING (task_id) UNION ALL SELECT task_id, 'late', end_sec FROM v_transfers WHERE end_sec > deadline_sec"""
+
+
+@query("X02_deadline_outcomes", _OUTCOMES_SQL)
 def deadline_outcomes(spark, sf_dir):
     return deadlines.deadline_outcomes(_event_log(spark, sf_dir))
 
 
-@query("X02_deadline_monitor")
+_RETENTION = 10 * 365 * 86400.0
+
+
+@query("X02_deadline_monitor", _OUTCOMES_SQL)
 def deadline_monitor(spark, sf_dir):
-    """The stream itself, rows only: open tasks without an arrival stay open until the watermark passes them."""
+    """The stream itself, in three waves and a closing row. Some late arrivals come years behind the watermark; none is lost."""
     root = scratch_path(spark, "monitor")
+    due = V.tasks(spark, sf_dir).selectExpr("task_id", "deadline_sec as _due")
     log = _event_log(spark, sf_dir)
-    log.repartitionByRange("event_ts").write.parquet(f"{root}/log")
+    low, high, end = (x or 0.0 for x in log.agg(F.min("event_sec"), F.max("event_sec"), F.max("deadline_sec")).first())
+    cut = lambda k: f"int(event_sec >= {low + (high - low) * k / 3!r}D)"
+    wave = f"if(kind = 'arrival' and event_sec > _due and task_id % 3 = 0, 2, {cut(1)} + {cut(2)})"
+    log.join(due, "task_id").selectExpr("task_id", "kind", "event_ts", "event_sec", "deadline_sec", f"{wave} as wave").write.partitionBy("wave").parquet(f"{root}/all")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
-        running = deadlines.deadline_monitor(stream).writeStream.outputMode("append").format("parquet").option(
-            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
-        running.awaitTermination()
+        for i in range(4):
+            part = spark.read.parquet(f"{root}/all").where(f"wave = {i}").drop("wave") if i < 3 else deadlines.end_of_log(spark, end + _RETENTION + 1)
+            part.write.parquet(f"{root}/log/{i}")
+            stream = spark.readStream.schema(deadlines.INPUT).option("recursiveFileLookup", True).parquet(f"{root}/log")
+            running = deadlines.deadline_monitor(stream, retention_sec=_RETENTION).writeStream.outputMode("append").format("parquet").option(
+                "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+            running.awaitTermination()
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(deadlines.OUTPUT).parquet(f"{root}/out")

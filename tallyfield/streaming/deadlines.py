@@ -1,26 +1,47 @@
-"""Deadline monitor: one event-time timer per open task; late arrivals are reported, not dropped."""
+"""Deadline monitor: an outcome per task, every arrival accounted for, state that ends.
+
+The input carries its own time, and rows may come in any order. A row behind the watermark is usually dropped before it
+reaches a stateful operator. Here the watermark comes from a second branch of the same log, one row per task and batch
+holding the newest time it has seen; the rows themselves carry a time in the far future, so none is ever behind. The
+query's watermark is the smaller of both, which is the log's.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+INPUT = "task_id long, kind string, event_ts timestamp, event_sec double, deadline_sec double"
 OUTPUT = "task_id long, outcome string, at_sec double"
-STATE = "deadline double, first double, closed boolean"
+STATE = "deadline double, closed boolean, seen double"
+#: Outcomes of tasks, one each, and the side output: arrivals after the deadline, arrivals in time that came after the task was closed
+#: without one, and arrivals whose task is not known (never opened, or closed for longer than the retention).
+OUTCOMES, SIDE = ("event", "censored"), ("late", "revised", "orphan")
+#: The key of rows that only carry the time; rows without a task go there too and are ignored.
+CLOCK = -(1 << 63)
+_FAR = "timestamp'2262-01-01 00:00:00'"
 
 
 class _Deadline(StatefulProcessor):
-    """State per task: its deadline, its first arrival, and whether the outcome is out.
+    """State per task: its deadline, whether it is closed, the newest time seen, and arrivals that still wait for a decision.
 
-    Outcomes: ``event`` (arrived in time), ``censored`` (deadline passed first), ``late`` (arrived after it).
+    A task closes when the watermark passes its deadline: with the earliest arrival in time, or censored. Until its task is known an
+    arrival waits. Everything about a task is dropped when the watermark is ``retention`` seconds past its deadline, or past
+    the newest arrival if it was never opened; those arrivals are then given out as orphans.
     """
 
+    def __init__(self, retention: float) -> None:
+        self.retention = retention
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.task = handle.getValueState("task", STATE)
+        self.waiting = handle.getListState("waiting", "at double")
 
     def _rows(self, key, rows: list[tuple[str, float]]) -> pd.DataFrame:
         return pd.DataFrame({
@@ -29,54 +50,110 @@ class _Deadline(StatefulProcessor):
             "at_sec": pd.Series([r[1] for r in rows], dtype="float64"),
         })
 
+    def _alarm(self, at: float, timerValues) -> None:
+        # A timer at or before the watermark would not fire again, so it is set just after it.
+        self.handle.registerTimer(max(math.ceil(at * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        deadline, first, closed = self.task.get() if self.task.exists() else (None, None, False)
-        out: list[tuple[str, float]] = []
-        early: list[float] = []
+        if key[0] == CLOCK:
+            return
+        deadline, closed, seen = self.task.get() if self.task.exists() else (None, False, None)
+        known, before = deadline, closed
+        arrived: list[float] = []
         for part in rows:
-            opened = part.loc[part["kind"] == "task", "deadline_sec"]
-            if len(opened) and deadline is None:
-                deadline = float(opened.iloc[0])
-                self.handle.registerTimer(int(deadline * 1000))
-            arrived = part.loc[part["kind"] == "arrival", "event_sec"].to_list()
-            early.extend(float(t) for t in arrived)
-        if early:
-            least = min(early)
-            first = least if first is None else min(first, least)
-        if deadline is not None:
-            out.extend(("late", t) for t in sorted(early) if t > deadline)
-            if not closed and first is not None and first <= deadline:
-                out.append(("event", first))
-                closed = True
-        self.task.update((deadline, first, closed))
-        yield self._rows(key, out)
+            opened = part.loc[part["kind"] == "task", "deadline_sec"].dropna()
+            if len(opened) and not closed:
+                least = float(opened.min())
+                deadline = least if deadline is None else min(deadline, least)
+            arrived += [float(t) for t in part.loc[part["kind"] == "arrival", "event_sec"].dropna()]
+        out: list[tuple[str, float]] = []
+        if deadline is None:
+            if arrived:
+                self.waiting.appendList([(t,) for t in arrived])
+                newest = max([*arrived, *([seen] if seen is not None else [])])
+                if newest != seen:
+                    self._alarm(newest + self.retention, timerValues)
+                self.task.update((None, False, newest))
+            return
+        if known is None:
+            arrived += [row[0] for row in self.waiting.get()]
+            self.waiting.clear()
+        if deadline != known:
+            self._alarm(deadline, timerValues)
+        if before:
+            out += [("late" if t > deadline else "revised", t) for t in sorted(arrived)]
+        else:
+            out += [("late", t) for t in sorted(arrived) if t > deadline]
+            in_time = [t for t in arrived if t <= deadline]
+            seen = min([*in_time, *([seen] if known is not None and seen is not None else [])], default=None)
+        self.task.update((deadline, closed, seen))
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline, first, closed = self.task.get()
-        rows = [] if closed else [("censored", deadline)]
-        # The outcome is final; keep only what is needed to recognise late arrivals.
-        self.task.update((deadline, first, True))
-        yield self._rows(key, rows)
+        if not self.task.exists():
+            return
+        deadline, closed, seen = self.task.get()
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        out: list[tuple[str, float]] = []
+        if deadline is None:
+            if seen is not None and now >= seen + self.retention:
+                out = [("orphan", row[0]) for row in self.waiting.get()]
+                self.waiting.clear()
+                self.task.clear()
+        else:
+            if not closed and now >= deadline:
+                out = [("event", seen)] if seen is not None else [("censored", deadline)]
+                closed = True
+                self.task.update((deadline, closed, seen))
+            if now >= deadline + self.retention:
+                self.task.clear()
+            elif closed:
+                self._alarm(deadline + self.retention, timerValues)
+        if out:
+            yield self._rows(key, out)
 
     def close(self) -> None:
         pass
 
 
-def deadline_monitor(log: DataFrame, lateness: str = "0 seconds") -> DataFrame:
-    """Outcomes of a stream of ``task_id, kind ('task' or 'arrival'), event_ts, event_sec, deadline_sec``.
+def _newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    newest = None
+    for batch in batches:
+        at = batch["event_ts"].max()
+        if not pd.isna(at):
+            newest = at if newest is None else max(newest, at)
+    if newest is not None:
+        yield pd.DataFrame({"clock_ts": [newest]})
+
 
-    ``lateness`` is how far behind the newest row a row may come and still count; choose it above
-    the delay of the source. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+def deadline_monitor(log: DataFrame, lateness: str = "0 seconds", retention_sec: float = 30 * 86400.0) -> DataFrame:
+    """Outcomes of a stream of ``task_id, kind ('task', 'arrival' or 'end'), event_ts, event_sec, deadline_sec``.
+
+    Every opened task has one outcome when the watermark passes its deadline: ``event`` with its earliest arrival in time, or
+    ``censored``. Every arrival that is no such event's cause and lies after the deadline is ``late``. ``lateness`` is how far behind the newest row an arrival in
+    time may come and still be its task's outcome; a slower one is given out as ``revised``. Nothing is dropped: rows
+    behind the watermark are judged like others as long as their task is kept, ``retention_sec`` past its deadline, and are ``orphan`` after that.
+    A row of kind ``end`` moves the watermark only (see :func:`end_of_log`). Needs the RocksDB state store.
     """
+    # A closing row goes through both branches: a branch without any row would hold the watermark back after a restart.
+    rows = log.select(F.coalesce("task_id", F.lit(CLOCK)).alias("task_id"), "kind", "event_sec", "deadline_sec", F.expr(_FAR).alias("clock_ts")).withWatermark("clock_ts", "0 seconds")
+    clock = log.select("event_ts").mapInPandas(_newest, "clock_ts timestamp").withWatermark("clock_ts", lateness)
+    ticks = clock.select(F.lit(CLOCK).alias("task_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("event_sec", "double"), ("deadline_sec", "double"))], "clock_ts")
     return (
-        log.withWatermark("event_ts", lateness)
-        .groupBy("task_id")
+        rows.unionByName(ticks).groupBy("task_id")
         .transformWithStateInPandas(
-            statefulProcessor=_Deadline(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+            statefulProcessor=_Deadline(retention_sec), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
         )
     )
 
 
+def end_of_log(spark: SparkSession, at_sec: float) -> DataFrame:
+    """One row that moves the watermark past every deadline and retention before ``at_sec``: appended to a finished log, it closes what is still open."""
+    return spark.range(1).selectExpr(
+        "cast(null as long) as task_id", "'end' as kind", f"timestamp_micros(cast({at_sec!r}D * 1000000 as long)) as event_ts", f"{at_sec!r}D as event_sec", "cast(null as double) as deadline_sec")
+
+
 def deadline_outcomes(log: DataFrame) -> DataFrame:
     """The same outcomes from a finished table: the batch twin used to check the stream."""
     tasks = log.filter("kind = 'task'").groupBy("task_id").agg({"deadline_sec": "min"}).toDF("task_id", "deadline_sec")

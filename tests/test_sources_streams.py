@@ -57,32 +57,54 @@ def test_ingest_keeps_last_and_resumes(spark):
     assert sorted(map(tuple, ingest.current_rows(spark, f"{root}/t", ["k"]).collect())) == [(1, "new"), (2, "only")]
 
 
-def test_deadline_monitor_matches_its_batch_twin(spark):
-    root = _dir()
-    schema = "task_id long, kind string, event_ts timestamp, event_sec double, deadline_sec double"
+def _log(spark, rows):
+    made = spark.createDataFrame([(t, k, float(s), None if d is None else float(d)) for t, k, s, d in rows], "task_id long, kind string, event_sec double, deadline_sec double")
+    return made.selectExpr("task_id", "kind", "timestamp_micros(cast(event_sec * 1000000 as long)) as event_ts", "event_sec", "deadline_sec").coalesce(1)
 
-    def log(rows):
-        made = spark.createDataFrame([(t, k, float(s), None if d is None else float(d)) for t, k, s, d in rows], "task_id long, kind string, event_sec double, deadline_sec double")
-        return made.selectExpr("task_id", "kind", "timestamp_micros(cast(event_sec * 1000000 as long)) as event_ts", "event_sec", "deadline_sec").coalesce(1)
 
-    waves = [
-        [(1, "task", 1000, 1100), (2, "task", 1000, 1100), (3, "task", 1000, 1100), (1, "arrival", 1050, None)],
-        [(2, "arrival", 1150, None), (9, "task", 1400, 10_000)],
-        [(9, "arrival", 5000, None), (3, "arrival", 5100, None)],
-    ]
+def _monitored(spark, waves, **options):
+    """The monitor's output rows, one micro-batch (and its timers) per wave."""
+    root = _dir()
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         for i, wave in enumerate(waves):
-            log(wave).write.parquet(f"{root}/log/{i}")
-            stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/log")
-            query = deadlines.deadline_monitor(stream).writeStream.outputMode("append").format("parquet").option(
+            (wave if hasattr(wave, "write") else _log(spark, wave)).write.parquet(f"{root}/log/{i}")
+            stream = spark.readStream.schema(deadlines.INPUT).option("recursiveFileLookup", True).parquet(f"{root}/log")
+            query = deadlines.deadline_monitor(stream, **options).writeStream.outputMode("append").format("parquet").option(
                 "checkpointLocation", f"{root}/c").trigger(availableNow=True).start(f"{root}/out")
             query.awaitTermination()
+            state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
     finally:
         spark.conf.set(key, before)
-    got = sorted(map(tuple, spark.read.schema(deadlines.OUTPUT).parquet(f"{root}/out").collect()))
-    everything = log([row for wave in waves for row in wave])
+    return sorted(map(tuple, spark.read.schema(deadlines.OUTPUT).parquet(f"{root}/out").collect())), state
+
+
+def test_deadline_monitor_matches_its_batch_twin(spark):
+    waves = [
+        [(1, "task", 1000, 1100), (2, "task", 1000, 1100), (3, "task", 1000, 1100), (1, "arrival", 1050, None), (1, "arrival", 1020, None), (7, "arrival", 990, None)],
+        [(2, "arrival", 1150, None), (9, "task", 1400, 10_000), (7, "task", 1300, 1500), (4, "task", 1001, 1300), (4, "arrival", 1200, None)],
+        [(9, "arrival", 5000, None), (3, "arrival", 5100, None), (1, "arrival", 1160, None), (2, "arrival", 1101, None)],
+    ]
+    got, left = _monitored(spark, [*waves, deadlines.end_of_log(spark, 200_000.0)], retention_sec=100_000.0)
+    everything = _log(spark, [row for wave in waves for row in wave])
     assert got == sorted(map(tuple, deadlines.deadline_outcomes(everything).collect()))
-    assert (3, "censored", 1100.0) in got and (2, "late", 1150.0) in got
+    assert {(3, "censored", 1100.0), (2, "late", 1150.0), (2, "late", 1101.0), (1, "event", 1020.0), (1, "late", 1160.0), (7, "event", 990.0)} <= set(got)
+    assert left == 0  # state ends
+
+
+def test_deadline_monitor_gives_out_what_comes_too_late(spark):
+    waves = [
+        [(1, "task", 1000, 1100), (2, "task", 1000, 1100), (5, "arrival", 1000, None)],
+        [(6, "task", 2000, 2100)],  # the watermark passes both deadlines
+        [(1, "arrival", 1090, None), (2, "arrival", 1500, None)],
+        [(6, "arrival", 9000, None)],  # and now the retention of all but task 6's arrival
+        [(1, "arrival", 1200, None)],
+    ]
+    got, left = _monitored(spark, [*waves, deadlines.end_of_log(spark, 50_000.0)], retention_sec=3000.0)
+    assert got == sorted([
+        (1, "censored", 1100.0), (2, "censored", 1100.0), (6, "censored", 2100.0), (1, "revised", 1090.0), (2, "late", 1500.0),
+        (6, "late", 9000.0), (5, "orphan", 1000.0), (1, "orphan", 1200.0),
+    ])
+    assert left == 0
