@@ -121,26 +121,27 @@ def decode_block(payload: bytes, checkpoints: bytes, n: int, decoder: tuple[np.n
 
 
 def tokenized(documents: DataFrame, folder: str, end_id: int, path: str) -> None:
-    """Write (doc_id, ids) below kind=ids and one count table per task below kind=counts, so texts are encoded once."""
+    """Write (doc_id, ids) in rows of kind "ids" and one count table per task in a row of kind "counts", so texts are encoded once."""
     kind = native_id_type(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         counts = np.zeros(len(tokens.spelled_ids), np.int64)
+        narrow = len(counts) <= 1 << 16
         doc_type = pa.int64()
         for batch in slices(batches, "text"):
             docs = column(batch, "doc_id")
             doc_type = docs.type
-            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in tokens.encode(texts(batch, "text"))]
-            for x in ids:
-                counts += np.bincount(x, minlength=len(counts)) if len(x) > 4096 else 0
-            short = [x for x in ids if len(x) <= 4096]
-            if short:
-                counts += np.bincount(np.concatenate(short), minlength=len(counts))
-            yield pa.record_batch([docs, pa.array([x.astype("<u2").tobytes() if len(counts) <= 1 << 16 else x.tobytes() for x in ids], pa.binary()), pa.array(["ids"] * len(ids))], ["doc_id", "ids", "kind"])
+            ids = tokens.encode(texts(batch, "text"))
+            flat = np.insert(np.concatenate(ids), np.cumsum([len(x) for x in ids]), end_id)
+            counts += np.bincount(flat, minlength=len(counts))
+            flat = flat.astype("<u2" if narrow else "<u4")
+            ends = np.cumsum([(len(x) + 1) * flat.itemsize for x in ids], dtype=np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.concatenate(([np.int32(0)], ends))), pa.py_buffer(flat)])
+            yield pa.record_batch([docs, blobs, pa.array(["ids"] * len(ids))], ["doc_id", "ids", "kind"])
         yield pa.record_batch([pa.array([None], doc_type), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array(["counts"])], ["doc_id", "ids", "kind"])
 
-    documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, kind string").write.partitionBy("kind").parquet(folder)
+    documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, kind string").write.parquet(folder)
 
 
 def global_counts(counts: DataFrame) -> np.ndarray:
