@@ -25,9 +25,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def process_cache(name: str, make: Callable[[], object]) -> object:
-    """One object per Python worker. Functions travel by value, so module globals do not outlive a task."""
+    """The last object asked for, kept per Python worker. Functions travel by value, so module globals do not outlive a task.
+
+    A worker serves stage after stage; asking for another object drops the one of the stage before.
+    """
     caches = sys.__dict__.setdefault("_text_operator_caches", {})
     if name not in caches:
+        caches.clear()
         caches[name] = make()
     return caches[name]
 
@@ -84,10 +88,10 @@ BASE = 0x9E3779B97F4A7C15
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept per process and grown by doubling."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n, kept per process and as long as the largest slice so far."""
     kept = process_cache("powers", dict)
     if kept.get("n", 0) < n:
-        n = max(n, SLICE_BYTES + 1024)
+        n = -(-n >> 18) << 18
         up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         kept.update(n=n, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))

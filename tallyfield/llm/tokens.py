@@ -15,8 +15,9 @@ from tallyfield.llm.common import process_cache
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t-\r \x85\xa0  -     　"
 
-#: Chunks remembered per worker; beyond it the memo starts anew.
-MEMO_CHUNKS = 800_000
+#: Bytes of chunks and ids remembered per worker, in each of two memos; beyond it a memo starts anew. An entry counts its text, its ids and
+#: so many bytes for the objects around them.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 180
 
 
 def default_tokenizer() -> str:
@@ -26,7 +27,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids, equal to ``Tokenizer.encode`` without special tokens.
+    """``encode(texts)`` gives each text's ids, equal to ``Tokenizer.encode`` with ``add_special_tokens=False``.
 
     A byte-level BPE never joins across the start of a run of white space, so a text may be cut there and the ids of each
     chunk remembered. Texts with two adjacent spaces take a pattern for the cut, all others the plain split at spaces. Any other kind
@@ -38,7 +39,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         before = parts.get("pre_tokenizer") or {}
@@ -46,10 +46,13 @@ class Encoder:
             parts["model"].get("type") == "BPE" and not parts.get("normalizer") and not parts["model"].get("ignore_merges")
             and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         )
+        #: Texts that hold one of the file's added tokens go to the library whole.
+        self.added = [t["content"] for t in parts.get("added_tokens") or [] if t["content"]]
         self.split = regex.compile(BYTE_LEVEL_SPLIT)
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.room = MEMO_BYTES * 2
         self.model = self.tokenizer.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in kept]
@@ -64,6 +67,7 @@ class Encoder:
             else:
                 spelled = text.encode().decode("latin-1").translate(self.letters)
             found = self.pieces[text] = b"".join([self.spelled_ids[t.id] for t in self.model.tokenize(spelled)])
+            self.room -= len(text) + len(found) + ENTRY_BYTES
         return found
 
     def remembered(self, chunk: str) -> bytes:
@@ -72,18 +76,22 @@ class Encoder:
             if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
                 return self.piece(chunk)
             found = self.memo[chunk] = b"".join(map(self.piece, self.split.findall(chunk)))
+            self.room -= len(chunk) + len(found) + ENTRY_BYTES
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        for memo in (self.memo, self.pieces):
-            if len(memo) > MEMO_CHUNKS:
-                memo.clear()
+        if self.room < 0:
+            self.memo.clear()
+            self.pieces.clear()
+            self.room = MEMO_BYTES * 2
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = []
         for i, text in enumerate(texts):
-            if "  " in text:
+            if any(a in text for a in self.added):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            elif "  " in text:
                 out[i] = np.frombuffer(b"".join(map(self.remembered, self.chunk.findall(text))), "<u4")
             else:
                 plain.append(i)

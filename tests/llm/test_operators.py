@@ -45,6 +45,19 @@ def test_tokens_equal_the_library():
         assert e.encode([text or ""])[0].tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_and_small_memos_equal_a_fresh_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tallyfield.llm import tokens
+
+    fresh = Tokenizer.from_file(default_tokenizer())
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 500)
+    e = tokens.Encoder(default_tokenizer())
+    odd = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\nb  c", "<|endoftext", "", " ", "Wörter  und\u2003mehr it's 12,5"]
+    for text in [*odd, *[t or "" for _, t in corpus()], *odd]:
+        assert e.encode([text, "next one"])[0].tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, with_ids=True).collect()
     assert packing.pack(empty).count() == 0
