@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,15 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
     return caches[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on and serves other stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``limit`` bytes of ``column``, or one longer row."""
     for batch in batches:
@@ -47,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker lives on and serves other stages
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -16,6 +16,10 @@ from tallyfield.llm.registry import query
 from tallyfield.llm.tokens import default_tokenizer, encoder
 
 
+#: Bytes of text encoded at once.
+TEXT_BYTES = 1 << 20
+
+
 def cuts(length: int, capacity: int, slack: int) -> list[tuple[int, int]]:
     """Cut a remainder below ``capacity`` into (piece length, class); class k bins take exactly k pieces.
 
@@ -73,7 +77,7 @@ def pack(documents: DataFrame, capacity: int = 1024, end_id: int = 0, slack: int
             n = 8 if with_ids else 7
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns[:n], types[:n], strict=True)], names[:n])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             ids_column = column(batch, "doc_id")
             doc_type = ids_column.type
             for doc, ids in zip(ids_column.to_pylist(), tokens.encode(texts(batch, "text")), strict=True):

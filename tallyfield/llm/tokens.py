@@ -17,7 +17,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 
 #: Bytes of chunks and ids remembered per worker, in each of two memos; beyond it a memo starts anew. An entry counts its text, its ids and
 #: so many bytes for the objects around them.
-MEMO_BYTES, ENTRY_BYTES = 96 << 20, 180
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 180
 
 
 def default_tokenizer() -> str:
