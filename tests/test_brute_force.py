@@ -28,6 +28,31 @@ def test_skyline_blocks(spark, block_rows):
     assert (got["is_front"].to_numpy() == want).all()
 
 
+@pytest.mark.parametrize("fan", [1, 8, 512])
+def test_skyline_pairs_of_traded_off_rows(spark, fan):
+    """Rows near a falling surface: few blocks face each other, and blocks far below it are closed whole."""
+    rng = np.random.default_rng(8)
+    share = rng.dirichlet([1, 1, 1], 12000)
+    points = np.vstack([share[:10000] ** 3 * 1000 + rng.uniform(0, 0.2, (10000, 3)), share[10000:] * 0.01])
+    frame = pd.DataFrame(points, columns=["_o0", "_o1", "_o2"]).assign(g=None)
+    df = spark.createDataFrame(frame.values.tolist(), "_o0 double, _o1 double, _o2 double, g string")
+    names = ["_o0", "_o1", "_o2"]
+    blocks = skyline.curve_blocks(df, ["g"], names, 100)
+    rows = blocks.toPandas()
+    n = rows["_block"].nunique()
+    assert n == 120 and (rows.groupby("_block").size() == 100).all()
+    got = {(r["_by"], r["_of"]) for r in skyline.block_pairs(blocks, ["g"], names, fan).collect()}
+    assert len(got) < n * n / 4 and all((a, a) in got for a, _ in got)
+    open_blocks, values = {a for a, _ in got}, {b: part[names].to_numpy() for b, part in rows.groupby("_block")}
+    assert len(open_blocks) < n
+    for block, mine in values.items():
+        if block not in open_blocks:
+            assert any(((other.min(axis=0) >= mine.max(axis=0)).all()) for b, other in values.items() if b != block)
+            continue
+        for b in open_blocks:
+            assert (b, block) in got or not skyline._dominated(mine, values[b]).any()
+
+
 def test_skyline_known_answer_and_null_rules(spark):
     df = spark.createDataFrame([("A", 10.0, 1.0), ("B", 9.0, 2.0), ("C", 10.0, None), ("D", 10.0, 1.0)], "k string, up double, down double")
     flags = lambda rule: {r["k"]: r["is_front"] for r in skyline.skyline(df, [], ["up"], ["down"], rule).collect()}
