@@ -2,49 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.operators.joins import drop_failed_endpoints, interval_subtract, topology_filter
+from tallyfield.operators.joins import cut_out, drop_failed_endpoints, topology_filter
 from tallyfield.operators.ordered import attach
 from tallyfield.operators.resample import sample_fraction
+from tallyfield.operators.skyline import two_objective_front
 from tallyfield.operators.topk import targeted_nodes
 from tallyfield.functions.tables import check_counts
 from tallyfield.session import pinned
 
 
-def earliest_arrival(
-    contacts: DataFrame, tasks: DataFrame, max_hops: int, bucket_sec: float = 6 * 3600.0
-) -> DataFrame:
+LEVELS = 14  # dyadic levels of the time index
+
+
+def _point_cells(at: str) -> str:
+    """SQL array of the dyadic cells (level, number) that hold leaf ``at``, one a level."""
+    return f"transform(sequence(0, {LEVELS}), l -> named_struct('level', l, 'cell', shiftright({at}, l)))"
+
+
+def _cover_cells(lo: str, hi: str) -> str:
+    """SQL array of disjoint dyadic cells that make up the leaves ``lo`` to ``hi``: at most two a level below the top.
+
+    At level l the range still open begins at ceil(lo / 2^l) and ends before floor((hi + 1) / 2^l); an odd first
+    cell or an odd end stands alone at this level. The top level takes what is left.
+    """
+    first, last = f"-shiftright(-({lo}), l)", f"shiftright({hi} + 1, l)"
+    below = (f"filter(array(if({first} < {last} and {first} & 1L = 1L, {first}, null), "
+             f"if({first} < {last} and {last} & 1L = 1L, {last} - 1, null)), c -> c is not null)")
+    top_first, top_last = first.replace(", l)", f", {LEVELS})"), last.replace(", l)", f", {LEVELS})")
+    top = f"if({top_first} < {top_last}, transform(sequence({top_first}, {top_last} - 1), c -> named_struct('level', {LEVELS}, 'cell', c)), array())"
+    return (f"if({hi} < {lo}, array(), concat(flatten(transform(sequence(0, {LEVELS - 1}), l -> "
+            f"transform({below}, c -> named_struct('level', l, 'cell', c)))), {top}))")
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], leaf: float) -> DataFrame:
+    """Pairs of rows with equal keys whose closed intervals overlap in leaves of ``leaf`` seconds, each once.
+
+    Two intervals overlap if the first begins in the second, or the second begins after the first's
+    beginning and in it. Each case is a point in an interval: the point is looked up by the cells that hold it, the
+    interval by the cells that make it up, which share exactly one cell. So a row is stored O(log) times, however
+    long its interval. Other columns of the two sides must differ; callers keep the exact overlap.
+    """
+    leaf_of = lambda c: f"cast(floor({c} / {float(leaf)}D) as long)"
+    spans = lambda df, span: df.selectExpr("*", f"{leaf_of(span[0])} as _lo", f"{leaf_of(span[1])} as _hi")
+    a, b = spans(left, left_span), spans(right, right_span)
+    at = lambda df: df.selectExpr("*", f"inline({_point_cells('_lo')})").drop("_lo", "_hi")
+    cover = lambda df, lo: df.selectExpr("*", f"inline({_cover_cells(lo, '_hi')})").drop("_lo", "_hi")
+    on = [*keys, "level", "cell"]
+    # A row whose end lies before its beginning overlaps nothing.
+    a, b = a.filter("_lo <= _hi"), b.filter("_lo <= _hi")
+    begun = at(a).join(cover(b, "_lo"), on)
+    later = cover(a, "(_lo + 1)").join(at(b), on)
+    return begun.unionByName(later).drop("level", "cell")
+
+
+def useful_contacts(contacts: DataFrame) -> DataFrame:
+    """Contacts in both directions (a, b, start_sec, end_sec, rate), without those that another contact of the same
+    pair and rate covers: they can never carry anything earlier."""
+    both = contacts.selectExpr(
+        "inline(array(named_struct('a', node_i, 'b', node_j), named_struct('a', node_j, 'b', node_i)))", "start_sec", "end_sec", "rate")
+    pair = ["a", "b", "rate"]
+    front = two_objective_front(both.distinct(), pair, ["end_sec"], ["start_sec"])
+    return front.filter("is_front").drop("is_front")
+
+
+def earliest_arrival(contacts: DataFrame, tasks: DataFrame, max_hops: int, leaf_sec: float = 900.0) -> DataFrame:
     """(task, node, arrival_sec, hops): time-respecting reachability over contacts in both directions.
 
     A hop leaves at max(arrival, start) and takes size / rate; it must end by the end of the contact
     and the cutoff. ``contacts``: node_i, node_j, start_sec, end_sec, rate. ``tasks``: task_id,
-    source, created_sec, cutoff_sec, size.
+    source, created_sec, cutoff_sec, size. Contacts with a missing time, and tasks without one, carry nothing.
 
-    The join is on (node, time bucket): a contact sits in the buckets it is open in, a task waiting
-    at a node looks only at buckets from its arrival to its cutoff, and meets each contact once (in
-    the first bucket both share). The arrival is improved for at most ``max_hops`` rounds or until
-    nothing improves; only improved rows go on, and the state is pinned every round.
+    Waiting tasks meet the contacts open between arrival and cutoff through a dyadic index of time
+    (:func:`overlaps`), so neither long waits nor long contacts multiply rows. The arrival is improved for at most
+    ``max_hops`` rounds or until nothing improves; only improved rows go on, and the state is pinned every round.
     """
-    spot = lambda c: f"cast(floor({c} / {bucket_sec}D) as long)"
-    both = contacts.selectExpr(
-        "inline(array(named_struct('a', node_i, 'b', node_j), named_struct('a', node_j, 'b', node_i)))", "start_sec", "end_sec", "rate"
-    ).selectExpr("*", f"{spot('start_sec')} as first_bucket", f"explode(sequence({spot('start_sec')}, {spot('end_sec')})) as bucket")
+    plan = pinned(useful_contacts(contacts.filter("end_sec >= start_sec")))
     limits = tasks.select("task_id", "cutoff_sec", "size")
     state = tasks.selectExpr("task_id", "source as node_id", "created_sec as arrival_sec", "0 as hops")
     frontier = state
     for hop in range(1, max_hops + 1):
         waiting = frontier.join(limits, "task_id").filter("arrival_sec <= cutoff_sec").selectExpr(
-            "task_id", "node_id as a", "arrival_sec", "cutoff_sec", "size", f"{spot('arrival_sec')} as from_bucket",
-            f"explode(sequence({spot('arrival_sec')}, {spot('cutoff_sec')})) as bucket",
-        )
-        moved = waiting.join(both, ["a", "bucket"]).filter("bucket = greatest(first_bucket, from_bucket)").selectExpr(
+            "task_id", "node_id as a", "arrival_sec", "cutoff_sec", "size")
+        met = overlaps(waiting, plan, ["a"], ("arrival_sec", "cutoff_sec"), ("start_sec", "end_sec"), leaf_sec)
+        moved = met.selectExpr(
             "task_id", "b as node_id", "greatest(arrival_sec, start_sec) + size / rate as arrival_sec", "end_sec", "cutoff_sec"
         ).filter("arrival_sec <= end_sec and arrival_sec <= cutoff_sec")
-        best = moved.groupBy("task_id", "node_id").agg(F.expr(f"min(arrival_sec) as arrival_sec"), F.lit(hop).alias("hops"))
+        best = moved.groupBy("task_id", "node_id").agg(F.expr("min(arrival_sec) as arrival_sec"), F.lit(hop).alias("hops"))
         known = state.selectExpr("task_id", "node_id", "arrival_sec as known_sec")
         frontier = pinned(
             best.join(known, ["task_id", "node_id"], "left").filter("known_sec is null or arrival_sec < known_sec").drop("known_sec")
@@ -80,12 +128,10 @@ def perturb(windows: DataFrame, nodes: DataFrame, scenario: Mapping[str, object]
     elif kind == "capacity_degradation":
         out = scale_capacity(base, float(scenario.get("capacity_factor", 1.0)))
     elif kind == "ground_station_outage":
-        outage = nodes.limit(1).selectExpr(
-            "true as is_ground", f"{float(scenario['outage_start'])}D as out_start", f"{float(scenario['outage_end'])}D as out_end"
-        )
-        pieces = interval_subtract(base, outage, ["is_ground"])
         cut = f"{float(scenario['outage_start'])}D", f"{float(scenario['outage_end'])}D"
-        out = pieces.drop("was_cut").select(*base.columns)
+        lost = base.selectExpr("*", f"if(is_ground, {cut[0]}, null) as out_start", f"if(is_ground, {cut[1]}, null) as out_end")
+        pieces = cut_out(lost, base.columns)
+        out = pieces.select(*base.columns)
     elif kind != "none":
         raise ValueError(f"unknown failure {kind}")
     before = base.agg(F.expr("count(*) as windows_before"), F.expr(

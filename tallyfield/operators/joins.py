@@ -152,7 +152,11 @@ def interval_subtract(windows: DataFrame, outages: DataFrame, keys: Sequence[str
     ``outages`` has at most one [out_start, out_end) per key. The parts of a cut window get the
     suffixes ``_pre`` and ``_post``; other windows pass unchanged.
     """
-    joined = windows.join(outages.select(*keys, "out_start", "out_end"), list(keys), "left")
+    return cut_out(windows.join(outages.select(*keys, "out_start", "out_end"), list(keys), "left"), windows.columns)
+
+
+def cut_out(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Windows without [out_start, out_end) of their own row (null: uncut), see :func:`interval_subtract`."""
     hit = "coalesce(start_sec < out_end and end_sec > out_start, false)"
     pieces = joined.selectExpr(
         "*",
@@ -161,7 +165,7 @@ def interval_subtract(windows: DataFrame, outages: DataFrame, keys: Sequence[str
                   named_struct('s', greatest(start_sec, out_end), 'e', end_sec, 'suffix', '_post')),
             array(named_struct('s', start_sec, 'e', end_sec, 'suffix', ''))))""",
     ).filter("suffix = '' or e > s")
-    others = [c for c in windows.columns if c not in {"window_id", "start_sec", "end_sec", "duration_sec", "capacity_mbits"}]
+    others = [c for c in columns if c not in {"window_id", "start_sec", "end_sec", "duration_sec", "capacity_mbits"}]
     return pieces.selectExpr(
         "concat(cast(window_id as string), suffix) as window_id", *others, "s as start_sec", "e as end_sec",
         "if(suffix = '', duration_sec, e - s) as duration_sec",

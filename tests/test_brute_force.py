@@ -117,6 +117,33 @@ def test_density_clusters(spark):
     assert [got[i]["cluster"] for i in range(n)] == label
 
 
+def test_overlaps_meet_once(spark):
+    """Long, short and single-leaf intervals, before and after zero and beyond the top level; null and reversed ones meet nothing."""
+    rng = np.random.default_rng(12)
+    top = 2.0 ** contacts.LEVELS
+
+    def intervals(n, name):
+        start = np.floor(np.concatenate([rng.uniform(-500, 500, n), rng.uniform(-3 * top, 3 * top, 20)]))
+        width = np.floor(np.concatenate([2 ** rng.uniform(0, 9, n) - 1, rng.uniform(0, 4 * top, 20)]))
+        rows = [(i % 2, i, float(s), float(s + w)) for i, (s, w) in enumerate(zip(start, width))]
+        rows += [(0, -1, None, 5.0), (0, -2, 5.0, None), (None, -3, 0.0, 9.0), (1, -4, 90.0, 10.0)]
+        return rows, spark.createDataFrame(rows, f"g int, {name} long, {name}_lo double, {name}_hi double")
+
+    left, ldf = intervals(150, "l")
+    right, rdf = intervals(130, "r")
+    got = sorted((r["l"], r["r"]) for r in contacts.overlaps(ldf, rdf, ["g"], ("l_lo", "l_hi"), ("r_lo", "r_hi"), 1.0).collect())
+    want = sorted((b, d) for g, b, lo, hi in left for h, d, lo2, hi2 in right
+                  if g == h and g is not None and None not in (lo, hi, lo2, hi2) and lo <= hi and lo2 <= hi2 and lo <= hi2 and lo2 <= hi)
+    assert got == want
+
+
+def test_useful_contacts_leave_out_covered_ones(spark):
+    plan = [(1, 2, 0.0, 10.0, 1.0), (2, 1, 2.0, 8.0, 1.0), (1, 2, 0.0, 10.0, 1.0), (1, 2, 2.0, 12.0, 1.0), (1, 2, 3.0, 4.0, 5.0)]
+    got = {(r["start_sec"], r["end_sec"], r["rate"]) for r in contacts.useful_contacts(
+        spark.createDataFrame(plan, "node_i long, node_j long, start_sec double, end_sec double, rate double")).filter("a = 1").collect()}
+    assert got == {(0.0, 10.0, 1.0), (2.0, 12.0, 1.0), (3.0, 4.0, 5.0)}
+
+
 def test_earliest_arrival(spark):
     rng = np.random.default_rng(6)
     plan = [(int(a), int((a + d) % 15), float(s), float(s + w), float(r)) for a, d, s, w, r in zip(
