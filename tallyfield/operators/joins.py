@@ -193,25 +193,31 @@ def topology_filter(windows: DataFrame, central: DataFrame, topology: str) -> Da
     return marked.filter("is_ground or _node_i or _node_j").select(*windows.columns)
 
 
-def candidate_pairs(nodes: DataFrame, mode: str, group: str) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, mode: str, group: str, chunk: int = 1024) -> DataFrame:
     """Node pairs i < j inside each group that may link: none, all, or those with a central end.
 
     A group without any central node falls back to all pairs. ``central_only`` starts from the
-    central nodes, so the many plain-plain pairs are never made.
+    central nodes, so the many plain-plain pairs are never made. ``all`` is quadratic in the group by its result.
+
+    Each group is dealt into chunks of about ``chunk`` nodes, and every pair of chunks meets under a key of its own: the
+    upper triangle of chunks where all pairs are wanted, central chunks against all chunks else. So a
+    hot group spreads over as many tasks as it has pairs of chunks.
     """
     if mode not in ("none", "all", "central_only"):
         raise ValueError(f"unknown mode {mode}")
-    cells = nodes.select(group, "node_id", "is_central")
+    cells = nodes.selectExpr(group, "node_id", "coalesce(is_central, false) as is_central")
     if mode == "none":
         return cells.filter("false").selectExpr(group, "node_id as node_i", "node_id as node_j")
-    if mode == "central_only":
-        has = cells.groupBy(group).agg(F.bool_or("is_central").alias("_has"))
-        cells = attach(cells, has, [group])
-        starts = cells.filter("is_central or not _has")
-    else:
-        starts = cells.withColumn("_has", F.lit(False))
-    other = nodes.select(group, F.col("node_id").alias("_b"), F.col("is_central").alias("_bc"))
-    made = starts.join(other, group).filter("node_id <> _b")
-    # Each pair is made once: from its smaller end, or from its only central end.
-    once = made.filter("node_id < _b or (_has and is_central and not _bc)")
+    central = "bool_or(is_central)" if mode == "central_only" else "false"
+    sizes = cells.groupBy(group).agg(F.expr(f"{central} as _has"), F.expr("count_if(is_central) as _nc"), F.expr("count(*) as _n")).selectExpr(
+        group, "_has", f"cast(ceil(if(_has, _nc, _n) / {chunk}) as int) as _left", f"cast(ceil(_n / {chunk}) as int) as _right")
+    dealt = attach(cells, sizes, [group])
+    spot = lambda n: f"cast(pmod(xxhash64(node_id), {n}) as int)"
+    starts = dealt.filter("is_central or not _has").selectExpr(group, "node_id", "_has", "_right", f"{spot('_left')} as _i").selectExpr(
+        group, "node_id", "_has", "_i", "explode(sequence(if(_has, 0, _i), _right - 1)) as _j")
+    others = dealt.selectExpr(group, "node_id as _b", "is_central as _bc", "_has as _h", "_left", f"{spot('_right')} as _j").selectExpr(
+        group, "_b", "_bc", "_j", "explode(sequence(0, if(_h, _left - 1, _j))) as _i")
+    made = starts.join(others, [group, "_i", "_j"])
+    # Each pair is made once: from its smaller end, its only central end, or the chunk that comes first.
+    once = made.filter("if(_has, node_id < _b or (not _bc and node_id <> _b), _i < _j or node_id < _b)")
     return once.selectExpr(group, "least(node_id, _b) as node_i", "greatest(node_id, _b) as node_j")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.scalars import text_uniform
 from tallyfield.operators.ordered import attach
+from tallyfield.session import pinned
 
 MIN_SAMPLES = 20
 MODELS = {"linear": (1, False), "polynomial_degree_2": (2, False), "polynomial_degree_3": (3, False), "log_linear": (1, True)}
@@ -163,6 +164,83 @@ def exp_offset_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, rates: Se
                            "sqrt(f.sse / f.n) as rmse")
 
 
+def exp_offset_continuous(df: DataFrame, keys: Sequence[str], x: str, y: str, rounds: int = 7) -> DataFrame:
+    """y = a exp(-b x) + c with any rate b, or y = p0 + p1 x + p2 x^2 where no rate is best; one row per group.
+
+    For a given rate, a and c follow in closed form from sums per distinct x, and so does the slope of the error
+    in the rate. A coarse grid of rates (over the span of x, both signs) brackets the least error; each further
+    round cuts the bracket by 16 at the change of sign of the slope. All groups go through a round together, as one aggregation.
+    A group whose best rate lies on the edge of the grid (a straight line, a step) or that has fewer than four
+    distinct x gets the quadratic. ``loo_rmse`` divides each residual by one minus its hat value (of the fit
+    linearised in its three parameters); it is null where a single row fixes a parameter, as are ``r_squared`` of a constant y.
+    Rows with a missing x or y are left out.
+    """
+    rows = df.filter(f"nanvl(cast({x} as double), null) is not null and nanvl(cast({y} as double), null) is not null").selectExpr(
+        *keys, f"cast({x} as double) as x", f"cast({y} as double) as y")
+    spread = rows.groupBy(*keys).agg(F.expr("min(x) as x0"), F.expr("if(max(x) > min(x), max(x) - min(x), 1D) as span"), F.expr("avg(y) as my"))
+    moved = attach(rows, spread, keys).selectExpr(*keys, "x0", "span", "my", "(x - x0) / span as u", "y - my as v")
+    cells = pinned(moved.groupBy(*keys, "x0", "span", "my", "u").agg(F.expr("count(*) as w"), F.expr("sum(v) as sv"), F.expr("sum(v * v) as svv")))
+
+    def at_rates(rates: DataFrame, extra: Sequence[str]) -> DataFrame:
+        """a, c, the error and half its slope for every (group, rate)."""
+        placed = _joined(cells, rates, keys).selectExpr(*keys, *extra, "rate", "u", "w", "sv", "svv", "exp(-rate * u) as z")
+        sums = placed.groupBy(*keys, *extra, "rate").agg(*[F.expr(f"sum({e}) as {n}") for n, e in {
+            "n": "w", "z1": "w * z", "z2": "w * z * z", "y0": "sv", "y1": "z * sv", "yy": "svv", "uz1": "w * u * z",
+            "uz2": "w * u * z * z", "uy": "u * z * sv"}.items()])
+        solved = sums.filter("n * z2 - z1 * z1 > 1e-13 * n * z2").selectExpr("*", "(n * y1 - z1 * y0) / (n * z2 - z1 * z1) as a")
+        return solved.selectExpr("*", "(y0 - a * z1) / n as c").selectExpr(
+            *keys, *extra, "rate", "a", "c", "yy - a * y1 - c * y0 as sse", "a * (uy - a * uz2 - c * uz1) as slope")
+
+    # The coarse grid: rates times the span of x, 0.01 to 100 falling and 0.01 to 20 rising, nothing at 0.
+    coarse = sorted([10 ** (-2 + i / 10) for i in range(41)] + [-(10 ** (-2 + i / 10)) for i in range(34)])
+    inner = {i for i, r in enumerate(coarse) if abs(r) == min(abs(c) for c in coarse)} | {0, len(coarse) - 1}
+    groups = cells.groupBy(*keys).agg(F.expr("count(*) as n_x"))
+    grid = "array(" + ", ".join(f"{r!r}D" for r in coarse) + ")"
+    first = at_rates(groups.filter("n_x >= 4").selectExpr(*keys, f"posexplode({grid}) as (i, rate)"), ["i"])
+    best = first.groupBy(*keys).agg(F.expr("min(struct(sse, i)).i as i"))
+    bracket = pinned(best.filter(~F.col("i").isin(sorted(inner))).selectExpr(*keys, f"{grid}[i - 1] as lo", f"{grid}[i + 1] as hi"))
+    for _ in range(rounds):
+        tried = bracket.selectExpr(*keys, "lo", "hi", "explode(sequence(1, 15)) as k").selectExpr(*keys, "lo", "hi", "lo + (hi - lo) * k / 16 as rate")
+        risen = at_rates(tried, ["lo", "hi"]).groupBy(*keys, "lo", "hi").agg(F.expr("coalesce(min(if(slope >= 0, rate, null)), hi) as up"))
+        bracket = pinned(risen.selectExpr(*keys, "up - (hi - lo) / 16 as lo", "up as hi"))
+    rated = at_rates(bracket.selectExpr(*keys, "(lo + hi) / 2 as rate"), []).select(*keys, "rate", "a", "c")
+    basis = attach(cells, rated, keys).selectExpr("*", "if(rate is null, 1D, exp(-rate * u)) as j0").selectExpr(
+        "*", "if(rate is null, u, -a * u * j0) as j1", "if(rate is null, u * u, 1D) as j2")
+    grams = basis.groupBy(*keys, "x0", "span", "my", "rate", "a", "c").agg(
+        *[F.expr(f"sum(w * j{i} * j{k}) as m{i}{k}") for i in range(3) for k in range(i, 3)], *[F.expr(f"sum(j{i} * sv) as r{i}") for i in range(3)])
+
+    def invert(batches):
+        """Row by row: one system of three."""
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                gram = np.array([[row[f"m{min(i, k)}{max(i, k)}"] for k in range(3)] for i in range(3)])
+                scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+                inverse = np.linalg.pinv(gram / np.outer(scale, scale), rcond=1e-13, hermitian=True) / np.outer(scale, scale)
+                out.append([row[k] for k in keys] + [inverse.ravel().tolist(), (inverse @ [row["r0"], row["r1"], row["r2"]]).tolist()])
+            yield pd.DataFrame(out, columns=[*keys, "inv", "p"])
+
+    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    solved = pinned(grams.mapInPandas(invert, f"{key_types}, inv array<double>, p array<double>"))
+    guessed = attach(basis, solved, keys).selectExpr(
+        "*", "if(rate is null, p[0] + p[1] * u + p[2] * u * u, a * j0 + c) as f",
+        "aggregate(sequence(0, 8), 0D, (s, e) -> s + inv[e] * array(j0, j1, j2)[e div 3] * array(j0, j1, j2)[e % 3]) as hat",
+    ).selectExpr("*", "greatest(0D, svv - 2 * f * sv + w * f * f) as err")
+    scored = guessed.groupBy(*keys, "x0", "span", "my", "rate", "a", "c", "p").agg(
+        F.expr("sum(w) as n"), F.expr("sum(err) as sse"), F.expr("sum(svv) as tss"),
+        F.expr("if(bool_or(hat > 1 - 1e-9), null, sum(try_divide(err, (1 - hat) * (1 - hat)))) as loo"))
+    return scored.selectExpr(
+        *keys, "if(rate is null, 'quadratic', 'exponential_offset') as model", "n", "rate / span as b", "a * exp(rate / span * x0) as a", "c + my as c",
+        "if(rate is null, p[0] + my - p[1] * x0 / span + p[2] * x0 * x0 / (span * span), null) as p0",
+        "if(rate is null, p[1] / span - 2 * p[2] * x0 / (span * span), null) as p1", "if(rate is null, p[2] / (span * span), null) as p2",
+        "if(tss > 1e-12, 1 - sse / tss, null) as r_squared", "sqrt(sse / n) as rmse", "sqrt(loo / n) as loo_rmse")
+
+
+def _joined(cells: DataFrame, rates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    named = rates.withColumnsRenamed({k: f"_k{k}" for k in keys})
+    return cells.join(named, [cells[k].eqNullSafe(named[f"_k{k}"]) for k in keys]).drop(*[f"_k{k}" for k in keys])
+
+
 def fitted_curve(fits: DataFrame, keys: Sequence[str], low: float, high: float, points: int = 300) -> DataFrame:
     """The fitted curve on an even grid."""
     step = (high - low) / (points - 1)

@@ -304,6 +304,12 @@ def exp_offset_fit(spark, sf_dir):
     return out.selectExpr("region", "b", "round(round(a, 8), 4) as a", "round(round(c, 8), 4) as c", "n", "round(round(r_squared, 10), 6) as r_squared", "round(round(rmse, 8), 4) as rmse")
 
 
+@query("M12_continuous_fit")
+def continuous_fit(spark, sf_dir):
+    rows = V.case_metrics(spark, sf_dir).filter(PRIMARY)
+    return rounded(models.exp_offset_continuous(rows, ["region"], "cn_fraction_percent", OBS), 4)
+
+
 @query("M12_fitted_curve")
 def fitted_curve(spark, sf_dir):
     rows = V.case_metrics(spark, sf_dir).filter(PRIMARY)

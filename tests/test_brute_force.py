@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import contacts, models, skyline, spatial
+from tallyfield.operators import contacts, joins, models, skyline, spatial
 
 
 def _front(points: np.ndarray) -> np.ndarray:
@@ -222,3 +222,56 @@ def test_exp_offset_recovers_the_rate(spark):
     row = models.exp_offset_fit(df, ["g"], "x", "y", [0.01 * i for i in range(1, 21)]).first()
     assert row["b"] == pytest.approx(0.05) and row["a"] == pytest.approx(-40) and row["c"] == pytest.approx(60)
     assert row["r_squared"] == pytest.approx(1.0)
+
+
+def test_continuous_fit_meets_known_parameters(spark):
+    """Rates off any grid, shifted x, a rising curve, a straight line, few levels, missing values and a null key."""
+    rng = np.random.default_rng(21)
+    x = np.arange(0, 101, 5.0)
+    rows = [("fall", v, 40 * np.exp(-0.0437 * v) + 12.5) for v in x] + [("far", v + 1000, 3 * np.exp(-0.1234 * v) - 7) for v in x]
+    rows += [("rise", v, 0.5 * np.exp(0.0311 * v) + 2) for v in x] + [("line", v, 2 * v + 1) for v in x] + [(None, v, v * v) for v in (0.0, 1.0, 2.0)]
+    noisy = [("noisy", v, 30 * np.exp(-0.05 * v) + 5 + rng.normal(0, 0.5)) for v in np.repeat(x, 3)]
+    rows += noisy + [("fall", None, 1.0), ("fall", 2.0, None), ("fall", 2.0, float("nan"))]
+    df = spark.createDataFrame([(k, None if a is None else float(a), None if b is None else float(b)) for k, a, b in rows], "g string, x double, y double")
+    got = {r["g"]: r for r in models.exp_offset_continuous(df, ["g"], "x", "y").collect()}
+    for key, a, b, c in (("fall", 40, 0.0437, 12.5), ("rise", 0.5, -0.0311, 2)):
+        assert got[key]["model"] == "exponential_offset"
+        assert [got[key][n] for n in "abc"] == pytest.approx([a, b, c], rel=1e-6)
+    assert got["far"]["b"] == pytest.approx(0.1234, rel=1e-6) and got["far"]["c"] == pytest.approx(-7, rel=1e-6)
+    assert got["line"]["model"] == "quadratic" and [got["line"][n] for n in ("p0", "p1", "p2")] == pytest.approx([1, 2, 0], abs=1e-6)
+    assert got[None]["model"] == "quadratic" and got[None]["p2"] == pytest.approx(1) and got[None]["loo_rmse"] is None
+    # Against plain numpy: the least error over a fine grid of rates, and leave-one-out by hat values.
+    px, py = np.array([r[1] for r in noisy]), np.array([r[2] for r in noisy])
+    design = lambda b: np.column_stack([np.exp(-b * px), np.ones(len(px))])
+    errors = lambda b: float(((py - design(b) @ np.linalg.lstsq(design(b), py, rcond=None)[0]) ** 2).sum())
+    b = min(np.linspace(0.03, 0.08, 20001), key=errors)
+    assert got["noisy"]["b"] == pytest.approx(b, abs=4e-6) and got["noisy"]["rmse"] == pytest.approx(np.sqrt(errors(b) / len(px)), rel=1e-8)
+    a, c = np.linalg.lstsq(design(b), py, rcond=None)[0]
+    jac = np.column_stack([np.exp(-b * px), -a * px * np.exp(-b * px), np.ones(len(px))])
+    hat = np.diag(jac @ np.linalg.inv(jac.T @ jac) @ jac.T)
+    left_out = (py - a * np.exp(-b * px) - c) / (1 - hat)
+    assert got["noisy"]["loo_rmse"] == pytest.approx(np.sqrt((left_out ** 2).mean()), rel=1e-4)
+
+
+@pytest.mark.parametrize("mode", ["all", "central_only"])
+def test_candidate_pairs_of_dealt_groups(spark, mode):
+    rows = [("hot", i, i % 97 == 5) for i in range(900)] + [("plain", i, None) for i in range(300)] + [("one", 1, True)]
+    got = [tuple(r) for r in joins.candidate_pairs(spark.createDataFrame(rows, "g string, node_id long, is_central boolean"), mode, "g", 64).collect()]
+    has = {g for g, _, c in rows if c} if mode == "central_only" else set()
+    want = {(g, i, j) for g, i, a in rows for h, j, b in rows if g == h and i < j and (g not in has or a or b)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_candidate_pairs_spread_a_hot_group(spark):
+    nodes = spark.range(20000).selectExpr("'x' as g", "id as node_id", "id % 200 = 7 as is_central")
+    pairs = joins.candidate_pairs(nodes, "central_only", "g")
+    assert pairs.count() == 100 * 19900 + 100 * 99 // 2
+    # The same group in chunks of 100: every task of the join gets its part.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = joins.candidate_pairs(nodes, "central_only", "g", 100).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(parts) >= 4 and max(r["count"] for r in parts) < 1_000_000

@@ -19,8 +19,8 @@ EMPTY_AT_SMALLEST = {"J14_candidate_pairs"}
 
 # Models, file listings and clusters: compared with plain loops in other tests. Text queries name theirs in their own folder.
 WITHOUT_SQL = {
-    "F15_csv_row_size", "M10_model_comparison", "M11_poly_aic_all_degrees", "M12_fitted_curve", "R05_density_clusters", "R05_cluster_summary", "S03_marker_flags",
-    "S04_inventory", "S05_checksum_manifest", "S05_verify_manifest",
+    "F15_csv_row_size", "M10_model_comparison", "M11_poly_aic_all_degrees", "M12_continuous_fit", "M12_fitted_curve", "R05_density_clusters", "R05_cluster_summary",
+    "S03_marker_flags", "S04_inventory", "S05_checksum_manifest", "S05_verify_manifest",
 }
 
 
