@@ -29,16 +29,24 @@ def exact_counts(observed: DataFrame, required: Mapping[str, int], keys: Sequenc
     return observed.selectExpr(*keys, f"inline(array({items}))").withColumn("passed", F.expr("coalesce(observed = required, false)"))
 
 
-def completion_counts(facts: DataFrame, cases: DataFrame, keys: Sequence[str], scenarios_per_case: int) -> DataFrame:
-    """The counts the completion gate looks at, per key: cases, bases, markers, rows, statuses, balance, levels.
+def completion_counts(
+    facts: DataFrame, cases: DataFrame, keys: Sequence[str], scenarios_per_case: int, content: Sequence[str] = (), checks: DataFrame | None = None
+) -> DataFrame:
+    """The counts the completion gate looks at, per key: cases, bases, markers, rows, statuses, conflicts, balance, levels.
 
-    Everything is counted per case first, so each later count runs over cases.
+    A (case, scenario) that occurs with different ``content`` is a conflicting duplicate. ``checks`` (keys, passed) are stored
+    validations; one without an answer counts as failed, and without the table there are no failures.
+    Everything is counted per scenario and per case first, so each later count runs over cases.
     """
-    per_case = facts.groupBy(*keys, "case_id").agg(
-        F.expr("count(*) as raw_rows"), F.expr("count(distinct scenario_id) as unique_rows"),
-        F.expr("count_if(status = 'FAILED') as failed_rows"),
+    digest = row_digest(*[F.col(c) for c in content]) if content else F.lit("")
+    per_scenario = facts.withColumn("_d", digest).groupBy(*keys, "case_id", "scenario_id").agg(
+        F.expr("count(*) as n"), F.expr("count_if(status = 'FAILED') as n_failed"), F.expr("min(_d) <> max(_d) as differs"),
+    )
+    per_case = per_scenario.groupBy(*keys, "case_id").agg(
+        F.expr("sum(n) as raw_rows"), F.expr("count(scenario_id) as unique_rows"),
+        F.expr("sum(n_failed) as failed_rows"), F.expr("count_if(differs) as conflicts"),
     )
-    joined = attach(cases, per_case, [*keys, "case_id"]).na.fill(0, ["raw_rows", "unique_rows", "failed_rows"])
+    joined = attach(cases, per_case, [*keys, "case_id"]).na.fill(0, ["raw_rows", "unique_rows", "failed_rows", "conflicts"])
     levels = joined.groupBy(*keys).agg(F.expr("count(distinct cn_fraction_percent) as n_levels"))
     bases = attach(
         joined.filter("success_marker").groupBy(*keys, "base_id").agg(
@@ -52,11 +60,15 @@ def completion_counts(facts: DataFrame, cases: DataFrame, keys: Sequence[str], s
         F.expr("count(*) as case_directories"), F.expr("count(distinct base_id) as base_architectures"),
         F.expr("count_if(success_marker) as success_markers"), F.expr("count_if(failed_marker) as failed_markers"),
         F.expr("sum(unique_rows) as unique_scenario_rows"), F.expr("sum(failed_rows) as failed_status_rows"),
-        F.expr("sum(raw_rows - unique_rows) as duplicate_rows"),
+        F.expr("sum(raw_rows - unique_rows) as duplicate_rows"), F.expr("sum(conflicts) as conflicting_duplicate_keys"),
         F.expr(f"count_if(unique_rows = {scenarios_per_case}) as complete_cases"),
         F.expr("count(distinct cn_fraction_percent) as levels_present"),
     )
-    return attach(counts, bases, keys)
+    counts = attach(counts, bases, keys)
+    if checks is None:
+        return counts.withColumn("validation_failures", F.lit(0).cast("long"))
+    failures = checks.groupBy(*keys).agg(F.expr("count_if(not coalesce(passed, false)) as validation_failures"))
+    return attach(counts, failures, keys).na.fill(0, ["validation_failures"])
 
 
 def archive_audit(facts: DataFrame, cases: DataFrame) -> DataFrame:
@@ -200,6 +212,24 @@ def task_contract(expected: DataFrame, actual: DataFrame, key: str, content: Seq
     return check_counts(joined, tests)
 
 
+def table_contract(tasks: DataFrame, key: str, content: Sequence[str], label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """What pins a task table down, per ``keys``: rows, distinct ids, a fingerprint of the ids, one of the rows, and rows per ``label`` as
+    a sorted list of (label, n).
+
+    Both fingerprints are order-free sums, so no table is sorted or gathered; two tables hold the same rows if the rows' fingerprints agree.
+    Ids are counted and fingerprinted once each. A NULL label is listed as NULL.
+    """
+    made = tasks.select(*keys, F.col(key).alias("_id"), F.col(label).alias("_label"), row_digest(F.col(key), *[F.col(c) for c in content]).alias("_row"))
+    per_id = made.groupBy(*keys, "_id").agg(F.count(F.lit(1)).alias("_n"))
+    ids = per_id.groupBy(*keys).agg(
+        F.expr("sum(_n) as task_count"), F.expr("count(*) as unique_task_count"), digest_sum(row_digest(F.col("_id"))).alias("ids_digest"),
+    )
+    rows = made.groupBy(*keys).agg(digest_sum(F.col("_row")).alias("rows_digest"))
+    labels = made.groupBy(*keys, "_label").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.expr("sort_array(collect_list(named_struct('label', _label, 'n', _n))) as label_counts"))
+    return attach(attach(ids, rows, keys), labels, keys)
+
+
 def partition_contract(parts: DataFrame, expected_tasks: DataFrame) -> DataFrame:
     """Defects of checkpoint parts, as (defect, subject, n): a row of the wrong case, a status that is not
     final, a scenario twice in one part or in several, a scenario with another number of tasks than expected.
@@ -218,6 +248,41 @@ def partition_contract(parts: DataFrame, expected_tasks: DataFrame) -> DataFrame
     return wrong_case.unionByName(unfinished).unionByName(within).unionByName(across).unionByName(mismatch)
 
 
+def task_partition_contract(rows: DataFrame, expected_tasks: DataFrame, expected_scenarios: DataFrame) -> DataFrame:
+    """Defects of task parts, as (defect, subject, n): parts with rows of another case, scenarios in several parts, scenarios outside the
+    expected ones, expected scenarios without rows, and for each expected scenario repeated task rows, missing tasks and extra tasks.
+
+    ``rows``: part, part_case, case_id, scenario_id, task_id. ``expected_tasks``: case_id, task_id, one row each.
+    ``expected_scenarios``: case_id, scenario_id. Each row looks its task up in the expected set of its case; counts of known and unknown
+    ids then tell the sets apart, so no set of tasks is ever gathered.
+    """
+    subject = "concat(case_id, ':', scenario_id)"
+    wrong_case = rows.filter("not coalesce(case_id = part_case, false)").groupBy("part").agg(F.expr("count(*) as n")).selectExpr("'wrong_case' as defect", "part as subject", "n")
+    known = rows.join(expected_tasks.select("case_id", "task_id", F.lit(True).alias("_known")), ["case_id", "task_id"], "left")
+    per_task = known.groupBy("case_id", "scenario_id", "task_id").agg(
+        F.expr("count(*) as n"), F.expr("bool_or(coalesce(_known, false)) as known"), F.expr("min(part) as low"), F.expr("max(part) as high"))
+    seen = per_task.groupBy("case_id", "scenario_id").agg(
+        F.expr("sum(n - 1) as repeated"), F.expr("count_if(known) as n_known"), F.expr("count_if(not known) as n_extra"),
+        F.expr("min(low) <> max(high) as spread"))
+    wanted = expected_scenarios.select("case_id", "scenario_id").distinct().join(
+        expected_tasks.groupBy("case_id").agg(F.expr("count(*) as n_tasks")), "case_id", "left").withColumn("_wanted", F.lit(True))
+    joined = seen.withColumn("_seen", F.lit(True)).join(wanted, ["case_id", "scenario_id"], "full")
+    items = """filter(array(
+        named_struct('defect', 'unexpected_scenario', 'n', if(_wanted is null, 1L, 0L)),
+        named_struct('defect', 'missing_scenario', 'n', if(_seen is null, 1L, 0L)),
+        named_struct('defect', 'several_parts', 'n', if(_wanted and _seen and spread, 1L, 0L)),
+        named_struct('defect', 'repeated_tasks', 'n', if(_wanted and _seen, repeated, 0L)),
+        named_struct('defect', 'missing_tasks', 'n', if(_wanted and _seen, coalesce(n_tasks, 0L) - n_known, 0L)),
+        named_struct('defect', 'extra_tasks', 'n', if(_wanted and _seen, n_extra, 0L))), x -> x.n > 0)"""
+    found = joined.selectExpr(f"{subject} as subject", f"inline({items})").select("defect", "subject", "n")
+    return wrong_case.unionByName(found)
+
+
+def failed_rows(checks: DataFrame) -> DataFrame:
+    """The stored checks that did not pass, whole; one without an answer is among them."""
+    return checks.filter("not coalesce(passed, false)")
+
+
 def check_rollup(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Totals of stored check tables; a check without an answer counts as failed."""
     return checks.groupBy(*keys).agg(
@@ -244,6 +309,37 @@ def entity_checks(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fleet.selectExpr(*keys, "nodes", "central_nodes", f"inline({items})")
 
 
+def placement_checks(planes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, plane_id, check, passed): where the central nodes of a plane sit among its ``plane_size`` places.
+
+    ``planes``: keys, plane_id, plane_size, n_central, index_list (places joined by ``;``, from 0). The list must have ``n_central``
+    entries and none twice. An even number of central nodes below the plane size, in a plane of even size, must lie in opposite pairs;
+    any other number of two or more must be spread so that the gaps around the plane differ by one at most. One central node, or a plane
+    whose nodes are all central and even in number, has no spacing check.
+    """
+    listed = planes.withColumn("_at", F.expr("array_sort(transform(if(coalesce(index_list, '') = '', array(), split(index_list, ';')), x -> cast(x as int)))"))
+    gaps = listed.withColumn("_gaps", F.expr(
+        "transform(_at, (x, i) -> if(i + 1 < size(_at), _at[int(i + 1)] - x, int(_at[0] + plane_size - x)))"))
+    even = "n_central > 1 and n_central % 2 = 0 and n_central < plane_size"
+    items = f"""filter(array(
+        named_struct('check', 'list_matches_count', 'passed', size(_at) = n_central),
+        named_struct('check', 'no_repeated_place', 'passed', size(_at) = size(array_distinct(_at))),
+        if({even} and plane_size % 2 = 0, named_struct('check', 'opposite_pairs', 'passed', forall(_at, x -> array_contains(_at, int((x + plane_size div 2) % plane_size)))), null),
+        if({even} and plane_size % 2 = 1 or n_central > 1 and n_central % 2 = 1,
+           named_struct('check', 'equal_spacing', 'passed', coalesce(array_max(_gaps) - array_min(_gaps) <= 1, true)), null)), x -> x is not null)"""
+    return gaps.selectExpr(*keys, "plane_id", f"inline({items})")
+
+
+def expected_counts(nodes: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, check, observed, required, passed): nodes and central nodes of a fleet against the design, and whether the nodes divide
+    evenly over the planes. ``expected``: keys, total, n_planes, n_central. A fleet without nodes counts as 0."""
+    counted = nodes.groupBy(*keys).agg(F.expr("count(*) as nodes"), F.expr("count_if(is_central) as central"))
+    joined = expected.join(counted, list(keys), "left").na.fill(0, ["nodes", "central"])
+    items = """array(named_struct('check', 'planes_divide_total', 'observed', total % n_planes, 'required', 0L),
+        named_struct('check', 'node_count', 'observed', nodes, 'required', total), named_struct('check', 'central_count', 'observed', central, 'required', n_central))"""
+    return joined.selectExpr(*keys, f"inline({items})").withColumn("passed", F.expr("coalesce(observed = required, false)"))
+
+
 def campaign_report(facts: DataFrame, cases: DataFrame, scenarios_per_case: int) -> DataFrame:
     """One row: expected and present rows, rows by status, markers, and whether the campaign is complete."""
     present = facts.agg(

@@ -10,6 +10,8 @@ from tallyfield.plans.q_aggregates import EVENTS, OBS
 from tallyfield.plans.q_decision import PAIRS
 from tallyfield.plans.registry import query
 from tallyfield.plans.shape import rounded
+from tallyfield.session import scratch_path
+from tallyfield.sources import tables
 
 # A case counts as done if its customer's balance is not negative, as failed if it is below -900.
 _CASES_SQL = """cs AS (SELECT case_id, base_id, cn_fraction_percent, c_acctbal >= 0 AS success_marker, c_acctbal < -900 AS failed_marker
@@ -29,20 +31,23 @@ def _facts(spark, sf_dir):
 _COUNTS_SQL = f"""{_CASES_SQL}, pc AS (SELECT case_id, count(*) AS raw, count(DISTINCT scenario_id) AS uniq, count(*) FILTER (status = 'FAILED') AS fl FROM v_tasks GROUP BY case_id),
 j AS (SELECT cs.*, coalesce(raw, 0) AS raw, coalesce(uniq, 0) AS uniq, coalesce(fl, 0) AS fl FROM cs LEFT JOIN pc USING (case_id)),
 bs AS (SELECT base_id, count(DISTINCT cn_fraction_percent) AS have, count(*) AS n FROM j WHERE success_marker GROUP BY base_id),
+cf AS (SELECT count(*) AS conflicting_duplicate_keys FROM (SELECT 1 FROM v_tasks GROUP BY case_id, scenario_id HAVING count(DISTINCT status) > 1)),
+vf AS (SELECT count(*) AS validation_failures FROM v_tasks WHERE NOT coalesce(price > 50000, false)),
 k AS (SELECT count(*) AS case_directories, count(DISTINCT base_id) AS base_architectures, count(*) FILTER (success_marker) AS success_markers, count(*) FILTER (failed_marker) AS failed_markers,
    sum(uniq)::BIGINT AS unique_scenario_rows, sum(fl)::BIGINT AS failed_status_rows, sum(raw - uniq)::BIGINT AS duplicate_rows, count(*) FILTER (uniq = 5) AS complete_cases,
    count(DISTINCT cn_fraction_percent) AS levels_present FROM j),
 b AS (SELECT count(*) FILTER (have = 5) AS balanced_bases, coalesce(sum(n) FILTER (have = 5), 0)::BIGINT AS balanced_cases FROM bs)"""
 _REQUIRED = {
     "case_directories": 1500, "base_architectures": 300, "success_markers": 1500, "failed_markers": 0, "unique_scenario_rows": 7500,
-    "failed_status_rows": 0, "duplicate_rows": 0, "complete_cases": 1500, "levels_present": 5, "balanced_bases": 300, "balanced_cases": 1500,
+    "failed_status_rows": 0, "duplicate_rows": 0, "conflicting_duplicate_keys": 0, "validation_failures": 0, "complete_cases": 1500, "levels_present": 5, "balanced_bases": 300, "balanced_cases": 1500,
 }
 
 
 @query("Q01_completion_gate", f"WITH {_COUNTS_SQL} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"check\", {c} AS observed, {n}::BIGINT AS required, {c} = {n} AS passed FROM k, b" for c, n in _REQUIRED.items()))
+    f"SELECT '{c}' AS \"check\", {c} AS observed, {n}::BIGINT AS required, {c} = {n} AS passed FROM k, b, cf, vf" for c, n in _REQUIRED.items()))
 def completion_gate(spark, sf_dir):
-    counts = quality.completion_counts(_facts(spark, sf_dir), _cases(spark, sf_dir), [], 5)
+    checks = V.tasks(spark, sf_dir).selectExpr("price > 50000 as passed")
+    counts = quality.completion_counts(_facts(spark, sf_dir), _cases(spark, sf_dir), [], 5, ["status"], checks)
     return quality.exact_counts(counts, _REQUIRED)
 
 
@@ -179,6 +184,20 @@ def task_contract(spark, sf_dir):
     return quality.task_contract(orders, changed, "o_orderkey", ["o_orderpriority", "o_totalprice"])
 
 
+@query("Q11_table_contract", """
+WITH t AS (SELECT family, task_id, priority_class, scenario_id, length(task_id::VARCHAR) || ':' || task_id AS i FROM v_tasks),
+d AS (SELECT *, sha256(i) AS a, sha256(i || length(scenario_id) || ':' || scenario_id || length(priority_class) || ':' || priority_class) AS b FROM t),
+s AS (SELECT family, count(*) AS n, count(DISTINCT task_id) AS u, """ + ", ".join(
+    f"sum(('0x' || substr({h}, {at}, 13))::BIGINT) AS {h}{at}" for h in "ab" for at in (1, 14, 27)) + """ FROM d GROUP BY family),
+l AS (SELECT family, string_agg(priority_class || '=' || n, ';' ORDER BY priority_class) AS label_counts FROM (SELECT family, priority_class, count(*) AS n FROM t GROUP BY ALL) GROUP BY family)
+SELECT family, n AS task_count, u AS unique_task_count, """ + ", ".join(
+    f"sha256(n || '|' || lpad({h}1::VARCHAR, 38, '0') || '|' || lpad({h}14::VARCHAR, 38, '0') || '|' || lpad({h}27::VARCHAR, 38, '0')) AS {name}"
+    for h, name in (("a", "ids_digest"), ("b", "rows_digest"))) + """, label_counts FROM s JOIN l USING (family)""")
+def table_contract(spark, sf_dir):
+    found = quality.table_contract(V.tasks(spark, sf_dir), "task_id", ["scenario_id", "priority_class"], "priority_class", ["family"])
+    return found.withColumn("label_counts", F.expr("array_join(transform(label_counts, x -> concat(x.label, '=', x.n)), ';')"))
+
+
 _PARTS_SQL = """p AS (SELECT 'part' || o.o_orderkey % 7 AS part, case_id, CASE WHEN o.o_orderkey % 500 = 3 THEN 'other' ELSE case_id END AS part_case, scenario_id,
   CASE WHEN o.o_orderkey % 300 = 5 THEN 'RUNNING' ELSE status END AS status, o.o_orderkey % 4 AS n_tasks FROM v_tasks JOIN orders o ON o_orderkey = task_id)"""
 
@@ -198,6 +217,52 @@ def partition_contract(spark, sf_dir):
     return quality.partition_contract(parts, expected)
 
 
+_TASK_PARTS_SQL = """r AS (SELECT 'C' || l_orderkey % 97 AS case_id, 'S' || l_orderkey AS scenario_id, l_linenumber + (l_orderkey % 50 = 0)::INT * 10 AS task_id,
+  'C' || CASE WHEN l_orderkey % 211 = 7 THEN 0 ELSE l_orderkey % 97 END AS part_case,
+  'p' || l_orderkey % 97 || '_' || CASE WHEN l_orderkey % 31 = 0 THEN l_linenumber % 2 ELSE 0 END AS part FROM lineitem),
+et AS (SELECT 'C' || c AS case_id, unnest(range(1, 4 + c % 3)) AS task_id FROM range(0, 97) t(c)),
+es AS (SELECT DISTINCT 'C' || o_orderkey % 97 AS case_id, 'S' || (o_orderkey + (o_orderkey % 43 = 0)::INT * 100000000) AS scenario_id FROM orders)"""
+
+
+@query("Q12_part_states", """
+SELECT family, 'ok' AS state, count(*) AS n_rows FROM v_tasks GROUP BY family""")
+def part_states(spark, sf_dir):
+    """Tasks written as one folder per family: every part is read and none is damaged."""
+    root = scratch_path(spark, "parts")
+    tables.write_table(V.tasks(spark, sf_dir).select("task_id", "price", "family").repartition("family"), root, "parquet", ["family"])
+    found = tables.part_states(spark, root, "task_id long, price double")
+    return found.selectExpr("regexp_extract(path, 'family=([^/]*)', 1) as family", "state", "n_rows").groupBy("family", "state").agg(F.expr("sum(n_rows) as n_rows"))
+
+
+@query("Q12_task_partitions", f"""
+WITH {_TASK_PARTS_SQL}, g AS (SELECT case_id, scenario_id, count(*) AS n, count(DISTINCT task_id) AS ids, count(DISTINCT part) AS np FROM r GROUP BY ALL),
+w AS (SELECT es.*, (SELECT count(*) FROM et WHERE et.case_id = es.case_id) AS want FROM es),
+h AS (SELECT r.case_id, r.scenario_id, count(DISTINCT r.task_id) AS known FROM r JOIN et ON r.case_id = et.case_id AND r.task_id = et.task_id GROUP BY ALL),
+j AS (SELECT g.*, w.want, coalesce(h.known, 0) AS known FROM g JOIN w USING (case_id, scenario_id) LEFT JOIN h USING (case_id, scenario_id))
+SELECT 'wrong_case' AS defect, part AS subject, count(*) AS n FROM r WHERE case_id <> part_case GROUP BY part
+UNION ALL SELECT 'unexpected_scenario', case_id || ':' || scenario_id, 1 FROM g ANTI JOIN es USING (case_id, scenario_id)
+UNION ALL SELECT 'missing_scenario', case_id || ':' || scenario_id, 1 FROM es ANTI JOIN g USING (case_id, scenario_id)
+UNION ALL SELECT 'several_parts', case_id || ':' || scenario_id, 1 FROM j WHERE np > 1
+UNION ALL SELECT 'repeated_tasks', case_id || ':' || scenario_id, n - ids FROM j WHERE n > ids
+UNION ALL SELECT 'missing_tasks', case_id || ':' || scenario_id, want - known FROM j WHERE want > known
+UNION ALL SELECT 'extra_tasks', case_id || ':' || scenario_id, ids - known FROM j WHERE ids > known""")
+def task_partitions(spark, sf_dir):
+    """Lines as task rows of their order: cases 0 to 96 expect three to five tasks; some parts, ids and scenarios are wrong."""
+    rows = V.table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('C', l_orderkey % 97) as case_id", "concat('S', l_orderkey) as scenario_id", "cast(l_linenumber + if(l_orderkey % 50 = 0, 10, 0) as long) as task_id",
+        "concat('C', if(l_orderkey % 211 = 7, 0, l_orderkey % 97)) as part_case", "concat('p', l_orderkey % 97, '_', if(l_orderkey % 31 = 0, l_linenumber % 2, 0)) as part")
+    tasks = spark.range(97).selectExpr("concat('C', id) as case_id", "explode(sequence(1L, 3 + id % 3)) as task_id")
+    scenarios = V.table(spark, sf_dir, "orders").selectExpr(
+        "concat('C', o_orderkey % 97) as case_id", "concat('S', o_orderkey + if(o_orderkey % 43 = 0, 100000000, 0)) as scenario_id")
+    return quality.task_partition_contract(rows, tasks, scenarios)
+
+
+@query("Q13_failed_rows", """
+SELECT family, task_id, passed FROM (SELECT family, task_id, CASE WHEN task_id % 9 <> 0 THEN price > 50000 END AS passed FROM v_tasks) WHERE NOT coalesce(passed, false)""")
+def failed_rows(spark, sf_dir):
+    return quality.failed_rows(V.tasks(spark, sf_dir).selectExpr("family", "task_id", "if(task_id % 9 <> 0, price > 50000, null) as passed"))
+
+
 @query("Q13_check_rollup", """
 SELECT family, count(*) AS checks, count(*) FILTER (coalesce(passed, false)) AS passed_checks, count(*) FILTER (NOT coalesce(passed, false)) AS failed_checks
 FROM (SELECT family, CASE WHEN task_id % 9 <> 0 THEN price > 50000 END AS passed FROM v_tasks) GROUP BY family""")
@@ -219,6 +284,41 @@ def entity_checks(spark, sf_dir):
     return quality.entity_checks(nodes.join(lists, "plane_id"), ["region"])
 
 
+_PLANES_SQL = """g AS (SELECT region, plane_id, count(*) AS plane_size, count(*) FILTER (is_central) AS n_central FROM v_nodes GROUP BY ALL),
+p AS (SELECT *, CASE WHEN plane_id % 3 = 0 THEN range(0, n_central) ELSE list_transform(range(0, n_central), lambda i: (i * plane_size) // n_central) END AS xs FROM g),
+q AS (SELECT *, CASE WHEN plane_id % 5 = 4 AND n_central > 0 THEN list_append(xs, xs[1]) ELSE xs END AS listed FROM p)"""
+
+
+@query("Q14_placement_checks", f"""
+WITH {_PLANES_SQL}, o AS (SELECT *, list_sort(listed) AS s, len(listed) AS n FROM q),
+z AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN i < n THEN s[i + 1] - s[i] ELSE s[1] + plane_size - s[i] END) AS gaps FROM o)
+SELECT region, plane_id, 'list_matches_count' AS "check", n = n_central AS passed FROM z
+UNION ALL SELECT region, plane_id, 'no_repeated_place', n = len(list_distinct(s)) FROM z
+UNION ALL SELECT region, plane_id, 'opposite_pairs', len(list_filter(s, lambda x: NOT list_contains(s, (x + plane_size // 2) % plane_size))) = 0 FROM z
+  WHERE n_central > 1 AND n_central % 2 = 0 AND n_central < plane_size AND plane_size % 2 = 0
+UNION ALL SELECT region, plane_id, 'equal_spacing', coalesce(list_max(gaps) - list_min(gaps) <= 1, true) FROM z
+  WHERE n_central > 1 AND n_central % 2 = 1 OR n_central > 1 AND n_central % 2 = 0 AND n_central < plane_size AND plane_size % 2 = 1""")
+def placement_checks(spark, sf_dir):
+    """Places are spread evenly, but for every third plane, where they are the first ones, and every fifth, which names one twice."""
+    planes = V.nodes(spark, sf_dir).groupBy("region", "plane_id").agg(F.expr("count(*) as plane_size"), F.expr("count_if(is_central) as n_central"))
+    spread = planes.withColumn("xs", F.expr(
+        "if(n_central = 0, array(), transform(sequence(0L, greatest(n_central, 1L) - 1), i -> if(plane_id % 3 = 0, i, i * plane_size div n_central)))"))
+    listed = spread.withColumn("xs", F.expr("if(plane_id % 5 = 4 and n_central > 0, array_append(xs, xs[0]), xs)"))
+    return quality.placement_checks(listed.withColumn("index_list", F.expr("array_join(xs, ';')")), ["region"])
+
+
+@query("Q14_expected_counts", """
+WITH e AS (SELECT r_name AS region, 200 + r_regionkey AS total, 5 + r_regionkey % 2 AS n_planes, 60::BIGINT AS n_central FROM region),
+c AS (SELECT region, count(*) AS nodes, count(*) FILTER (is_central) AS central FROM v_nodes GROUP BY region),
+j AS (SELECT e.*, coalesce(nodes, 0) AS nodes, coalesce(central, 0) AS central FROM e LEFT JOIN c USING (region)),
+x AS (SELECT region, 'planes_divide_total' AS "check", (total % n_planes)::BIGINT AS observed, 0::BIGINT AS required FROM j
+  UNION ALL SELECT region, 'node_count', nodes, total::BIGINT FROM j UNION ALL SELECT region, 'central_count', central, n_central FROM j)
+SELECT *, observed = required AS passed FROM x""")
+def expected_counts(spark, sf_dir):
+    wanted = V.table(spark, sf_dir, "region").selectExpr("r_name as region", "200L + r_regionkey as total", "5L + r_regionkey % 2 as n_planes", "60L as n_central")
+    return quality.expected_counts(V.nodes(spark, sf_dir), wanted, ["region"])
+
+
 @query("Q15_campaign_report", f"""
 WITH {_CASES_SQL}, p AS (SELECT count(*) AS present_rows, count(*) FILTER (status = 'COMPLETED') AS completed_rows, count(*) FILTER (status = 'NOT_APPLICABLE') AS not_applicable_rows, count(*) FILTER (status = 'FAILED') AS failed_rows FROM v_tasks),
 e AS (SELECT count(*) * 10 AS expected_rows, count(*) FILTER (success_marker) AS success_cases, count(*) FILTER (failed_marker) AS failed_cases FROM cs)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyfield.session import pinned
+
 ORDER_FILE, ORDER_ROW = "read_file", "read_row"
 
 
@@ -29,6 +34,45 @@ def read_parts(
     return df.select(*picks)
 
 
+#: Files looked into at a time among those that gave no rows.
+SILENT_FILES = 1000
+#: A Parquet file without rows is its footer only; a longer one that gives no rows is damaged.
+LONGEST_EMPTY = 64 << 20
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        states = []
+        for content in batch.column(batch.schema.get_field_index("content")).to_pylist():
+            try:
+                states.append("empty" if parquet.read_metadata(pa.BufferReader(content)).num_rows == 0 else "unreadable")
+            except (pa.ArrowInvalid, OSError):
+                states.append("unreadable")
+        yield pa.record_batch([batch.column(batch.schema.get_field_index("path")), pa.array(states)], ["path", "state"])
+
+
+def part_states(spark: SparkSession, root: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, bytes, n_rows, fingerprint, state) of every Parquet part below ``root``; damaged parts are named and do not end the job.
+
+    A part counts as ``ok`` if all its columns in ``schema`` can be read and give rows, ``empty`` if it is sound and has no rows, else
+    ``unreadable``. Parts are listed first, so one that gives nothing is still seen. Only the few that give no rows are opened again for
+    their footer. A part that breaks off midway keeps the rows before the damage; a contract on its scenarios shows the rest as missing.
+    ``fingerprint`` is an order-free hash of the rows.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", F.col("length").alias("bytes"))
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(root)
+    read = rows.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*[F.col(c) for c in rows.columns])).alias("fingerprint"))
+    plain = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
+    found = pinned(listed.join(read.withColumn("_plain", F.regexp_replace(F.url_decode(F.regexp_replace("_file", "[+]", "%2B")), "^file:/+", "file:/")), plain == F.col("_plain"), "left").select("path", "bytes", "n_rows", "fingerprint"))
+    silent = found.filter(f"n_rows is null and bytes <= {LONGEST_EMPTY}").select("path").toLocalIterator()
+    states = spark.createDataFrame([], "path string, state string")
+    while paths := [r["path"] for r in islice(silent, SILENT_FILES)]:
+        states = states.unionByName(spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_footers, "path string, state string"))
+    return found.join(states, "path", "left").select(
+        "path", "bytes", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "fingerprint",
+        F.when(F.col("n_rows").isNotNull(), "ok").otherwise(F.coalesce("state", F.lit("unreadable"))).alias("state"))
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | StructType, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV or .csv.gz with a header and a stated schema; a file without rows gives an empty typed frame."""
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
