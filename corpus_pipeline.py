@@ -22,24 +22,40 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.accepted(docs, language.fit(docs))
 
 
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells rows apart, and its name: the id, written so that text order is id order, then a hash of the text.
+
+    So a decision holds for its own row also where ids are null or used twice. Null ids come last; rows equal in both share a key.
+    """
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    number = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    shifted = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+    id_text = F.coalesce(shifted if number else F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))
+    return docs.withColumn(name, F.concat(id_text, F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")))), name
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays; one row of it, if the row itself is repeated.
 
     Documents without words are in no group and stay.
     """
-    found = jaccard.near_duplicates(docs, size=COPY_SHINGLE, percent=COPY_PERCENT)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    marked, key = with_key(docs)
+    found = jaccard.near_duplicates(marked.select(F.col(key).alias("doc_id"), "text"), size=COPY_SHINGLE, percent=COPY_PERCENT)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    repeated = found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    kept = marked.join(gone, key, "left_anti")
+    return kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     folder = scratch_path(spark, "phrase-index")
-    phrases.build_index(docs, folder)
+    marked, key = with_key(docs)
+    phrases.build_index(marked.select(F.col(key).alias("doc_id"), "text"), folder)
     found = phrases.contamination(spark, folder, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    return marked.join(found.where("contaminated").select(F.col("doc_id").alias(key)), key, "left_anti").select(docs.columns)
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
