@@ -11,7 +11,10 @@ from tallyfield.session import pinned
 
 #: Verdict, host and path prefix of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DAMPING, ROUNDS, CUT_EVERY = 0.85, 12, 4
+#: The rank that a further round could still move, over all hosts together, is at most ``TOLERANCE``.
+DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-4, 6
+#: A host with more than 1 of so many pages is looked up in a broadcast list, which has fewer hosts than this.
+HOT_SHARE = 256
 #: A host is blocked if its distrust exceeds its trust by this factor.
 FACTOR = 2.0
 
@@ -57,10 +60,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(family).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust). Trust is a personalised PageRank from the trusted seeds along the links, distrust one from the blocked seeds against
     them. ``seeds`` is (host, kind, weight) with kind trust or distrust; all weights together are brought to a sum of 1, so the two ranks can be
-    compared. Both run in one join a round; rank that reaches a host without out-edges ends there."""
+    compared. Both run in one join a round; rank that reaches a host without out-edges ends there.
+
+    Rounds go on until the ranks have settled: a round shrinks any difference by ``damping`` at least, so the change over the last rounds bounds
+    what is still to come."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     steps = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("share"))
@@ -68,14 +74,31 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
     start = pinned(seeds.select("kind", "host", (F.col("weight") / total).alias("seed")))
     rank = start.withColumnRenamed("seed", "rank")
-    for i in range(1, rounds + 1):
-        moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.union(start.select("kind", "host", F.col("seed") * (1 - damping))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % CUT_EVERY == 0:
-            rank = pinned(rank)
+    shrunk = damping**CUT_EVERY
+    while True:
+        before = rank
+        for _ in range(CUT_EVERY):
+            moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            rank = moved.union(start.select("kind", "host", F.col("seed") * (1 - damping))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = pinned(rank)
+        change = rank.union(before.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change")).agg(F.sum("change")).first()[0]
+        if (change or 0.0) * shrunk / (1 - shrunk) <= tolerance:
+            break
     return rank.groupBy("host").agg(F.coalesce(F.sum(F.expr("if(kind = 'trust', rank, 0)")), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.expr("if(kind = 'distrust', rank, 0)")), F.lit(0.0)).alias("distrust"))
 
 
+def looked_up(marked: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``marked`` with the trust and distrust of its hosts, null where ``ranks`` has none.
+
+    Hosts with more than 1 of ``HOT_SHARE`` rows, the empty one too, are looked up in a broadcast list; they are fewer than that, so its size is
+    bounded. The others are shuffled, and none of them can fill a task.
+    """
+    total = marked.count()
+    often = marked.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > total).select("host")
+    hot = pinned(often.join(ranks, "host", "left").select("host", "trust", "distrust"))
+    return marked.join(F.broadcast(hot), "host").unionByName(marked.join(F.broadcast(hot.select("host")), "host", "left_anti").join(ranks, "host", "left"))
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, factor: float = FACTOR) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page.
 
@@ -87,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, fac
     marked = judged(pages, rules)
     seeds = marked.where("verdict is not null and host <> ''").groupBy(F.expr("if(verdict = 'allow', 'trust', 'distrust')").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
     ranks = propagated(host_edges(pages), pinned(seeds)).where(f"distrust > {factor} * trust")
-    known = marked.join(ranks, "host", "left")
+    known = looked_up(marked, pinned(ranks))
     verdict = F.coalesce("verdict", F.when(F.col("distrust").isNotNull(), "block").otherwise("allow"))
     return known.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
