@@ -31,7 +31,7 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     while name in docs.columns:
         name += "_"
     number = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    shifted = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+    shifted = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
     id_text = F.coalesce(shifted if number else F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))
     return docs.withColumn(name, F.concat(id_text, F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")))), name
 
