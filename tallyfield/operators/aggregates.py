@@ -156,6 +156,18 @@ def eta_squared(df: DataFrame, keys: Sequence[str], factors: Sequence[str], metr
     )
 
 
+def effect_levels(df: DataFrame, keys: Sequence[str], factors: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """The level table behind :func:`eta_squared`: n, mean, std and exact p05 / p95 of each metric per (keys, factor, level).
+
+    Rows are repeated once per factor, then summarised together over ranges, so a level that holds most rows is spread as well.
+    Missing levels and missing values are left out; std is NULL for a single value.
+    """
+    rows = ", ".join(f"named_struct('factor', '{f}', 'level', cast({f} as double))" for f in factors)
+    long = df.selectExpr(*keys, *metrics, f"inline(array({rows}))").filter("level is not null")
+    found = distribution(long, [*keys, "factor", "level"], metrics, TAILS).filter("n > 0")
+    return found.select(*keys, "factor", "level", "metric", "n", "mean", "std", *TAILS)
+
+
 def factor_levels(df: DataFrame, keys: Sequence[str], factors: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Means per level of every single factor: one GROUPING SETS aggregation instead of a loop."""
     view = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in factors], *metrics)

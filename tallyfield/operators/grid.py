@@ -124,6 +124,29 @@ def case_manifest(bases: DataFrame, regions: Sequence[str], fractions: Sequence[
 
 # Families whose task rows are always kept.
 MAIN_FAMILIES = ("nominal", "unlimited", "policy_ablation", "task_size")
+# Limits of the nominal scenario, and the scenarios that keep transfers.
+NOMINAL_LIMITS = {"max_forwarding_hops": 3, "max_observer_copies": 3, "max_cn_copies": 5}
+TRANSFER_SCENARIOS = ("nominal_original", "unlimited_useful_deadline")
+
+
+def scenario_details(manifest: DataFrame, limits: Mapping[str, int] = NOMINAL_LIMITS, transfer_scenarios: Sequence[str] = TRANSFER_SCENARIOS) -> DataFrame:
+    """The manifest with hop and copy limits and what each scenario keeps.
+
+    Only the nominal scenario is limited; elsewhere -1 hops means any number and 0 copies means no limit. The main families keep task
+    detail; the named nominal and unlimited scenarios keep transfers.
+    """
+    quoted = lambda values: ", ".join(f"'{v}'" for v in values) or "null"
+    free = {"max_forwarding_hops": -1, "max_observer_copies": 0, "max_cn_copies": 0}
+    limited = [f"if(scenario_id = 'nominal_original', {int(limits[c])}L, {none}L) as {c}" for c, none in free.items()]
+    return manifest.selectExpr(
+        "*", *limited, f"family in ({quoted(MAIN_FAMILIES)}) as retain_task_metrics",
+        f"coalesce(family in ('nominal', 'unlimited') and scenario_id in ({quoted(transfer_scenarios)}), false) as retain_transfers",
+    )
+
+
+def repeated_scenarios(manifest: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, scenario_id, n) of ids that a campaign lists more than once; a sound manifest gives no rows."""
+    return manifest.groupBy(*keys, "scenario_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def retention_plan(

@@ -321,6 +321,16 @@ def eta_squared(spark, sf_dir):
     return rounded(agg.eta_squared(primary, ["scenario_id"], _FACTORS, [OBS, COV]))
 
 
+@query("A21_effect_levels", "WITH l AS (" + " UNION ALL ".join(
+    f"SELECT scenario_id, '{f}' AS factor, {f}::DOUBLE AS level, '{m}' AS metric, {m}::DOUBLE AS v FROM v_case_metrics WHERE {PRIMARY} AND {m} IS NOT NULL"
+    for f in _FACTORS for m in (OBS, COV)) + """)
+SELECT scenario_id, factor, level, metric, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.95), 6) AS p95
+FROM l WHERE level IS NOT NULL GROUP BY ALL""")
+def effect_levels(spark, sf_dir):
+    primary = V.case_metrics(spark, sf_dir).filter(PRIMARY)
+    return rounded(agg.effect_levels(primary, ["scenario_id"], _FACTORS, [OBS, COV]))
+
+
 @query("A22_factor_levels", " UNION ALL ".join(
     f"SELECT region, '{f}' AS factor, {f}::DOUBLE AS level, count(*) AS cases, round(avg({OBS}), 6) AS mean_{OBS}, round(avg({MBIT}), 6) AS mean_{MBIT} FROM v_case_metrics WHERE scenario_id = 'unlimited_useful_deadline' GROUP BY region, {f}"
     for f in _FACTORS))

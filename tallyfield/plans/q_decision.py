@@ -523,6 +523,23 @@ def scenario_manifest(spark, sf_dir):
     return rounded(made.drop("receiver_target", "failure_type"))
 
 
+@query("G02_scenario_details", f"""
+WITH {_SCENARIO_SQL} SELECT node_id, scenario_id, CASE WHEN scenario_id = 'nominal_original' THEN 3 ELSE -1 END::BIGINT AS max_forwarding_hops,
+  CASE WHEN scenario_id = 'nominal_original' THEN 3 ELSE 0 END::BIGINT AS max_observer_copies, CASE WHEN scenario_id = 'nominal_original' THEN 5 ELSE 0 END::BIGINT AS max_cn_copies,
+  family IN ('nominal', 'unlimited', 'policy_ablation', 'task_size') AS retain_task_metrics, scenario_id IN ('nominal_original', 'unlimited_useful_deadline') AS retain_transfers
+FROM v_nodes, sc""")
+def scenario_details(spark, sf_dir):
+    made = grid.scenario_details(grid.scenario_manifest(V.nodes(spark, sf_dir).select("node_id")))
+    return made.select("node_id", "scenario_id", "max_forwarding_hops", "max_observer_copies", "max_cn_copies", "retain_task_metrics", "retain_transfers")
+
+
+@query("G02_repeated_scenarios", f"""
+WITH {_SCENARIO_SQL} SELECT plane_id, scenario_id, count(*) AS n FROM v_nodes, sc GROUP BY ALL HAVING count(*) > 1""")
+def repeated_scenarios(spark, sf_dir):
+    """Nodes are their own campaigns; read by plane, an id comes once per node, so it repeats wherever a plane has several."""
+    return grid.repeated_scenarios(grid.scenario_manifest(V.nodes(spark, sf_dir).select("plane_id")), ["plane_id"])
+
+
 @query("G03_case_manifest", """
 WITH b AS (SELECT DISTINCT base_id AS found_base, n_satellites, n_planes, altitude_km, inclination_deg, split_part(case_id, '_F', 2)::BIGINT AS walker_f FROM v_cases)
 SELECT region, cn_fraction_percent, printf('T%03d_P%02d_H%04d_I%04d_CN%03d_F%d', n_satellites, n_planes, altitude_km::BIGINT, round_even(inclination_deg * 10, 0)::BIGINT, cn_fraction_percent::BIGINT, walker_f) AS case_id, found_base AS base_id

@@ -4,7 +4,7 @@ import os
 import shutil
 import tempfile
 
-from tallyfield.operators import quality
+from tallyfield.operators import grid, quality
 from tallyfield.sources import tables
 
 
@@ -75,3 +75,15 @@ def test_expected_counts_and_conflicts(spark):
     checks = spark.createDataFrame([(True,), (None,), (False,)], "passed boolean")
     row = quality.completion_counts(facts, cases, [], 2, ["status"], checks).first()
     assert (row["conflicting_duplicate_keys"], row["validation_failures"], row["duplicate_rows"], row["complete_cases"]) == (1, 2, 2, 1)
+
+
+def test_scenario_ids_are_unique_and_limits_hold(spark):
+    made = grid.scenario_manifest(spark.range(2).selectExpr("id as campaign"))
+    assert grid.repeated_scenarios(made, ["campaign"]).isEmpty()
+    assert grid.repeated_scenarios(made).count() == 539
+    rows = {r["scenario_id"]: r for r in grid.scenario_details(made.filter("campaign = 0")).collect()}
+    limited = {k for k, r in rows.items() if (r["max_forwarding_hops"], r["max_observer_copies"], r["max_cn_copies"]) == (3, 3, 5)}
+    assert limited == {"nominal_original"} and {k for k, r in rows.items() if r["retain_transfers"]} == {"nominal_original", "unlimited_useful_deadline"}
+    assert sum(r["retain_task_metrics"] for r in rows.values()) == 11
+    none = grid.scenario_details(made, transfer_scenarios=[]).filter("retain_transfers")
+    assert none.isEmpty()
