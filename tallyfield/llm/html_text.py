@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -44,6 +45,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int]] = []
+        #: Places of the open block elements, and open elements per name: no event walks over more than it closes.
+        self.blocks: list[int] = []
+        self.names: Counter[str] = Counter()
         self.words: list[str] = []
         self.tags = self.linked = self.containers = self.links = 0
         self.kinds: dict[int, str] = {}
@@ -73,11 +77,8 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.end_line()
-            at = len(self.open)
-            while tag != "br" and at and self.open[at - 1][0] not in BLOCK:
-                at -= 1
-            if tag != "br" and at and self.open[at - 1][0] == "p":
-                self.close_to(at - 1)
+            if tag != "br" and self.blocks and self.open[self.blocks[-1]][0] == "p":
+                self.close_to(self.blocks[-1])
         elif tag in ("td", "th"):
             self.words.append(" ")
         self.tags += 1
@@ -91,19 +92,26 @@ class Lines(HTMLParser):
             self.kinds[container] = tag
         if not dropped == self.state()[0] and tag not in BLOCK:
             self.end_line()
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.names[tag] += 1
         self.open.append((tag, dropped, container))
         self.links += tag == "a"
 
     def close_to(self, at: int) -> None:
         if self.state() != (self.open[at - 1][1:] if at else (False, 0)):
             self.end_line()
-        self.links -= sum(tag == "a" for tag, _, _ in self.open[at:])
+        for tag, _, _ in self.open[at:]:
+            self.names[tag] -= 1
+            self.links -= tag == "a"
         del self.open[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
-        for at in range(len(self.open) - 1, -1, -1):
+        for at in range(len(self.open) - 1, -1, -1) if self.names[tag] else ():
             if self.open[at][0] == tag:
                 self.close_to(at)
                 break
