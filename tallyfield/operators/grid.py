@@ -165,12 +165,15 @@ def retention_plan(
     )
 
 
-def volume_estimate(plan: DataFrame, n_tasks: str, keys: Sequence[str]) -> DataFrame:
-    """Rows a campaign will write: evaluations, retained task rows, evaluations with transfer detail."""
+def volume_estimate(plan: DataFrame, n_tasks: str, keys: Sequence[str], weight: str = "1L") -> DataFrame:
+    """Rows a campaign will write: evaluations, retained task rows, evaluations with transfer detail.
+
+    ``weight``: the number of evaluations that a row of the plan stands for.
+    """
     return plan.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("evaluations"),
-        F.expr(f"sum(if(keep_tasks, {n_tasks}, 0)) as task_rows"),
-        F.expr("count_if(keep_transfers) as transfer_evaluations"),
+        F.expr(f"sum({weight}) as evaluations"),
+        F.expr(f"sum(if(keep_tasks, {n_tasks} * {weight}, 0)) as task_rows"),
+        F.expr(f"sum(if(keep_transfers, {weight}, 0)) as transfer_evaluations"),
     )
 
 

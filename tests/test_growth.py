@@ -1,6 +1,13 @@
 """Steps whose cost must not grow faster than the input: their plans, and their results on small data."""
 
-from tallyfield.operators import spatial
+import pytest
+
+from tallyfield.operators import grid, spatial
+from tallyfield.plans import load
+from tallyfield.plans import views as V
+from tests.oracle import compare, duck
+
+SF = "/root/testdata/sf0.01"
 
 
 def _plan(df) -> str:
@@ -14,3 +21,16 @@ def test_geo_range_join_gathers_no_side_in_the_driver(spark):
     joined = spatial.geo_range_join(samples, tasks, 50.0, ("slat", "slon"), ("lat", "lon"), "i >= j")
     assert "Broadcast" not in _plan(joined)
     assert joined.filter("i < j").isEmpty() and not joined.filter("i = j").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["G04_retention_plan", "G05_volume_estimate"])
+def test_plan_counts_cases_before_the_scenarios(spark, monkeypatch, name):
+    """Rows that meet the scenarios are designs, not cases; repeated customers are one case, as in the SQL."""
+    met = []
+    made = grid.scenario_manifest
+    monkeypatch.setattr(grid, "scenario_manifest", lambda rows, *rest: met.append(rows) or made(rows, *rest))
+    table = V.table
+    monkeypatch.setattr(V, "table", lambda s, d, n: table(s, d, n).unionByName(table(s, d, n)) if n == "customer" and name[:3] == "G04" else table(s, d, n))
+    got = load.registered()[0][name](spark, SF)
+    assert met[0].count() <= 140 * 5
+    assert compare(got, duck(SF), load.registered()[1][name]) == []
