@@ -1,8 +1,12 @@
 """Steps whose cost must not grow faster than the input: their plans, and their results on small data."""
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tallyfield.operators import grid, spatial
+from tallyfield.operators import decision, grid, spatial
 from tallyfield.plans import load
 from tallyfield.plans import views as V
 from tests.oracle import compare, duck
@@ -34,3 +38,31 @@ def test_plan_counts_cases_before_the_scenarios(spark, monkeypatch, name):
     got = load.registered()[0][name](spark, SF)
     assert met[0].count() <= 140 * 5
     assert compare(got, duck(SF), load.registered()[1][name]) == []
+
+
+def test_equal_scores_round_as_the_sql_does(spark):
+    """Means of four components of nine digits lie in the middle of two roundings; the ranks depend on which way they go."""
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame(rng.integers(0, 10**9, (4000, 4)) / 1e9, columns=list("abcd")).assign(region="r", name=[f"c{i:04d}" for i in range(4000)])
+    mean = "(a + b + c + d) / 4"
+    want = duckdb.sql(f"SELECT name, round({mean}, 9) AS s FROM frame").df().set_index("name")["s"]
+    got = spark.createDataFrame(frame).select("name", decision.settled(F.expr(mean)).alias("s")).toPandas().set_index("name")["s"]
+    assert (got.sort_index() == want.sort_index()).all()
+    assert spark.sql("select -0.25D as x").select(decision.settled(F.col("x"), 1)).first()[0] == -0.3
+
+
+def test_weight_sweep_scores_no_case_per_step(spark, monkeypatch):
+    """Winners of every step against a plain loop; only cases that can win are scored, and no row is unfolded per step."""
+    rng = np.random.default_rng(5)
+    rows = [("r" if i % 3 else None, f"c{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 20, (300, 2)) / 20)]
+    df = spark.createDataFrame([*rows, ("r", "z", None, 9.0)], "region string, name string, x double, y double")
+    kept = []
+    leaders = decision.leaders
+    monkeypatch.setattr(decision, "leaders", lambda some, *rest: kept.append(some) or leaders(some, *rest))
+    got = {(r["region"], r["step"]): (r["winner"], r["utility"]) for r in decision.weight_sweep(df, "region", "name", "x", "y", 11).collect()}
+    for region in ("r", None):
+        for step in range(11):
+            scored = [(-round(step / 10 * x + (1 - step / 10) * y, 9), name) for g, name, x, y in rows if g == region]
+            best = min(scored)
+            assert got[region, step] == (best[1], pytest.approx(-best[0]))
+    assert kept and kept[0].count() < len(rows) / 3
