@@ -9,15 +9,20 @@ nothing is numbered or looked up: every task weighs its own rows, sums combine i
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.scalars import HASH_MODULUS, mixed, text_uniform
+from tallyfield.functions.scalars import HASH_MODULUS, mixed, mixed_numbers, text_uniform
 from tallyfield.operators.ordered import attach, numbered
 
 DRAWS = 1000
+#: Units that meet all draws at a time, and numbers a task holds before it gives its sums out.
+UNITS_A_BLOCK = 512
+HELD = 4_000_000
 
 
 def poisson_bounds(modulus: int = HASH_MODULUS) -> list[int]:
@@ -39,6 +44,48 @@ def unit_state(unit: Sequence[str], seed: int) -> Column:
     return mixed(F.lit(seed), part(1), part(8))
 
 
+def _drawn_sums(units: DataFrame, group: Sequence[str], parts: Sequence[str], draws: int) -> DataFrame:
+    """(group, _draw, parts): per task, the sums of ``parts`` times the unit's Poisson count in each draw.
+
+    A block of units meets all draws as one matrix of counts; sums are held per group and given out whenever they reach ``HELD`` numbers.
+    """
+    bounds = np.array(poisson_bounds(), dtype=np.int64)
+    numbers = np.arange(draws, dtype=np.int64)
+    kinds = dict(units.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for key, sums in held.items():
+                columns = {k: pa.array([v] * draws, type=types[k]) for k, v in zip(group, key)}
+                made = {c: sums[:, i] for i, c in enumerate(parts)}
+                yield pa.RecordBatch.from_pydict({**columns, "_draw": pa.array(numbers.astype(np.int32)), **made})
+            held.clear()
+
+        types: dict[str, pa.DataType] = {}
+        for batch in batches:
+            types = types or {k: batch.schema.field(k).type for k in group}
+            keys = list(zip(*[batch.column(k).to_pylist() for k in group])) if group else [()] * batch.num_rows
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            states = batch.column("_u").to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in parts])
+            for key, rows in places.items():
+                sums = held.setdefault(key, np.zeros((draws, len(parts))))
+                for a in range(0, len(rows), UNITS_A_BLOCK):
+                    block = rows[a:a + UNITS_A_BLOCK]
+                    weights = np.searchsorted(bounds, mixed_numbers(states[block, None], numbers), side="right")
+                    sums += weights.T.astype(float) @ values[block]
+                if len(held) * draws * len(parts) > HELD:
+                    yield from given()
+        yield from given()
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in group], "_draw int", *[f"{c} double" for c in parts]])
+    return units.mapInArrow(run, schema)
+
+
 def _interval(units: DataFrame, group: Sequence[str], unit: Sequence[str], values: Sequence[str], draws: int, seed: int) -> DataFrame:
     """(group, metric): means and intervals of sum(_s0) / sum(_c0) and so on, one pair of columns per entry of ``values``.
 
@@ -50,15 +97,9 @@ def _interval(units: DataFrame, group: Sequence[str], unit: Sequence[str], value
     )
     if draws > 1:
         parts = [c for i in at for c in (f"_s{i}", f"_c{i}")]
-        times = sum(((F.col("_h") >= b).cast("int") for b in poisson_bounds()), F.lit(0))
-        drawn = (
-            units.select(*group, unit_state(unit, seed).alias("_u"), *parts)
-            .select(*group, *parts, "_u", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
-            .select(*group, *parts, "_draw", mixed(F.col("_u"), F.col("_draw")).alias("_h"))
-            .select(*group, *parts, "_draw", times.alias("_w"))
-        )
+        drawn = _drawn_sums(units.select(*group, unit_state(unit, seed).alias("_u"), *[F.col(c).cast("double").alias(c) for c in parts]), group, parts, draws)
         # A draw in which no unit counts has no mean and is left out by the percentile.
-        means = drawn.groupBy(*group, "_draw").agg(*[F.expr(f"try_divide(sum(_w * _s{i}), sum(_w * _c{i})) as _m{i}") for i in at])
+        means = drawn.groupBy(*group, "_draw").agg(*[F.expr(f"try_divide(sum(_s{i}), sum(_c{i})) as _m{i}") for i in at])
         # The number of draws is a parameter, so a native percentile over them stays small.
         point = attach(point, means.groupBy(*group).agg(*[F.expr(f"percentile(_m{i}, array(0.025D, 0.975D)) as _b{i}") for i in at]), group)
     bound = lambda i, side: f"if(_n{i} = 1, _mean{i}, _b{i}[{side}])" if draws > 1 else f"_mean{i}"

@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import decision, grid, spatial
+from tallyfield.functions.scalars import mixed, mixed_numbers
+from tallyfield.operators import decision, grid, resample, spatial
 from tallyfield.plans import load
 from tallyfield.plans import views as V
 from tests.oracle import compare, duck
@@ -66,3 +67,22 @@ def test_weight_sweep_scores_no_case_per_step(spark, monkeypatch):
             best = min(scored)
             assert got[region, step] == (best[1], pytest.approx(-best[0]))
     assert kept and kept[0].count() < len(rows) / 3
+
+
+def test_bootstrap_weighs_units_inside_tasks(spark, monkeypatch):
+    """The same draws as the plain rule gives row by row, with small blocks and sums given out early, and no row unfolded per draw."""
+    monkeypatch.setattr(resample, "UNITS_A_BLOCK", 7)
+    monkeypatch.setattr(resample, "HELD", 50)
+    rows = [("a" if i % 3 else None, float(i % 2), i * 7919 % 2147483647, float(i % 13), i % 5 > 0) for i in range(200)]
+    units = spark.createDataFrame(rows, "g string, x double, _u long, _s0 double, _c0 boolean").withColumn("_c0", F.col("_c0").cast("double"))
+    made = resample._drawn_sums(units, ["g", "x"], ["_s0", "_c0"], 20)
+    assert "Generate" not in _plan(made)
+    got = made.groupBy("g", "x", "_draw").agg(F.sum("_s0"), F.sum("_c0")).collect()
+    times = sum(((F.col("h") >= b).cast("int") for b in resample.poisson_bounds()), F.lit(0))
+    plain = units.crossJoin(spark.range(20).selectExpr("cast(id as int) as _draw")).withColumn("h", mixed(F.col("_u"), F.col("_draw"))).withColumn("w", times)
+    want = plain.groupBy("g", "x", "_draw").agg(F.expr("sum(w * _s0)"), F.expr("sum(w * _c0)")).collect()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
+    big = np.array([0, 1, 2**31 - 2, 2**31 - 1, 2**31, 2**45], dtype=np.int64)
+    frame = spark.createDataFrame([(int(v),) for v in big], "v long").select("v", mixed(F.lit(3), F.col("v")).alias("m")).collect()
+    assert [r["m"] for r in frame] == mixed_numbers(np.int64(3), big).tolist()
