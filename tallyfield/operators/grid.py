@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.functions.ids import base_id, format_case_id
+from tallyfield.operators.ordered import attach
 
 
 def _literals(values: Sequence) -> Column:
@@ -62,17 +63,28 @@ SCENARIO_COLUMNS = (
 
 
 def scenario_manifest(anchor: DataFrame, config: Mapping[str, object] = DEFAULT_SCENARIOS) -> DataFrame:
-    """Every scenario of a campaign, exploded from the rows of ``anchor`` (one row: one campaign; or one row per case)."""
+    """Every scenario of a campaign, unfolded from the rows of ``anchor`` (one row: one campaign; or one row per case).
+
+    The scenarios depend on ``config`` alone: they are named once, and travel as one array. Rows of ``anchor`` are dealt out first, since a
+    small file would be one task that makes hundreds of rows from each of its own.
+    """
+    one = _scenarios(anchor.sparkSession, config).agg(F.collect_list(F.struct(*SCENARIO_COLUMNS)).alias("_scenarios"))
+    dealt = anchor.repartition(int(anchor.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return attach(dealt, one, []).selectExpr(*anchor.columns, "inline(_scenarios)")
+
+
+def _scenarios(spark: SparkSession, config: Mapping[str, object]) -> DataFrame:
+    """The scenarios of one campaign, one row each."""
+    anchor = spark.range(1)
     plain = {
         "topology": "'central_only'", "routing_policy": "'targeted_central'", "receiver_target": "'all_useful'",
         "delivery_cutoff": "'deadline'", "task_size_multiplier": "1D", "failure_type": "'none'",
         "failure_level_percent": "0D", "replicate": "0L", "capacity_factor": "1D",
     }
-    keep = anchor.columns
 
     def made(df: DataFrame, **columns: str) -> DataFrame:
         merged = {**plain, **columns}
-        return df.selectExpr(*keep, *[f"{merged[c]} as {c}" for c in SCENARIO_COLUMNS])
+        return df.selectExpr(*[f"{merged[c]} as {c}" for c in SCENARIO_COLUMNS])
 
     doubles = lambda values: "array(" + ", ".join(f"{float(v)}D" for v in values) + ")"
     names = lambda values: "array(" + ", ".join(f"'{v}'" for v in values) + ")"
