@@ -86,3 +86,39 @@ def test_bootstrap_weighs_units_inside_tasks(spark, monkeypatch):
     big = np.array([0, 1, 2**31 - 2, 2**31 - 1, 2**31, 2**45], dtype=np.int64)
     frame = spark.createDataFrame([(int(v),) for v in big], "v long").select("v", mixed(F.lit(3), F.col("v")).alias("m")).collect()
     assert [r["m"] for r in frame] == mixed_numbers(np.int64(3), big).tolist()
+
+
+def test_large_tables_are_dealt_out_by_rows(spark, monkeypatch):
+    """Rows of a task do not grow with the table, whatever the files' compressed size; small tables are left alone."""
+    assert V.spread(spark, SF, "lineitem", "l_orderkey").rdd.getNumPartitions() < 16
+    monkeypatch.setattr(V, "LARGE", 1000)
+    monkeypatch.setattr(V, "ROWS_A_TASK", 1000)
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_custkey")):
+        table = V.table(spark, SF, name)
+        made = V.spread(spark, SF, name, key)
+        sizes = made.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert sizes[0] < 1500 and sizes[1] == table.count()
+    query, sql = load.registered()
+    assert compare(query["A33_unique_task_counts"](spark, SF), duck(SF), sql["A33_unique_task_counts"]) == []
+
+
+def test_scenarios_are_named_once(spark):
+    """One file of nodes is not one task, and no text is put together per node and scenario."""
+    nodes = spark.range(0, 100, 1, 1).withColumnRenamed("id", "node")
+    made = grid.scenario_manifest(nodes)
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+    assert made.count() == 100 * made.select("scenario_id").distinct().count() == 100 * 539
+    per_row = _plan(made).split("BroadcastExchange")[0]
+    assert "format_string" not in per_row
+
+
+def test_rank_distribution_holds_places_per_case(spark):
+    """Places of a case are as many as the draws: no ranges are drawn over all of them a second time."""
+    df = spark.createDataFrame([("r", f"c{i:02d}", i / 40, (i * 7 % 40) / 40) for i in range(40)], "region string, name string, x double, y double")
+    made = decision.rank_distribution(df, "region", "name", ["x", "y"], 9)
+    assert _plan(made).count("Window") <= 3
+    scored = decision._scored(df, "region", "name", ["x", "y"], 9, 11).toPandas().sort_values(["draw", "score", "name"], ascending=[True, False, True])
+    scored["place"] = scored.groupby("draw").cumcount() + 1.0
+    want = scored.groupby("name")["place"].agg(["mean", "median", lambda p: p.quantile(0.05), lambda p: p.quantile(0.95), "min", "max"])
+    got = made.drop("region", "draws").toPandas().set_index("name").sort_index()
+    assert np.allclose(got.to_numpy(float), want.sort_index().to_numpy())
