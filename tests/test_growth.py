@@ -122,3 +122,11 @@ def test_rank_distribution_holds_places_per_case(spark):
     want = scored.groupby("name")["place"].agg(["mean", "median", lambda p: p.quantile(0.05), lambda p: p.quantile(0.95), "min", "max"])
     got = made.drop("region", "draws").toPandas().set_index("name").sort_index()
     assert np.allclose(got.to_numpy(float), want.sort_index().to_numpy())
+
+
+def test_cases_of_a_small_file_are_dealt_out(spark, monkeypatch):
+    """Customers come as one file, so one task; each case becomes several expected rows."""
+    monkeypatch.setattr(V, "ROWS_A_TASK", 100)
+    assert V.cases(spark, SF).select(F.spark_partition_id()).distinct().count() > 1
+    query, sql = load.registered()
+    assert compare(query["J07_missing_combinations"](spark, SF), duck(SF), sql["J07_missing_combinations"]) == []
