@@ -19,9 +19,9 @@ from tallyfield.session import pinned
 LEVELS = 14  # dyadic levels of the time index
 
 
-def _point_cells(at: str) -> str:
-    """SQL array of the dyadic cells (level, number) that hold leaf ``at``, one a level."""
-    return f"transform(sequence(0, {LEVELS}), l -> named_struct('level', l, 'cell', shiftright({at}, l)))"
+def _point_cells(at: str, top: int = LEVELS) -> str:
+    """SQL array of the dyadic cells (level, number) that hold leaf ``at``, one a level up to ``top``."""
+    return f"transform(sequence(0, {top}), l -> named_struct('level', l, 'cell', shiftright({at}, l)))"
 
 
 def _cover_cells(lo: str, hi: str) -> str:
@@ -45,17 +45,19 @@ def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span:
     Two intervals overlap if the first begins in the second, or the second begins after the first's
     beginning and in it. Each case is a point in an interval: the point is looked up by the cells that hold it, the
     interval by the cells that make it up, which share exactly one cell. So a row is stored O(log) times, however
-    long its interval. Other columns of the two sides must differ; callers keep the exact overlap.
+    long its interval. ``right`` should be pinned: its longest interval is looked up first. Other columns of the two sides must differ; callers keep the exact overlap.
     """
     leaf_of = lambda c: f"cast(floor({c} / {float(leaf)}D) as long)"
     spans = lambda df, span: df.selectExpr("*", f"{leaf_of(span[0])} as _lo", f"{leaf_of(span[1])} as _hi")
     a, b = spans(left, left_span), spans(right, right_span)
-    at = lambda df: df.selectExpr("*", f"inline({_point_cells('_lo')})").drop("_lo", "_hi")
+    at = lambda df, top=LEVELS: df.selectExpr("*", f"inline({_point_cells('_lo', top)})").drop("_lo", "_hi")
     cover = lambda df, lo: df.selectExpr("*", f"inline({_cover_cells(lo, '_hi')})").drop("_lo", "_hi")
     on = [*keys, "level", "cell"]
     # A row whose end lies before its beginning overlaps nothing.
     a, b = a.filter("_lo <= _hi"), b.filter("_lo <= _hi")
-    begun = at(a).join(cover(b, "_lo"), on)
+    # An interval is made up of cells no longer than itself, so points need no copy on levels above the longest one's.
+    longest = b.agg(F.expr("max(_hi - _lo + 1)")).first()[0] or 1
+    begun = at(a, min(LEVELS, int(longest).bit_length() - 1)).join(cover(b, "_lo"), on)
     later = cover(a, "(_lo + 1)").join(at(b), on)
     return begun.unionByName(later).drop("level", "cell")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions.scalars import mixed, mixed_numbers
-from tallyfield.operators import decision, grid, resample, spatial
+from tallyfield.operators import contacts, decision, grid, resample, spatial
 from tallyfield.plans import load
 from tallyfield.plans import views as V
 from tests.oracle import compare, duck
@@ -130,3 +130,16 @@ def test_cases_of_a_small_file_are_dealt_out(spark, monkeypatch):
     assert V.cases(spark, SF).select(F.spark_partition_id()).distinct().count() > 1
     query, sql = load.registered()
     assert compare(query["J07_missing_combinations"](spark, SF), duck(SF), sql["J07_missing_combinations"]) == []
+
+
+def test_points_are_copied_no_higher_than_the_longest_interval(spark, monkeypatch):
+    """Contacts of one leaf need one copy of each waiting row, not one a level."""
+    made = []
+    cells = contacts._point_cells
+    monkeypatch.setattr(contacts, "_point_cells", lambda at, top=contacts.LEVELS: made.append(top) or cells(at, top))
+    left = spark.range(200).selectExpr("0L as k", "id * 50D as a0", "id * 50D + id % 9 * 400 as a1", "id as i")
+    right = spark.range(200).selectExpr("0L as k", "id * 37D as b0", "id * 37D + 20 as b1", "id as j")
+    met = contacts.overlaps(left, right, ["k"], ("a0", "a1"), ("b0", "b1"), 100.0).filter("a0 <= b1 and b0 <= a1").select("i", "j").collect()
+    assert min(made) <= 1
+    want = {(i, j) for i in range(200) for j in range(200) if i * 50 <= j * 37 + 20 and j * 37 <= i * 50 + i % 9 * 400}
+    assert len(met) == len(set(met)) and {tuple(r) for r in met} == want
