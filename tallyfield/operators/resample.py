@@ -58,9 +58,9 @@ def _drawn_sums(units: DataFrame, group: Sequence[str], parts: Sequence[str], dr
 
         def given() -> Iterator[pa.RecordBatch]:
             for key, sums in held.items():
-                columns = {k: pa.array([v] * draws, type=types[k]) for k, v in zip(group, key)}
-                made = {c: sums[:, i] for i, c in enumerate(parts)}
-                yield pa.RecordBatch.from_pydict({**columns, "_draw": pa.array(numbers.astype(np.int32)), **made})
+                fields = [pa.array(numbers.astype(np.int32)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(parts))]]
+                rows = pa.ListArray.from_arrays(pa.array([0, draws], pa.int32()), pa.StructArray.from_arrays(fields, ["_draw", *parts]))
+                yield pa.RecordBatch.from_pydict({**{k: pa.array([v], type=types[k]) for k, v in zip(group, key)}, "_sums": rows})
             held.clear()
 
         types: dict[str, pa.DataType] = {}
@@ -82,8 +82,8 @@ def _drawn_sums(units: DataFrame, group: Sequence[str], parts: Sequence[str], dr
                     yield from given()
         yield from given()
 
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in group], "_draw int", *[f"{c} double" for c in parts]])
-    return units.mapInArrow(run, schema)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in group], f"_sums array<struct<_draw: int, {', '.join(f'{c}: double' for c in parts)}>>"])
+    return units.mapInArrow(run, schema).select(*group, F.explode("_sums").alias("_sum")).select(*group, "_sum.*")
 
 
 def _interval(units: DataFrame, group: Sequence[str], unit: Sequence[str], values: Sequence[str], draws: int, seed: int) -> DataFrame:
