@@ -24,9 +24,6 @@ FREQUENT_IN_SLICE, FREQUENT = 2, 1 << 19
 HEAD_ROUNDS = 1
 #: Heads that a set is held against in a round.
 HEADS = 3
-#: Pairs left open share this part (one in so many) of the shingles that two whole prefixes must share within a shorter part of both. A larger
-#: number makes fewer joined rows and more pairs to compare, never other links.
-EARLY = 4
 #: A pair with the smaller key first.
 ORDERED = ["least(a, b) as a", "if(a < b, na, nb) as na", "greatest(a, b) as b", "if(a < b, nb, na) as nb"]
 #: Bits of the fixed-size filter that keeps sets without any candidate pair from being shipped.
@@ -207,18 +204,30 @@ class Join:
         p = self.percent
         return f"{times} >= ({p} * ({a} + {b}) + {99 + p}) div {100 + p} - ({p} * greatest({a}, {b}) + 99) div 100 + 1"
 
-    def early_times(self, a: str, b: str) -> str:
-        """How many shared shingles early in both prefixes are asked of sets that the heads left open; at most those that `enough` asks of whole prefixes."""
+    def early(self, i: str, j: str, a: str, b: str) -> str:
+        """Condition that a shingle at places ``i`` and ``j`` can be the first that two linked sets share.
+
+        A link needs an overlap of m = ceil(percent (a + b) / (100 + percent)); behind the first shared shingle, either set holds m - 1 more. A set
+        whose own shingles fill these places, as one edited too much to link with others of its group, meets none of them.
+        """
         p = self.percent
-        return f"(1 + (({p} * ({a} + {b}) + {99 + p}) div {100 + p} - ({p} * greatest({a}, {b}) + 99) div 100) div {EARLY})"
+        need = f"(({p} * ({a} + {b}) + {99 + p}) div {100 + p})"
+        return f"{i} <= {a} - {need} and {j} <= {b} - {need}"
 
-    def early(self, i: str, j: str, a: str, b: str) -> str:
-        """Condition that a shingle at places ``i`` and ``j`` can be among the first ``early_times`` that two linked sets share.
+    def open_pairs(self, left_open: DataFrame) -> DataFrame:
+        """(a, na, b, nb): pairs of classes of different components that share a shingle early in both prefixes."""
+        x, y = left_open.alias("x"), left_open.alias("y")
+        met = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')} and {self.early('x.i', 'y.i', 'x.n', 'y.n')}"))
+        return met.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").distinct()
+
+    def enough_shared(self, pairs: DataFrame, left_open: DataFrame) -> DataFrame:
+        """Of :meth:`open_pairs`, those whose prefixes share enough for a link.
 
-        A link needs an overlap of m = ceil(percent (a + b) / (100 + percent)). Behind the t-th shared shingle, either set holds m - t more.
+        ``left_open`` has the prefix shingles of groups with several components, so all that such a pair shares. The list of a class is bounded by its own set.
         """
-        need = f"(({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent} - {self.early_times(a, b)})"
-        return f"{i} <= {a} - 1 - {need} and {j} <= {b} - 1 - {need}"
+        prefix = left_open.join(pairs.select("a").union(pairs.select("b")).distinct().toDF("c"), "c", "left_semi").groupBy("c").agg(F.collect_list("sig").alias("sigs"))
+        both = pairs.join(prefix.toDF("a", "left"), "a").join(prefix.toDF("b", "right"), "b")
+        return both.where(self.enough("size(array_intersect(left, right))", "na", "nb")).select("a", "na", "b", "nb")
 
     def heads(self, met: DataFrame, roots: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
         """(a, na, b, nb): each class b with up to ``HEADS`` heads a of other components, those it meets in most signature groups, not tried before.
@@ -249,7 +258,7 @@ class Join:
 
         In rounds, every set is held against a few of its candidates, heads of signature groups that it meets most often and that lie in other
         components by then. This settles groups of many near copies with a few comparisons each. Then all candidate pairs that still lie
-        in different components are compared, if they share enough shingles early in both prefixes.
+        in different components are compared, if their prefixes share a shingle early and enough in all.
         """
         group = Window.partitionBy("sig")  # of at most one row per class, as a set holds a shingle once
         rows = self.prefixes().select("sig", "c", "n", "i", F.min("c").over(group).alias("head"), F.max("c").over(group).alias("other"))
@@ -267,12 +276,9 @@ class Join:
         marked = met.join(roots.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", "n", "i", F.coalesce("root", "c").alias("root"))
         open_ = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
         left_open = pinned(marked.join(open_, "sig"))
-        x, y = left_open.alias("x"), left_open.alias("y")
-        rest = x.join(y, F.expr(f"x.sig = y.sig and x.c < y.c and x.root <> y.root and {self.near('x.n', 'y.n')} and {self.early('x.i', 'y.i', 'x.n', 'y.n')}"))
-        rest = rest.selectExpr("x.c as a", "cast(x.n as long) as na", "y.c as b", "cast(y.n as long) as nb").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"))
-        rest = rest.where(f"times >= {self.early_times('na', 'nb')}").drop("times")
         done = tried.selectExpr("least(a, b) as a", "greatest(a, b) as b")
-        rest = pinned(rest.join(done, ["a", "b"], "left_anti"))
+        rest = pinned(self.open_pairs(left_open).join(done, ["a", "b"], "left_anti"))
+        rest = pinned(self.enough_shared(rest, left_open))
         return linked.union(self.verified(rest))
 
 
