@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +27,10 @@ CLOCK = -(1 << 63)
 _FAR = "timestamp'2262-01-01 00:00:00'"
 
 
+def _given(seconds: float | None) -> bool:
+    return seconds is not None and not math.isnan(seconds)
+
+
 class _Deadline(StatefulProcessor):
     """State per task: its deadline, whether it is closed, the newest time seen, and arrivals that still wait for a decision.
 
@@ -43,29 +47,25 @@ class _Deadline(StatefulProcessor):
         self.task = handle.getValueState("task", STATE)
         self.waiting = handle.getListState("waiting", "at double")
 
-    def _rows(self, key, rows: list[tuple[str, float]]) -> pd.DataFrame:
-        return pd.DataFrame({
-            "task_id": pd.Series([key[0]] * len(rows), dtype="int64"),
-            "outcome": pd.Series([r[0] for r in rows], dtype=object),
-            "at_sec": pd.Series([r[1] for r in rows], dtype="float64"),
-        })
+    def _rows(self, key, rows: list[tuple[str, float]]) -> Iterator[Row]:
+        return (Row(task_id=key[0], outcome=outcome, at_sec=at) for outcome, at in rows)
 
     def _alarm(self, at: float, timerValues) -> None:
         # A timer at or before the watermark would not fire again, so it is set just after it.
         self.handle.registerTimer(max(math.ceil(at * 1000), timerValues.getCurrentWatermarkInMs() + 1))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] == CLOCK:
             return
-        deadline, closed, seen = self.task.get() if self.task.exists() else (None, False, None)
+        kept = self.task.get()
+        deadline, closed, seen = kept or (None, False, None)
         known, before = deadline, closed
         arrived: list[float] = []
-        for part in rows:
-            opened = part.loc[part["kind"] == "task", "deadline_sec"].dropna()
-            if len(opened) and not closed:
-                least = float(opened.min())
-                deadline = least if deadline is None else min(deadline, least)
-            arrived += [float(t) for t in part.loc[part["kind"] == "arrival", "event_sec"].dropna()]
+        for row in rows:
+            if row["kind"] == "task" and _given(row["deadline_sec"]) and not closed:
+                deadline = row["deadline_sec"] if deadline is None else min(deadline, row["deadline_sec"])
+            elif row["kind"] == "arrival" and _given(row["event_sec"]):
+                arrived.append(row["event_sec"])
         out: list[tuple[str, float]] = []
         if deadline is None:
             if arrived:
@@ -75,7 +75,7 @@ class _Deadline(StatefulProcessor):
                     self._alarm(newest + self.retention, timerValues)
                 self.task.update((None, False, newest))
             return
-        if known is None:
+        if known is None and kept:
             arrived += [row[0] for row in self.waiting.get()]
             self.waiting.clear()
         if deadline != known:
@@ -86,14 +86,15 @@ class _Deadline(StatefulProcessor):
             out += [("late", t) for t in sorted(arrived) if t > deadline]
             in_time = [t for t in arrived if t <= deadline]
             seen = min([*in_time, *([seen] if known is not None and seen is not None else [])], default=None)
-        self.task.update((deadline, closed, seen))
-        if out:
-            yield self._rows(key, out)
+        if (deadline, closed, seen) != kept:
+            self.task.update((deadline, closed, seen))
+        yield from self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.task.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.task.get()
+        if not kept:
             return
-        deadline, closed, seen = self.task.get()
+        deadline, closed, seen = kept
         now = timerValues.getCurrentWatermarkInMs() / 1000
         out: list[tuple[str, float]] = []
         if deadline is None:
@@ -110,8 +111,7 @@ class _Deadline(StatefulProcessor):
                 self.task.clear()
             elif closed:
                 self._alarm(deadline + self.retention, timerValues)
-        if out:
-            yield self._rows(key, out)
+        yield from self._rows(key, out)
 
     def close(self) -> None:
         pass
@@ -142,7 +142,7 @@ def deadline_monitor(log: DataFrame, lateness: str = "0 seconds", retention_sec:
     ticks = clock.select(F.lit(CLOCK).alias("task_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("event_sec", "double"), ("deadline_sec", "double"))], "clock_ts")
     return (
         rows.unionByName(ticks).groupBy("task_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Deadline(retention_sec), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
         )
     )
