@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import jaccard, language, packing, phrases, pii
-from tallyfield.llm.common import table
+from tallyfield.llm.common import small_batches, table
 from tallyfield.session import scratch_path
 
 
@@ -19,6 +19,7 @@ COPY_SHINGLE, COPY_PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are far from every language's centroids, or have no letters, go."""
+    small_batches(spark)
     return language.accepted(docs, language.fit(docs))
 
 
@@ -41,6 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are in no group and stay.
     """
+    small_batches(spark)
     marked, key = with_key(docs)
     found = jaccard.near_duplicates(marked.select(F.col(key).alias("doc_id"), "text"), size=COPY_SHINGLE, percent=COPY_PERCENT)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
@@ -60,6 +62,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found span gives way to its kind in angle brackets; n_chars follows the text."""
+    small_batches(spark)
     return pii.masked(docs, pii.fit(docs))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm.common import column, native_id_type, slices, table, texts
+from tallyfield.llm.common import column, native_id_type, slices, small_batches, table, texts
 from tallyfield.llm.registry import query
 from tallyfield.llm.tokens import default_tokenizer, encoder
 
@@ -48,6 +48,7 @@ def pack(documents: DataFrame, capacity: int = 1024, end_id: int = 0, slack: int
     Null or empty text: the end id alone. Repeated rows are packed each for itself. An empty table gives no rows. Sequence ids are the
     partition number shifted by 33 bits plus a count, so they are unique in the result; other columns of the input are not read.
     """
+    small_batches(documents.sparkSession)
     path = tokenizer or default_tokenizer()
     spare = capacity // 64 if slack is None else slack
     kind = native_id_type(documents)
