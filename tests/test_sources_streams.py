@@ -1,5 +1,7 @@
 """Reading drifting parts, broken manifests and checksums; incremental ingest and the deadline monitor."""
 
+import hashlib
+import random
 import tempfile
 
 from tallyfield.sources import files, tables
@@ -34,6 +36,23 @@ def test_empty_csv_is_typed(spark):
     assert df.count() == 0 and df.dtypes == [("a", "int"), ("b", "string")]
 
 
+def test_checksums_in_legs(spark):
+    """Files longer than a leg: ends with and without newline, byte order mark, no or only newlines, any bytes, and a name that Spark would unpack."""
+    root, noise = _dir(), random.Random(3).randbytes(12_000)
+    contents = {
+        "noise": noise, "noise end": noise + b"\n", "mark": b"\xef\xbb\xbf" + noise, "mark end": b"\xef\xbb\xbfa\r\n" + noise + b"\n\n", "one line": b"x" * 9000,
+        "newlines": b"\n" * 5000, "crlf": b"a\r\nb\r" * 3000, "zeros": bytes(7000), "late": b"x" * 6000 + b"\n" + b"y" * 3000, "n.gz": noise, "short": b"a\nb",
+    }
+    for name, data in contents.items():
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(data)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    got = {r["path"]: (r["bytes"], r["sha256"]) for r in files.checksum_manifest(session, root, leg_bytes=4000).collect()}
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
+
+
 def test_verify_manifest_reports_each_problem(spark):
     root = _dir()
     for name in ("same", "changed", "extra"):
