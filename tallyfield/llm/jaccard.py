@@ -103,7 +103,7 @@ class Join:
         schema = f"doc_id {self.kind}, n long, c long, sig long"
         self.docs.mapInArrow(run, f"{schema}, kind string").write.partitionBy("kind").parquet(folder)
         every = self.spark.read.schema(f"{schema}, kind string").parquet(folder)
-        top = every.where("kind = 'frequent'").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT).toPandas()
+        top = every.where("kind = 'frequent'").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT).toArrow()
         order = np.argsort(top["sig"].to_numpy().astype(np.uint64))
         self.frequent = (top["sig"].to_numpy().astype(np.uint64)[order], top["n"].to_numpy()[order].astype(np.int64))
         members = every.where("kind = 'member'").select("doc_id", "n", "c")
@@ -153,10 +153,9 @@ class Join:
         """
         bits = FILTER_BITS
         keys = wanted.join(self.least, "c").select(F.expr(f"pmod(xxhash64(doc_id), {bits})").alias("bit"))
-        words = keys.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask")).collect()
+        words = keys.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask")).toArrow()  # a fixed number of words at most
         filter_ = np.zeros(bits // 64, np.int64)
-        for word, mask in words:  # a fixed number of words at most
-            filter_[word] = mask
+        filter_[words["word"].to_numpy()] = words["mask"].to_numpy()
         held = self.spark.sparkContext.broadcast(filter_)
         size = self.size
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,21 +112,21 @@ def fit(documents: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model
             out.append((used.tolist(), whole[used].tolist(), [w for _, w in rows]))
         return pa.record_batch([column(batch, "lang"), column(batch, "draw"), *[pa.array(c, pa.list_(t)) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)]], ["lang", "draw", "used", "times", "windows"])
 
-    rows = mapped(chosen, "text", sparse, "lang string, draw double, used array<int>, times array<int>, windows array<string>").toPandas().sort_values(["lang", "draw"])
+    rows = mapped(chosen, "text", sparse, "lang string, draw double, used array<int>, times array<int>, windows array<string>").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
     model = Model([], np.zeros((0, 1 << BITS), np.float32), idf, np.zeros((0, LONGEST + 1)))
     found, kept = [], []
-    for language, group in rows.groupby("lang", sort=True):
-        group = group.head(sample)
+    for language in pc.unique(rows["lang"]).to_pylist():
+        group = rows.filter(pc.equal(rows["lang"], language)).slice(0, sample)
         vectors = np.zeros((len(group), 1 << BITS), np.float32)
         for i, (used, times) in enumerate(zip(group["used"], group["times"], strict=True)):
             counts = np.zeros(1 << BITS)
-            counts[np.asarray(used, np.int64)] = times
+            counts[used.values.to_numpy()] = times.values.to_numpy()
             vectors[i] = model.vector(counts)
         own = clusters(vectors, k, ROUNDS)
         least = np.zeros(LONGEST + 1)
         cosines: dict[int, list[float]] = {}
         for windows in group["windows"]:
-            for window in windows:
+            for window in windows.as_py():
                 cosines.setdefault(len(window).bit_length() - 1, []).append(float(np.max(own @ model.vector(counts_of(window)))))
         for length, values in cosines.items():
             least[length] = MARGIN * np.quantile(values, 0.01) if len(values) >= 20 else 0.0
