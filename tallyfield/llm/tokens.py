@@ -33,7 +33,7 @@ class Encoder:
     """``encode(texts)`` gives each text's ids, equal to ``Tokenizer.encode`` with ``add_special_tokens=False``.
 
     A byte-level BPE never joins across the start of a run of white space, so a text may be cut there and the ids of each
-    chunk remembered. Texts with two adjacent spaces take a pattern for the cut, all others the plain split at spaces; new pieces of
+    chunk remembered. Texts with a space behind white space take a pattern for the cut, all others the plain split at spaces; new pieces of
     these go to the model side by side, and a token that begins with a space begins a piece. Any other kind of tokenizer encodes whole texts.
     """
 
@@ -54,6 +54,8 @@ class Encoder:
         self.added = [t["content"] for t in parts.get("added_tokens") or [] if t["content"]]
         self.split = regex.compile(BYTE_LEVEL_SPLIT)
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        #: A space behind white space is inside a run, where a text may not be cut.
+        self.inside = [c + " " for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c)]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.room = MEMO_BYTES
@@ -155,7 +157,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if any(a in text for a in self.added):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            elif "  " in text:
+            elif any(r in text for r in self.inside):
                 out[i] = np.frombuffer(b"".join(map(self.remembered, self.chunk.findall(text))), "<u4")
             else:
                 plain.append(i)

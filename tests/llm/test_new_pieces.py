@@ -46,3 +46,8 @@ def test_words_in_use_outlive_a_full_memo(monkeypatch):
         e.encode([f"common words {' '.join(f'x{i}y{j}' for j in range(30))}"])
         assert " words" in e.memo
         assert len(e.memo) + len(e.old) < 400
+
+
+def test_spaces_inside_white_space():
+    e, text = tokens.Encoder(tokens.default_tokenizer()), "e!a \u2003 \xa0 \xa0\u3000 \x1f'll"
+    assert e.encode([text])[0].tolist() == Tokenizer.from_file(tokens.default_tokenizer()).encode(text, add_special_tokens=False).ids
