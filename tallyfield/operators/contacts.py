@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from tallyfield.operators.resample import sample_fraction
 from tallyfield.operators.skyline import two_objective_front
 from tallyfield.operators.topk import targeted_nodes
 from tallyfield.functions.tables import check_counts
-from tallyfield.session import pinned
+from tallyfield.session import pinned, scratch_path
 
 
 LEVELS = 14  # dyadic levels of the time index
@@ -72,20 +73,129 @@ def useful_contacts(contacts: DataFrame) -> DataFrame:
     return front.filter("is_front").drop("is_front")
 
 
+#: Node numbers of one block: contacts mostly link near numbers, so that most hops stay in their block and need no shuffle.
+BLOCK = 64
+#: Messages of one task, hops planned at once, and how many cells of the next finer level of time make up one.
+MESSAGES_A_TASK, HOPS_AT_ONCE, FINER = 20_000, 3, 16.0
+
+
+def _block(df: DataFrame, node: str) -> str:
+    """SQL: the block of a node, never null; whole numbers share one with their neighbours, others are dealt out."""
+    whole = df.schema[node].dataType.typeName() in ("byte", "short", "integer", "long")
+    return f"coalesce({node} div {BLOCK}L, 0L)" if whole else f"xxhash64({node})"
+
+
+def _double(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _dealt(contacts: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(messages, index, parts): both dealt out by (block, cell) of a grid of nodes and time.
+
+    A message keeps its cell of time for life: the cells of its level are no shorter than its life, so it lives in its cell
+    and the next. A contact is stored under every cell whose messages may meet it: two, and one more per length of
+    a cell; cells are no shorter than a contact is on average. ``index`` has one row per (block, cell, first node).
+    """
+    both = contacts.selectExpr(
+        "inline(array(named_struct('a', node_i, 'b', node_j), named_struct('a', node_j, 'b', node_i)))", "start_sec", "end_sec", "rate"
+    ).filter("a is not null and end_sec >= start_sec and not isnan(end_sec)")
+    over = both.agg(F.expr("max(end_sec)")).first()[0]
+    until = f"least(cutoff_sec, {_double(float(over))})" if over is not None else "created_sec"
+    life = f"greatest({until} - created_sec, 0.001D)"
+    n_tasks, first, last, longest = tasks.selectExpr("created_sec", f"{until} as until", f"{life} as life").agg(
+        F.expr("count(*)"), F.expr("min(created_sec)"), F.expr("max(until)"), F.expr("max(life)")).first()
+    low, high = _double(float(first or 0.0)), _double(float(last or 0.0))
+    met = both.filter(f"end_sec >= {low} and start_sec <= {high}")
+    begin, end = f"greatest(start_sec, {low})", f"least(end_sec, {high})"
+    mean = met.agg(F.expr(f"avg({end} - {begin})")).first()[0] or 0.0
+    width = max(float(longest or 1.0), mean)
+    finest = min(4, int(math.log(width / mean, FINER))) if mean and math.isfinite(width) else 0
+    level = f"cast(least({finest}D, floor(greatest(0D, log({FINER}D, {_double(width)} / {life}) - 1e-9D))) as int)"
+    levels = [r[0] for r in tasks.select(F.expr(level).alias("l")).distinct().collect()]
+    # One number holds the cell and, in its last bits, the level.
+    cell = lambda at, l: f"floor({at} / ({_double(width)} / power({FINER}D, {l})))"
+    parts = max(int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tasks // MESSAGES_A_TASK))
+    messages = tasks.selectExpr("*", f"{level} as _level").selectExpr(
+        f"{_block(tasks, 'source')} as block", f"coalesce({cell('created_sec', '_level')} * 8 + _level, 0L) as cell",
+        "task_id", "source as node_id", "cutoff_sec", "size", "created_sec as arrival_sec", "0 as hops")
+    cells = ", ".join(f"transform(sequence({cell(begin, l)} - 1, {cell(end, l)}), c -> c * 8 + {l})" for l in levels or [0])
+    index = met.selectExpr(
+        f"{_block(met, 'a')} as block", f"explode(concat({cells})) as cell", "a", "struct(b, start_sec, end_sec, rate) as open")
+    # Equal contacts count once. Every hop reads the lists several times, so they are made once; a Parquet file is smaller than a checkpoint.
+    index = index.repartition(parts, "block", "cell").groupBy("block", "cell", "a").agg(F.collect_set("open").alias("open"))
+    path = scratch_path(contacts.sparkSession, "contacts")
+    index.write.parquet(path)
+    index = contacts.sparkSession.read.schema(index.schema).parquet(path).withColumns(
+        {"block": F.expr("coalesce(block, 0L)"), "cell": F.expr("coalesce(cell, 0L)")})
+    return messages.repartition(parts, "block", "cell"), index.repartition(parts, "block", "cell"), parts
+
+
+def _hop(state: DataFrame, index: DataFrame, hop: int, parts: int) -> DataFrame:
+    """``state`` after one more hop. It and the result are dealt out by (block, cell); only arrivals in another block are shuffled."""
+    keys = ["block", "cell", "task_id", "node_id", "cutoff_sec", "size"]
+    # Steps that are used several times are shuffled once if the planner sees them as equal: so nodes are known not to be null, and
+    # the first hop, for which all messages wait, has no filter.
+    waiting = state if hop == 1 else state.filter(f"hops = {hop - 1}")
+    # The node is compared beside the join's keys: as one of them it would have both sides dealt out by node.
+    met = waiting.join(index.hint("merge"), ["block", "cell"]).filter("a between node_id and node_id")
+    moved = met.selectExpr("block", "cell", "task_id", "cutoff_sec", "size", "arrival_sec as since_sec", "inline(open)").selectExpr(
+        "block", "cell", "task_id", "b as node_id", "cutoff_sec", "size", "since_sec", "end_sec",
+        "greatest(since_sec, start_sec) + size / rate as arrival_sec",
+    ).filter("node_id is not null and end_sec >= since_sec and arrival_sec <= end_sec and arrival_sec <= cutoff_sec").drop("since_sec", "end_sec")
+    home = _block(moved, "node_id")
+    here = moved.filter(f"block = {home}").withColumn("hops", F.lit(hop))
+    away = moved.filter(f"block <> {home}").groupBy(*keys).agg(F.expr("min(arrival_sec) as arrival_sec"))
+    away = away.selectExpr(f"{home} as block", *keys[1:], "arrival_sec", f"{hop} as hops").repartition(parts, "block", "cell")
+    best = state.unionByName(here).unionByName(away).groupBy(*keys).agg(
+        F.expr(f"min(arrival_sec) filter (where hops < {hop}) as known_sec"), F.expr(f"min(hops) as known_hops"),
+        F.expr(f"min(arrival_sec) filter (where hops = {hop}) as new_sec"))
+    better = "known_sec is null or new_sec < known_sec"
+    return best.selectExpr(*keys, f"if({better}, new_sec, known_sec) as arrival_sec", f"if({better}, {hop}, known_hops) as hops")
+
+
 def earliest_arrival(contacts: DataFrame, tasks: DataFrame, max_hops: int, leaf_sec: float = 900.0) -> DataFrame:
     """(task, node, arrival_sec, hops): time-respecting reachability over contacts in both directions.
 
     A hop leaves at max(arrival, start) and takes size / rate; it must end by the end of the contact
     and the cutoff. ``contacts``: node_i, node_j, start_sec, end_sec, rate. ``tasks``: task_id,
-    source, created_sec, cutoff_sec, size. Contacts with a missing time, and tasks without one, carry nothing.
+    source, created_sec, cutoff_sec, size. Contacts with a missing time or node, and tasks without one, carry nothing.
+
+    Messages and contacts are dealt out once by blocks of nodes and cells of time (:func:`_dealt`); a hop shuffles only
+    what leaves its block. At most ``max_hops`` rounds, or until nothing improves; only improved rows go on. The plan of a hop
+    holds the one before three times, so the state is pinned after ``HOPS_AT_ONCE`` hops. Tasks whose id is
+    not unique take the limits of all rows of that id; they go another way (:func:`_shared_arrival`).
+    """
+    contacts = contacts.filter("node_i is not null and node_j is not null")
+    twice = tasks.groupBy("task_id").agg(F.expr("count(*) as n")).filter("n > 1 and task_id is not null").select("task_id")
+    shared = None
+    if not twice.isEmpty():
+        shared = _shared_arrival(contacts, tasks.join(twice, "task_id", "left_semi"), max_hops, leaf_sec)
+        tasks = tasks.join(twice, "task_id", "left_anti")
+    moving = "coalesce(task_id is not null and source is not null and size is not null and created_sec <= cutoff_sec, false)"
+    going = tasks.filter("task_id is not null and source is not null and size is not null and cutoff_sec is not null and created_sec <= cutoff_sec")
+    still = tasks.filter(f"not {moving}").groupBy("task_id", "source").agg(F.expr("min(created_sec) as arrival_sec")).selectExpr(
+        "task_id", "source as node_id", "arrival_sec", "0 as hops")
+    state, index, parts = _dealt(contacts, going)
+    for hop in range(1, max_hops + 1):
+        state = _hop(state, index, hop, parts)
+        if hop % HOPS_AT_ONCE == 0 and hop < max_hops:
+            state = pinned(state).repartition(parts, "block", "cell")
+            if state.filter(f"hops = {hop}").isEmpty():
+                break
+    out = state.select("task_id", "node_id", "arrival_sec", "hops").unionByName(still)
+    return out if shared is None else out.unionByName(shared)
+
+
+def _shared_arrival(contacts: DataFrame, tasks: DataFrame, max_hops: int, leaf_sec: float) -> DataFrame:
+    """The same for tasks of which several rows share an id, so that each row's message may use the cutoff and size of any.
 
     Waiting tasks meet the contacts open between arrival and cutoff through a dyadic index of time
-    (:func:`overlaps`), so neither long waits nor long contacts multiply rows. The arrival is improved for at most
-    ``max_hops`` rounds or until nothing improves; only improved rows go on, and the state is pinned every round.
+    (:func:`overlaps`), so neither long waits nor long contacts multiply rows. The state is pinned every round.
     """
     plan = pinned(useful_contacts(contacts.filter("end_sec >= start_sec")))
     limits = tasks.select("task_id", "cutoff_sec", "size")
-    state = tasks.selectExpr("task_id", "source as node_id", "created_sec as arrival_sec", "0 as hops")
+    state = tasks.selectExpr("task_id", "source as node_id", "created_sec as arrival_sec", "0 as hops").groupBy("task_id", "node_id").agg(
+        F.expr("min(arrival_sec) as arrival_sec"), F.expr("min(hops) as hops"))
     frontier = state
     for hop in range(1, max_hops + 1):
         waiting = frontier.join(limits, "task_id").filter("arrival_sec <= cutoff_sec").selectExpr(
