@@ -155,9 +155,9 @@ def ingest_parts(spark, sf_dir):
 
 def _event_log(spark, sf_dir):
     opened = V.tasks(spark, sf_dir).selectExpr(
-        "task_id", "'task' as kind", "timestamp_micros(cast(created_sec * 1000000 as long)) as event_ts", "created_sec as event_sec", "deadline_sec")
+        "task_id", "'task' as kind", "timestamp_micros(cast(created_sec * 1000000 as long)) as event_ts", "created_sec as event_sec", "deadline_sec", "deadline_sec as due_sec")
     arrived = V.transfers(spark, sf_dir).selectExpr(
-        "task_id", "'arrival' as kind", "timestamp_micros(cast(end_sec * 1000000 as long)) as event_ts", "end_sec as event_sec", "cast(null as double) as deadline_sec")
+        "task_id", "'arrival' as kind", "timestamp_micros(cast(end_sec * 1000000 as long)) as event_ts", "end_sec as event_sec", "cast(null as double) as deadline_sec", "deadline_sec as due_sec")
     return opened.unionByName(arrived)
 
 
@@ -179,18 +179,17 @@ _RETENTION = 10 * 365 * 86400.0
 def deadline_monitor(spark, sf_dir):
     """The stream itself, in three waves and a closing row. Some late arrivals come years behind the watermark; none is lost."""
     root = scratch_path(spark, "monitor")
-    due = V.tasks(spark, sf_dir).selectExpr("task_id", "deadline_sec as _due")
-    log = _event_log(spark, sf_dir)
+    _event_log(spark, sf_dir).write.parquet(f"{root}/all")  # read five times
+    log = spark.read.schema(f"{deadlines.INPUT}, due_sec double").parquet(f"{root}/all")
     low, high, end = (x or 0.0 for x in log.agg(F.min("event_sec"), F.max("event_sec"), F.max("deadline_sec")).first())
     cut = lambda k: f"int(event_sec >= {low + (high - low) * k / 3!r}D)"
-    wave = f"if(kind = 'arrival' and event_sec > _due and task_id % 3 = 0, 2, {cut(1)} + {cut(2)})"
-    log.join(due, "task_id").selectExpr("task_id", "kind", "event_ts", "event_sec", "deadline_sec", f"{wave} as wave").write.partitionBy("wave").parquet(f"{root}/all")
+    wave = f"if(kind = 'arrival' and event_sec > due_sec and task_id % 3 = 0, 2, {cut(1)} + {cut(2)})"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         for i in range(4):
-            part = spark.read.parquet(f"{root}/all").where(f"wave = {i}").drop("wave") if i < 3 else deadlines.end_of_log(spark, end + _RETENTION + 1)
+            part = log.where(f"{wave} = {i}").drop("due_sec") if i < 3 else deadlines.end_of_log(spark, end + _RETENTION + 1)
             part.write.parquet(f"{root}/log/{i}")
             stream = spark.readStream.schema(deadlines.INPUT).option("recursiveFileLookup", True).parquet(f"{root}/log")
             running = deadlines.deadline_monitor(stream, retention_sec=_RETENTION).writeStream.outputMode("append").format("parquet").option(
